@@ -21,7 +21,7 @@ from .common import buckets, materialize
 
 #: Steps of multiplicative weights, configurations that a step takes, how fast a met demand loses weight,
 #: and the part of the narrowest demand that one step may cover with a configuration.
-STEPS, BATCH, RATE, WIDTH = 32, 96, 4.0, 0.25
+STEPS, BATCH, RATE, WIDTH = 24, 256, 4.0, 1.0
 #: How often the program is solved again for the demand that rounding leaves.
 ROUNDS = 3
 

@@ -266,7 +266,7 @@ def _decide(n_buckets: int):
     return run
 
 
-def _strip(n: int, columns: list[str], types):
+def _strip(n: int, columns: list[str], rejoin: bool):
     """Marks and documents of a bucket, marks first: documents leave without the covered words."""
 
     def run(batches):
@@ -307,7 +307,7 @@ def _strip(n: int, columns: list[str], types):
                     kept = [w for w, g in zip(words, gone_here.tolist(), strict=True) if not g]
                 else:
                     kept = words
-                text.append(b" ".join(kept))
+                text.append(b" ".join(kept) if rejoin or len(kept) < len(words) else body or b"")
                 total.append(len(words))
                 gone.append(len(words) - len(kept))
             if own:
@@ -318,14 +318,14 @@ def _strip(n: int, columns: list[str], types):
     return run
 
 
-def dedup_substrings(docs, n: int = 20):
+def dedup_substrings(docs, n: int = 20, rejoin: bool = True):
     """Documents with kept_text, n_words and n_removed: words covered by an n-word window seen earlier are gone.
 
     Words are runs without ASCII white space; kept words are joined by one space. Earlier: smaller
     doc_id (null is least), or the same row and an earlier start. Windows are judged on the input.
     Null or empty text: no words, kept_text ''. Texts under n words lose nothing. Rows that share a
     doc_id are told apart by their text and have no order between them: none takes a word from another;
-    equal rows give equal results. Every other column is passed on; input columns named like a result
+    equal rows give equal results. With rejoin off, texts that lose nothing keep their white space. Every other column is passed on; input columns named like a result
     are replaced.
     """
     spark = docs.sparkSession
@@ -343,7 +343,7 @@ def dedup_substrings(docs, n: int = 20):
     rows = docs.select(place.alias(_KEY), F.lit(2).alias(_KIND), key.alias(_ROW), F.col("text").cast("binary").alias(_BODY), *[f"`{c}`" for c in rest])
     both = marks.withColumn(_ROW, F.lit(0).cast("long")).unionByName(rows, allowMissingColumns=True)
     types = T.StructType([docs.schema[c] for c in rest]).add("kept_text", "string").add("n_words", "long").add("n_removed", "long")
-    return both.repartition(_KEY).sortWithinPartitions(_KEY, _KIND).mapInArrow(_strip(n, rest, types), _nullable(types))
+    return both.repartition(_KEY).sortWithinPartitions(_KEY, _KIND).mapInArrow(_strip(n, rest, rejoin), _nullable(types))
 
 
 def _nullable(schema):

@@ -177,7 +177,7 @@ def _later(h1, h2, doc, key, start):
 
 
 def _candidates(n: int, sketch, n_buckets: int, flush: int = 1 << 21):
-    """Windows estimated repeated: settled ones as marks (kind 1), the rest packed by hash bucket (kind 0)."""
+    """Windows estimated repeated: settled ones in one row of any bucket (kind 1), the rest by hash bucket (kind 0)."""
     shift = 64 - (n_buckets.bit_length() - 1)
 
     def run(batches):
@@ -191,7 +191,9 @@ def _candidates(n: int, sketch, n_buckets: int, flush: int = 1 << 21):
             held.clear()
             order, later = _later(h1, h2, doc, key, start)
             drop, rest = order[later], order[~later]
-            rows = _marks(key[drop], start[drop], n_buckets, 1, shift)
+            rows = []
+            if len(drop):
+                rows.append((int(key[drop[0]] >> np.uint64(shift)) if shift < 64 else 0, 1, _pack(key[drop], _narrow(start[drop]))))
             # of the first places, sorted by hash, each bucket is a slice
             h1, h2, doc, key, start = (x[rest] for x in (h1, h2, doc, key, start))
             at = np.append(np.searchsorted(h1, (np.arange(n_buckets, dtype=np.uint64) << np.uint64(shift)) if shift < 64 else np.zeros(1, np.uint64)), len(h1))
@@ -229,38 +231,33 @@ def _candidates(n: int, sketch, n_buckets: int, flush: int = 1 << 21):
 
 
 def _decide(n_buckets: int):
-    """Rows sorted by bucket: windows of a bucket meet; those that are not first leave as marks (kind 1)."""
+    """Rows sorted by bucket: windows of a bucket meet; those that are not first leave, with the settled ones,
+    as marks by the bucket of their document."""
     shift = 64 - (n_buckets.bit_length() - 1)
 
     def run(batches):
-        now, held = None, []
+        now, held, settled = None, [], []
 
         def out():
+            gone = [(p[0], p[1].astype(np.int64)) for p in map(_unpack, settled)]
             parts = [_unpack(x) for x in held]
             held.clear()
-            if not parts:
-                return
-            h1, h2 = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-            start = np.concatenate([p[3].astype(np.int64) for p in parts])
-            doc, key = (np.concatenate([p[i][p[2]] for p in parts]) for i in (4, 5))
-            order, later = _later(h1, h2, doc, key, start)
-            drop = order[later]
-            rows = _marks(key[drop], start[drop], n_buckets, 1, shift)
-            if rows:
+            settled.clear()
+            if parts:
+                h1, h2 = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+                start = np.concatenate([p[3].astype(np.int64) for p in parts])
+                doc, key = (np.concatenate([p[i][p[2]] for p in parts]) for i in (4, 5))
+                order, later = _later(h1, h2, doc, key, start)
+                gone.append((key[order[later]], start[order[later]]))
+            if gone and (rows := _marks(*map(np.concatenate, zip(*gone, strict=True)), n_buckets, 1, shift)):
                 yield _batch(rows)
 
         for batch in batches:
-            bucket, kind, body = (batch.column(i).to_pylist() for i in range(3))
-            through = [i for i, k in enumerate(kind) if k]
-            if through:
-                yield batch.take(pa.array(through))
-            for b, k, x in zip(bucket, kind, body, strict=True):
-                if k:
-                    continue
+            for b, k, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if b != now:
                     yield from out()
                     now = b
-                held.append(x)
+                (settled if k else held).append(x)
         yield from out()
 
     return run
@@ -331,7 +328,7 @@ def dedup_substrings(docs, n: int = 20, rejoin: bool = True):
     spark = docs.sparkSession
     docs = without(docs, "kept_text", "n_words", "n_removed")
     sketch = spark.sparkContext.broadcast(repeated_cells(docs, n))
-    n_buckets = buckets(spark)
+    n_buckets = buckets(spark, 1)
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     key = F.xxhash64("doc_id", "text")
     shape = f"{_KEY} int, {_KIND} int, {_BODY} binary"

@@ -1,0 +1,13 @@
+"""The shared folder of a run, for stream state and chunks."""
+
+import tempfile
+import uuid
+
+
+def shared_folder(spark) -> str:
+    """A new folder below spark.checkpoint.dir; where that is unset (tests), of this machine, and then set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="modcall-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/modcall/{uuid.uuid4().hex}"

@@ -336,7 +336,7 @@ def feature_tensor_checksum(spark, sf_dir):
     return made.select("read_id", "start", "ninemer", F.size("features").cast("long").alias("n_rows"), F.round(total(0), 3).alias("current_sum"), F.round(total(1, 2, 3, 4), 3).alias("distance_sum"), F.round(total(5), 3).alias("dwell_sum"), F.round(total(6), 3).alias("quality_sum"))
 
 
-_RUNS = """runs AS (SELECT l_orderkey AS read_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i,
+_RUNS = """runs AS (SELECT l_orderkey AS read_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, concat(CAST(l_quantity AS INT) % 10 + 1, {op})) AS i,
   CAST(l_quantity AS INT) % 10 + 1 AS len, {op} AS op FROM lineitem)"""
 _CIGAR, _MOVES = "substr('MIDNS', CAST(l_linenumber % 5 AS INT) + 1, 1)", "substr(',,ID', CAST(l_linenumber % 4 AS INT) + 1, 1)"
 

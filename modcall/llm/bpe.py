@@ -20,7 +20,7 @@ from .common import without
 #: White space as the tokenizers' patterns mean it; Python's own also holds 0x1C to 0x1F.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Distinct words (and total symbols) that a worker keeps between batches.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 def byte_letters() -> list[str]:
@@ -196,7 +196,7 @@ class WordEncoder(Merges):
         return ids, np.diff(upto[np.append(0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words))))])
 
 
-def parts(texts: list, most: int = 1 << 22):
+def parts(texts: list, most: int = 1 << 21):
     """Index ranges of about `most` characters, so that memory does not depend on the batch."""
     at = held = 0
     for i, t in enumerate(texts):
@@ -223,12 +223,16 @@ def _encode(path: str, place: int):
 
 def _decode(path: str, place: int):
     def run(batches):
-        names = load(path, WordEncoder).names
+        names = np.array(load(path, WordEncoder).names, object)
         for batch in batches:
             ids = batch.column(place)
-            flat, upto = ids.flatten().to_pylist(), np.append(0, np.cumsum(np.asarray(ids.value_lengths().fill_null(0))))
-            text = [" ".join([names[i] for i in flat[a:b]]) for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
-            yield pa.record_batch([*batch.columns, pa.array(text, pa.string())], names=[*batch.schema.names, "decoded"])
+            flat, upto = np.asarray(ids.flatten()), np.append(0, np.cumsum(np.asarray(ids.value_lengths().fill_null(0))))
+            at = 0
+            while at < batch.num_rows:  # rows of about 2 ** 20 tokens together
+                to = max(at + 1, int(np.searchsorted(upto, upto[at] + (1 << 20), "right")) - 1)
+                text = [" ".join(names[flat[a:b]].tolist()) for a, b in zip(upto[at:to].tolist(), upto[at + 1 : to + 1].tolist(), strict=True)]
+                yield pa.record_batch([*batch.slice(at, to - at).columns, pa.array(text, pa.string())], names=[*batch.schema.names, "decoded"])
+                at = to
 
     return run
 

@@ -77,7 +77,7 @@ def load(path: str, kind=Merges):
 
 def every_other(p, follows):
     """Of sorted places, those kept if a kept one uses up its successor; follows: p[i + 1] is next to p[i]."""
-    start = np.flatnonzero(np.append(True, ~follows))
+    start = np.flatnonzero(np.append(True, ~follows))  # of runs
     return (np.arange(len(p)) - np.repeat(start, np.diff(np.append(start, len(p))))) % 2 == 0
 
 
@@ -113,7 +113,8 @@ def encode_words(merges: Merges, words: list[bytes]):
     while active:
         r = heapq.heappop(active)
         lists = index.pop(r)
-        p = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+        p = np.sort(lists[0] if len(lists) == 1 else np.concatenate(lists))
+        p = p[np.append(True, p[1:] != p[:-1])] if len(lists) > 1 else p
         p = p[(sym[p] == merges.left[r]) & (nxt[p] >= 0)]
         p = p[sym[nxt[p]] == merges.right[r]]
         if not len(p):
@@ -126,7 +127,9 @@ def encode_words(merges: Merges, words: list[bytes]):
         right = after >= 0
         prv[after[right]] = p[right]
         left = prv[p]
-        add(np.unique(np.concatenate([left[left >= 0], p[right]])))
+        some = left >= 0
+        some[1:] &= left[1:] != p[:-1]  # those are among p
+        add(np.concatenate([left[some], p[right]]))
     alive = sym >= 0
     return sym[alive], np.add.reduceat(alive, end - size + 1, dtype=np.int64)
 
@@ -164,10 +167,10 @@ class WordEncoder(Merges):
 
     def learn(self, new: list[str]):
         """Encode words that are not known yet."""
-        new = list(dict.fromkeys(w for w in new if w not in self.known))
+        new = list(set(new).difference(self.known))
         if not new:
             return
-        parts = [[] if w in self.special else [x.encode() for x in self.pattern.findall(w)] for w in new]
+        parts = [[w.encode()] if w.isalpha() else [] if w in self.special else [x.encode() for x in self.pattern.findall(w)] for w in new]
         flat, size = encode_words(self, [x for p in parts for x in p])
         many = np.fromiter(map(len, parts), np.int64, len(parts))
         upto = np.append(0, np.cumsum(size))

@@ -40,74 +40,75 @@ def knapsack(value, capacity: int, lengths):
     return best, pick
 
 
-def trace(pick, room: int, lengths):
-    """Counts of the configuration that the dynamic program found for a room."""
-    count = np.zeros(len(lengths), np.int64)
+def trace(pick, room: int, lengths) -> dict[int, int]:
+    """Copies of each length in the configuration that the dynamic program found for a room."""
+    count: dict[int, int] = {}
     while room > 0:
-        if pick[room] < 0:
+        i = int(pick[room])
+        if i < 0:
             room -= 1
         else:
-            count[pick[room]] += 1
-            room -= lengths[pick[room]]
+            count[i] = count.get(i, 0) + 1
+            room -= int(lengths[i])
     return count
 
 
 def configuration_program(lengths, demand, capacity: int, steps: int = STEPS):
-    """Configurations (rows of counts) and their use in a fractional packing of the demand; lengths ascend.
+    """Configurations (tuples of length index and copies) and their use in a fractional packing of the
+    demand; lengths ascend.
 
     Multiplicative weights on the covering constraints: the price of a length falls exponentially with
     the part of its demand that is covered. One dynamic program prices all rooms, and gives for each of
     the least covered lengths the best configuration that holds it.
     """
-    if not len(lengths):
-        return np.zeros((0, 0), np.int64), np.zeros(0)
-    taken: dict[bytes, list] = {}
+    taken: dict[tuple, float] = {}
     covered = np.zeros(len(lengths))
-    for _ in range(steps):
+    for _ in range(steps if len(lengths) else 0):
         ratio = covered / demand
         price = lengths / capacity * np.exp(-RATE * (ratio - ratio.min()))
         pick = knapsack(price, capacity, lengths)[1]
-        for i in np.lexsort((-lengths, ratio))[:BATCH]:
+        for i in np.lexsort((-lengths, ratio))[:BATCH].tolist():
             count = trace(pick, capacity - int(lengths[i]), lengths)
-            count[i] += 1
-            some = count > 0
-            step = max(1.0, float((demand[some] / count[some]).min()) * WIDTH)
-            taken.setdefault(count.tobytes(), [count, 0.0])[1] += step
-            covered += step * count
-    rows = np.stack([c for c, _ in taken.values()])
-    x = np.array([v for _, v in taken.values()])
-    return rows, x / max(1.0, float((x @ (rows @ lengths)) / (demand @ lengths)))
+            count[i] = count.get(i, 0) + 1
+            step = max(1.0, WIDTH * min(demand[j] / c for j, c in count.items()))
+            for j, c in count.items():
+                covered[j] += step * c
+            key = tuple(sorted(count.items()))
+            taken[key] = taken.get(key, 0.0) + step
+    rows, x = list(taken), np.array(list(taken.values()))
+    used = sum(n * sum(c * int(lengths[j]) for j, c in row) for row, n in taken.items())
+    return rows, x / max(1.0, used / max(1, int(demand @ lengths)))
 
 
 def round_down(rows, x, demand):
     """Whole uses of configurations within the demand, most used first, and the demand that is left.
 
-    Each use is rounded down first, then raised as far as the demand that rounding has left allows.
+    Each use is rounded down first, then up, then raised as far as the demand that is left allows.
     """
     left, uses = demand.copy(), np.zeros(len(rows), np.int64)
     for whole in (np.floor(x), np.ceil(x), np.full(len(x), demand.sum())):
-        for i in np.argsort(-x, kind="stable"):
-            some = rows[i] > 0
-            n = min(int((left[some] // rows[i][some]).min()), int(whole[i]) - int(uses[i]))
+        for i in np.argsort(-x, kind="stable").tolist():
+            n = min(min(int(left[j]) // c for j, c in rows[i]), int(whole[i]) - int(uses[i]))
             if n > 0:
                 uses[i] += n
-                left = left - n * rows[i]
+                for j, c in rows[i]:
+                    left[j] -= n * c
     return uses, left
 
 
 def best_fit(lengths, left, capacity: int):
-    """Best fit decreasing over a histogram: rows of counts and how many sequences look like each.
+    """Best fit decreasing over a histogram: configurations and how many sequences look like each.
 
     Equal sequences are handled together: a length goes into as many of the fullest sequences that have
     room for it as there are pieces, so the work follows the number of different sequences.
     """
-    open_: dict[int, dict[bytes, list]] = {}  # room -> configuration -> [counts, sequences]
+    open_: dict[int, dict[tuple, int]] = {}  # room -> configuration -> sequences
 
-    def put(room, counts, n):
-        slot = open_.setdefault(room, {}).setdefault(counts.tobytes(), [counts, 0])
-        slot[1] += n
+    def put(room, row, n):
+        slot = open_.setdefault(room, {})
+        slot[row] = slot.get(row, 0) + n
 
-    for i in np.argsort(-lengths, kind="stable"):
+    for i in np.argsort(-lengths, kind="stable").tolist():
         size, many = int(lengths[i]), int(left[i])
         while many:
             room = min((r for r in open_ if r >= size), default=None)
@@ -116,50 +117,44 @@ def best_fit(lengths, left, capacity: int):
                 whole, rest = divmod(many, per)
                 for n, copies in ((per, whole), (rest, 1)):
                     if n and copies:
-                        counts = np.zeros(len(lengths), np.int64)
-                        counts[i] = n
-                        put(capacity - n * size, counts, copies)
+                        put(capacity - n * size, ((i, n),), copies)
                 break
             group = open_[room]
-            key = next(iter(group))
-            counts, n = group.pop(key)
+            row, n = group.popitem()
             if not group:
                 del open_[room]
             per = room // size
             full = min(n, many // per)
             if not full:
                 per, full = many, 1
-            more = counts.copy()
-            more[i] += per
-            put(room - per * size, more, full)
+            put(room - per * size, (*row, (i, per)), full)
             many -= per * full
             if n > full:
-                put(room, counts, n - full)
-    done = [s for g in open_.values() for s in g.values()]
-    return np.stack([c for c, _ in done]) if done else np.zeros((0, len(lengths)), np.int64), np.array([n for _, n in done], np.int64)
+                put(room, row, n - full)
+    done = [(row, n) for group in open_.values() for row, n in group.items()]
+    return [row for row, _ in done], np.array([n for _, n in done], np.int64)
 
 
 def plan(lengths, demand, capacity: int):
     """Slots of all sequences: arrays (length, first number, first sequence, copies in a sequence, offset)."""
     left, solved = demand.copy(), []
     for _ in range(ROUNDS):
-        some = left > 0
-        if not some.any():
+        some = np.flatnonzero(left > 0)
+        if not len(some):
             break
-        part, x = configuration_program(lengths[some], left[some], capacity)
-        rows = np.zeros((len(part), len(lengths)), np.int64)
-        rows[:, some] = part
+        rows, x = configuration_program(lengths[some], left[some], capacity)
+        rows = [tuple((int(some[j]), c) for j, c in row) for row in rows]
         uses, left = round_down(rows, x, left)
-        solved.append((rows[uses > 0], uses[uses > 0]))
-    solved.append(best_fit(lengths, left, capacity))
-    rows, uses = (np.concatenate(part) for part in zip(*solved, strict=True))
+        solved += zip(rows, uses.tolist(), strict=True)
+    rows, uses = best_fit(lengths, left, capacity)
+    solved += zip(rows, uses.tolist(), strict=True)
     number, sequence, slots = np.zeros(len(lengths), np.int64), 0, []
-    for row, n in zip(rows, uses.tolist(), strict=True):
+    for row, n in solved:
         offset = 0
-        for i in np.flatnonzero(row) if n else []:
-            slots.append((lengths[i], number[i], sequence, row[i], offset))
-            number[i] += n * row[i]
-            offset += int(row[i] * lengths[i])
+        for j, c in row if n else ():
+            slots.append((lengths[j], number[j], sequence, c, offset))
+            number[j] += n * c
+            offset += int(c * lengths[j])
         sequence += n
     return np.array(slots, np.int64).reshape(-1, 5).T
 
@@ -169,7 +164,7 @@ def _pieces(path: str, capacity: int, end: int):
         encoder = load(path, WordEncoder)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in parts(texts):
+            for a, b in parts(texts, 1 << 23):
                 ids, size = encoder.encode(texts[a:b])
                 ids = np.insert(ids, np.cumsum(size), end).astype("<u4")
                 size = size + 1

@@ -1,6 +1,5 @@
 """Operators on documents against brute force, on hand-made edge cases and on the smallest tables."""
 
-import hashlib
 import random
 import zlib
 from collections import Counter
@@ -171,10 +170,12 @@ def test_pipeline(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
-    copies = Counter(hashlib.sha256(t.encode()).digest() for t in texts.values())
-    kept = {r.doc_id for r in out}
-    assert kept <= set(texts) and len(out) >= len(kept)
-    for digest, n in copies.items():
-        same = sorted(i for i, t in texts.items() if hashlib.sha256(t.encode()).digest() == digest)
-        if n > 1:
-            assert not set(same[1:]) & kept - {min(kept)} or len(texts[same[0]].split()) < 3
+    kept, size = {r.doc_id for r in out}, Counter()
+    for r in out:
+        size[r.doc_id] += r.length
+    assert kept <= set(texts) and [name for name, _ in corpus_pipeline.STAGES][-1] == "best_fit_packing"
+    first: dict = {}
+    for i in sorted(texts):
+        if first.setdefault(texts[i], i) != i:  # of an exact copy at most short lines are left
+            assert size[i] < 0.1 * max(100, len(texts[i].split()))
+    assert len(kept) >= 0.8 * len(set(texts.values()))

@@ -20,7 +20,10 @@ def sam(spark: SparkSession, path) -> DataFrame:
         F.col("c")[0].alias("read_id"), F.col("c")[1].cast("int").alias("flag"), F.col("c")[2].alias("contig"), (F.col("c")[3].cast("int") - 1).alias("pos"),
         cigar_ops(F.col("c")[5]).alias("cigar"), F.col("c")[9].alias("seq"), F.transform(F.split(F.col("c")[10], ""), lambda q: F.ascii(q) - 33).alias("qual"), F.slice("c", 12, 1000).alias("tags"),
     )
-    found = {n: F.when(F.exists("tags", lambda t, n=n: t.startswith(f"{n}:")), tag(n)) for n in ("si", "ss", "sc", "sh")}
+    def has(name):
+        return F.exists("tags", lambda t: t.startswith(f"{name}:"))
+
+    found = {n: F.when(has(n), tag(n)) for n in ("si", "ss", "sc", "sh")}
     rows = rows.withColumns(found).drop("tags")
     return rows.withColumns({"sc": F.col("sc").cast("float"), "sh": F.col("sh").cast("float")})
 

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import without
+from .common import lean, without
 
 #: White space as the tokenizers' patterns mean it; Python's own also holds 0x1C to 0x1F.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -251,13 +251,13 @@ def bpe_encode(docs, path: str, text: str = "text"):
     Repeated rows repeat; other columns pass, one named ids is replaced.
     """
     docs = without(docs, "ids")
-    return docs.mapInArrow(_encode(path, docs.columns.index(text)), _plus(docs, "ids", T.ArrayType(T.IntegerType())))
+    return docs.mapInArrow(lean(_encode(path, docs.columns.index(text))), _plus(docs, "ids", T.ArrayType(T.IntegerType())))
 
 
 def bpe_decode(rows, path: str, ids: str = "ids"):
     """rows with decoded (string): the tokens joined by spaces, special ones kept; null or no ids: ''."""
     rows = without(rows, "decoded")
-    return rows.mapInArrow(_decode(path, rows.columns.index(ids)), _plus(rows, "decoded", T.StringType()))
+    return rows.mapInArrow(lean(_decode(path, rows.columns.index(ids))), _plus(rows, "decoded", T.StringType()))
 
 
 def op2_bpe_encode_decode(spark, sf_dir):

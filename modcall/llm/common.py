@@ -1,5 +1,6 @@
 """What the operators of this subpackage share: scratch tables, text access, word hashes."""
 
+import ctypes
 import tempfile
 import uuid
 
@@ -30,6 +31,21 @@ def materialize(df):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean(run):
+    """A batch function whose task ends by handing freed memory back to the system: workers are reused."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+            if trim:
+                trim(0)
+
+    return task
+
+
 def buckets(spark, per_partition: int = 4) -> int:
     """A power of two of hash buckets, a few for each shuffle partition."""
     n = per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))

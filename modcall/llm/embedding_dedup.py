@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, without
+from .common import lean, materialize, without
 from .components import components
 
 #: Vectors of the bounded sample that fits the codebooks and the number of cells to visit.
@@ -213,12 +213,12 @@ def embedding_links(rows, threshold: float = 0.95, recall: float = 0.999, k: int
         size = k or min(256, max(2, math.isqrt(n // 256)))
         grid = Grid(unit(np.stack(some.to_numpy()).astype(np.float64)), size, threshold, recall)
         book = spark.sparkContext.broadcast(grid)
-        homes = own.mapInArrow(_homes(book), "cell int, rep long").groupBy("cell").count().where(F.col("count") > PIECE)
+        homes = own.mapInArrow(lean(_homes(book)), "cell int, rep long").groupBy("cell").count().where(F.col("count") > PIECE)
         large = homes.collect()  # at most one row a cell of the grid
         plan = spark.sparkContext.broadcast((grid, ([r["cell"] for r in large], [-(-r["count"] // PIECE) for r in large])))
         kind = own.schema["x"].dataType.simpleString()
-        dealt = own.mapInArrow(_deal(plan), f"cell int, piece int, kind int, home int, visits binary, rep long, n long, x {kind}")
-        met = dealt.repartition("cell", "piece").sortWithinPartitions("cell", "piece", "kind").mapInArrow(_meet(threshold), "kind int, a long, b long")
+        dealt = own.mapInArrow(lean(_deal(plan)), f"cell int, piece int, kind int, home int, visits binary, rep long, n long, x {kind}")
+        met = dealt.repartition("cell", "piece").sortWithinPartitions("cell", "piece", "kind").mapInArrow(lean(_meet(threshold)), "kind int, a long, b long")
         found = met if found is None else found.union(met)
     found = materialize(found) if found is not None else spark.createDataFrame([], "kind int, a long, b long")
     links = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("links"))

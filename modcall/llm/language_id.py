@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import raw, slices, without
+from .common import lean, raw, slices, without
 
 #: Documents of a language that the sample holds, passages taken from each, and their characters.
 PER_LANGUAGE, PASSAGES, PASSAGE = 256, 4, 96
@@ -201,7 +201,7 @@ def identify_language(docs, model=None):
             model.fit([r["part"].encode() for r in sample], [r["lang"] for r in sample])
     place = [c.lower() for c in docs.columns].index("text")
     shape = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]).add("lang_pred", "string").add("score", "double")
-    got = docs.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), place), shape)
+    got = docs.mapInArrow(lean(_predict(docs.sparkSession.sparkContext.broadcast(model), place)), shape)
     return got.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)))
 
 

@@ -5,7 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, raw, without
+from .common import lean, materialize, raw, without
 
 #: Keys in more documents than this are dealt to several partitions when lines meet their verdict; of
 #: these only the HOT_KEYS commonest are broadcast, which bounds the rest to 1/HOT_KEYS of all lines each.
@@ -64,7 +64,7 @@ def dedup_lines(docs, least: int = 10, documents: int = 2):
     docs = without(docs, "kept_text", "n_lines", "n_dropped")
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     row = F.xxhash64("doc_id", "text")
-    lines = docs.select(rank.alias("doc_id"), row.alias("row"), "text").mapInArrow(_lines(least), "h binary, doc_id long, row long, at int")
+    lines = docs.select(rank.alias("doc_id"), row.alias("row"), "text").mapInArrow(lean(_lines(least)), "h binary, doc_id long, row long, at int")
     if documents == 2:  # two documents or more: smallest and largest differ
         counts = lines.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
     else:
@@ -80,7 +80,7 @@ def dedup_lines(docs, least: int = 10, documents: int = 2):
     place = both.columns.index(next(c for c in both.columns if c.lower() == "text"))
     shape = T.StructType([T.StructField(f.name, f.dataType) for i, f in enumerate(both.schema) if i != place and f.name != "__drop"])
     shape = shape.add("kept_text", "string").add("n_lines", "long").add("n_dropped", "long")
-    return both.mapInArrow(_join(place, both.columns.index("__drop")), shape)
+    return both.mapInArrow(lean(_join(place, both.columns.index("__drop"))), shape)
 
 
 def op10_line_dedup(spark, sf_dir):

@@ -17,7 +17,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .bpe import WordEncoder, load, parts
-from .common import buckets, materialize
+from .common import buckets, lean, materialize
 
 #: Steps of multiplicative weights, configurations that a step takes, how fast a met demand loses weight,
 #: and the part of the narrowest demand that one step may cover with a configuration.
@@ -217,7 +217,7 @@ def pack(docs, path: str, capacity: int = 4096, end: int = 1):
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long"
-    pieces = materialize(docs.select("doc_id", "text").mapInArrow(_pieces(path, capacity, end), shape))
+    pieces = materialize(docs.select("doc_id", "text").mapInArrow(lean(_pieces(path, capacity, end)), shape))
     spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets(spark, 1)))
     pieces = pieces.withColumn("__b", spread)
     counts = materialize(pieces.groupBy("length", "__b").count())
@@ -229,7 +229,7 @@ def pack(docs, path: str, capacity: int = 4096, end: int = 1):
     inner = F.row_number().over(Window.partitionBy("length", "__b").orderBy("doc_id", "piece", "ids_crc32"))
     numbered = pieces.withColumn("__n", inner).join(counts, ["length", "__b"])
     numbered = numbered.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("__before") + F.col("__n") - 1).cast("long").alias("__number"))
-    return numbered.mapInArrow(_place(slots), shape + ", sequence_id long, offset long")
+    return numbered.mapInArrow(lean(_place(slots)), shape + ", sequence_id long, offset long")
 
 
 def op8_best_fit_packing(spark, sf_dir):

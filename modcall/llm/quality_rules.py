@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, raw, slices, without, word_hashes
+from .common import SPACE, lean, raw, slices, without, word_hashes
 
 #: Words of the shortest repeat that counts; most of a text that such repeats may cover, first places
 #: included; most words of a single repeat.
@@ -143,7 +143,7 @@ def quality_rules(docs, cover: float = COVER, longest: int = LONGEST):
     docs = without(docs, *_RESULTS, "base_failed", "kept")
     place = [c.lower() for c in docs.columns].index("text")
     shape = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema] + [T.StructField(c, T.LongType()) for c in _RESULTS])
-    got = docs.mapInArrow(_rules(place), shape)
+    got = docs.mapInArrow(lean(_rules(place)), shape)
     got = got.withColumn("base_failed", (F.col("n_words") < FEWEST) | (100 * F.col("n_repeat_words") > PERCENT * F.col("n_words")))
     return got.withColumn("kept", ~F.col("base_failed") & (F.col("n_covered") <= cover * F.col("n_words")) & (F.col("longest_repeat") <= longest))
 

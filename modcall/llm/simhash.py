@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, mix, raw, without
+from .common import lean, materialize, mix, raw, without
 from .components import components
 
 
@@ -120,10 +120,10 @@ def simhash_components(docs, shingle: int = 5, radius: int = 2):
     rest = [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
     shape = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("__k", T.LongType()), T.StructField("fp", T.LongType())])
     key = F.xxhash64("text")
-    marked = materialize(docs.select(F.col("doc_id").cast("long"), key.alias("__k"), "text").mapInArrow(_fingerprints(shingle), shape))
+    marked = materialize(docs.select(F.col("doc_id").cast("long"), key.alias("__k"), "text").mapInArrow(lean(_fingerprints(shingle)), shape))
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     variants = classes.where("rep is not null").select(F.explode(ball(F.col("fp"), radius // 2)).alias("v"), "fp", "rep")
-    edges = variants.repartition("v").sortWithinPartitions("v").mapInArrow(_meet(radius), "a long, b long")
+    edges = variants.repartition("v").sortWithinPartitions("v").mapInArrow(lean(_meet(radius)), "a long, b long")
     joined = classes.join(components(edges), F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     marked = marked.join(joined, "fp")
     if not rest and "text" not in [c.lower() for c in docs.columns]:
@@ -192,10 +192,10 @@ def similar_components(docs, shingle: int = 5, similarity: float = 0.8, bands: i
     docs = without(docs, "component_id")
     names, key = _names(WORDS), F.xxhash64("text")
     shape = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "__k", *names)])
-    marked = materialize(docs.select(F.col("doc_id").cast("long"), key.alias("__k"), "text").mapInArrow(_fingerprints(shingle, WORDS), shape))
+    marked = materialize(docs.select(F.col("doc_id").cast("long"), key.alias("__k"), "text").mapInArrow(lean(_fingerprints(shingle, WORDS)), shape))
     classes = materialize(marked.groupBy(*names).agg(F.min("doc_id").alias("rep")))
-    found = classes.where("rep is not null").select("rep", *names).mapInArrow(_bands(bands, bits), "v long, rep long")
-    pairs = found.repartition("v").sortWithinPartitions("v", "rep").mapInArrow(_neighbours, "a long, b long").distinct()
+    found = classes.where("rep is not null").select("rep", *names).mapInArrow(lean(_bands(bands, bits)), "v long, rep long")
+    pairs = found.repartition("v").sortWithinPartitions("v", "rep").mapInArrow(lean(_neighbours), "a long, b long").distinct()
     cosine = 2 * similarity / (1 + similarity)
     most = round(64 * WORDS * math.acos(cosine) / math.pi)
     left, right = (classes.select(F.col("rep").alias(x), *[F.col(c).alias(x + c) for c in names]) for x in "ab")

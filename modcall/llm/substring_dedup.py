@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buckets, mix, raw, slices, windows, without, word_hashes
+from .common import buckets, lean, mix, raw, slices, windows, without, word_hashes
 
 #: The sketch: rows, cells in a row (2 to the power), segments in a row. One bit a cell is broadcast: 32 MB.
 ROWS, CELLS, SEGMENTS = 2, 27, 64
@@ -121,8 +121,8 @@ def _merge(batches):
 
 def repeated_cells(docs, n: int):
     """The merged sketch as a bit a cell (bytes of fixed size): cells counted at least twice."""
-    part = docs.select("text").mapInArrow(_sketch(n), "seg int, body binary")
-    rows = part.repartition("seg").sortWithinPartitions("seg").mapInArrow(_merge, "seg int, bits binary").collect()
+    part = docs.select("text").mapInArrow(lean(_sketch(n)), "seg int, body binary")
+    rows = part.repartition("seg").sortWithinPartitions("seg").mapInArrow(lean(_merge), "seg int, bits binary").collect()
     width = 1 << (CELLS - SEGMENTS.bit_length() - 2)
     bits = np.zeros((ROWS * SEGMENTS, width), np.uint8)
     for r in rows:
@@ -332,15 +332,15 @@ def dedup_substrings(docs, n: int = 20, rejoin: bool = True):
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     key = F.xxhash64("doc_id", "text")
     shape = f"{_KEY} int, {_KIND} int, {_BODY} binary"
-    found = docs.select(rank.alias("doc_id"), key.alias("k"), "text").mapInArrow(_candidates(n, sketch, n_buckets), shape)
-    marks = found.repartition(_KEY).sortWithinPartitions(_KEY).mapInArrow(_decide(n_buckets), shape)
+    found = docs.select(rank.alias("doc_id"), key.alias("k"), "text").mapInArrow(lean(_candidates(n, sketch, n_buckets)), shape)
+    marks = found.repartition(_KEY).sortWithinPartitions(_KEY).mapInArrow(lean(_decide(n_buckets)), shape)
     bits = n_buckets.bit_length() - 1
     place = F.shiftrightunsigned(key, 64 - bits).cast("int") if bits else F.lit(0)
     rest = [c for c in docs.columns if c.lower() != "text"]
     rows = docs.select(place.alias(_KEY), F.lit(2).alias(_KIND), key.alias(_ROW), F.col("text").cast("binary").alias(_BODY), *[f"`{c}`" for c in rest])
     both = marks.withColumn(_ROW, F.lit(0).cast("long")).unionByName(rows, allowMissingColumns=True)
     types = T.StructType([docs.schema[c] for c in rest]).add("kept_text", "string").add("n_words", "long").add("n_removed", "long")
-    return both.repartition(_KEY).sortWithinPartitions(_KEY, _KIND).mapInArrow(_strip(n, rest, rejoin), _nullable(types))
+    return both.repartition(_KEY).sortWithinPartitions(_KEY, _KIND).mapInArrow(lean(_strip(n, rest, rejoin)), _nullable(types))
 
 
 def _nullable(schema):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import CACHE_WORDS, WHITE, Merges, every_other, load, parts
-from .common import without
+from .common import lean, without
 
 
 def count_words(merges: Merges, words: list[bytes]):
@@ -123,7 +123,7 @@ def token_counts(docs, path: str, limit: int = 1024, text: str = "text"):
     docs = without(docs, "n_bytes", "n_tokens", "over_limit")
     rest = [T.StructField(f.name, f.dataType) for f in docs.schema if f.name != text]
     shape = T.StructType([*rest, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    return docs.mapInArrow(_count(path, docs.columns.index(text)), shape).withColumn("over_limit", F.col("n_tokens") > limit)
+    return docs.mapInArrow(lean(_count(path, docs.columns.index(text))), shape).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op5_token_counts(spark, sf_dir):

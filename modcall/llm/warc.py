@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import functions as F
 
-from .common import buckets, scratch
+from .common import buckets, lean, scratch
 
 #: Bytes of a payload in one row of the chunk table.
 CHUNK = 1 << 20
@@ -79,12 +79,12 @@ def _gather(run, most: int = 4 << 20):
 
 def payload_chunks(pages, chunk: int = CHUNK):
     """The chunked record table of pages (page_id, row, html): page_id, row, chunk, data, carried digest."""
-    return pages.mapInArrow(_gather(_chunks(chunk, False)), _CHUNK_SHAPE)
+    return pages.mapInArrow(lean(_gather(_chunks(chunk, False))), _CHUNK_SHAPE)
 
 
 def payload_facts(pages, chunk: int = CHUNK):
     """Length and bare base32 SHA-1 of every page's payload, by digests carried over chunks."""
-    return pages.mapInArrow(_gather(_chunks(chunk, True)), _FACT_SHAPE)
+    return pages.mapInArrow(lean(_gather(_chunks(chunk, True))), _FACT_SHAPE)
 
 
 class _Archive:
@@ -200,7 +200,7 @@ def write_warc(pages, folder: str, least: int = 0, chunk: int = CHUNK):
     body = payload_chunks(base.select("page_id", "row", "html"), chunk).select("page_id", "row", "chunk", F.lit(1).alias("copy"), "data")
     rows = head_rows.unionByName(body, allowMissingColumns=True).withColumn("bucket", spread)
     dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "page_id", "row", "copy", "chunk")
-    return dealt.mapInArrow(_write(folder), "file string")
+    return dealt.mapInArrow(lean(_write(folder)), "file string")
 
 
 def _inflate(stream, step: int = 1 << 18):
@@ -300,12 +300,12 @@ def _read(chunk: int, with_data: bool):
 def read_warc(files):
     """Records of the archives named by files (file string): page_id, payload_bytes, payload_digest,
     record_type, refers_to, url. A response's digest is carried over its chunks and checked."""
-    return files.select("file").mapInArrow(_read(CHUNK, False), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    return files.select("file").mapInArrow(lean(_read(CHUNK, False)), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 def read_warc_chunks(files, chunk: int = CHUNK):
     """The archives' payloads as a chunked record table: record_id, page_id, chunk, data, carried digest."""
-    return files.select("file").mapInArrow(_read(chunk, True), "record_id string, page_id long, chunk int, data binary, carried string")
+    return files.select("file").mapInArrow(lean(_read(chunk, True)), "record_id string, page_id long, chunk int, data binary, carried string")
 
 
 def op4_warc(spark, sf_dir):

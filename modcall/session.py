@@ -8,6 +8,7 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
@@ -29,7 +30,12 @@ def local_session(cores: str = "8", partitions: int = 8, **conf: str) -> SparkSe
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that their workers can import it."""
+    """Send this package to the executors once per application, so that their workers can import it.
+
+    Rows can hold texts of any length, so Arrow batches are bounded by bytes too unless the session says otherwise.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(16 << 20))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

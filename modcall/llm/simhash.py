@@ -138,7 +138,7 @@ WORDS, BANDS, BITS = 6, 12, 28
 
 
 def _bands(bands: int, bits: int):
-    """Every band's variants within one bit, as (v, rep): the band's number above the variant's bits."""
+    """Every band's variants within one bit, as (v, rep, last): the band's number above the variant's bits; the last word."""
 
     def run(batches):
         flips = np.append(0, 1 << np.arange(bits)).astype(np.int64)
@@ -150,32 +150,37 @@ def _bands(bands: int, bits: int):
                 wide = np.unpackbits(words.view(np.uint8).reshape(len(rep), -1), axis=1)[:, : bands * bits].reshape(len(rep), bands, bits)
                 value = (wide.astype(np.int64) << np.arange(bits)).sum(axis=2) | np.arange(bands)[None, :] << 40
                 v = value[:, :, None] ^ flips
-                yield pa.record_batch([pa.array(v.ravel()), pa.array(np.repeat(rep, bands * len(flips)))], names=["v", "rep"])
+                yield pa.record_batch([pa.array(v.ravel()), *(pa.array(np.repeat(x, bands * len(flips))) for x in (rep, words[:, -1].astype(np.int64)))], names=["v", "rep", "last"])
 
     return run
 
 
-def _neighbours(batches):
-    """Of rows (v, rep) sorted by both: each member of a variant with the first and with the next one."""
-    rest = [np.zeros(0, np.int64)] * 2
+def _neighbours(most: int):
+    """Of rows (v, rep, last) sorted by v and rep: each member of a variant with the first and with the next one,
+    unless their last words differ in more than `most` bits."""
 
-    def pairs(v, rep):
+    def pairs(v, rep, last):
         new = np.append(True, v[1:] != v[:-1])
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
         at = np.flatnonzero(~new)
-        a = np.concatenate([rep[first[at]], rep[at - 1]])
-        b = np.concatenate([rep[at], rep[at]])
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
+        i, j = np.concatenate([first[at], at - 1]), np.concatenate([at, at])
+        near = (rep[i] != rep[j]) & (np.bitwise_count((last[i] ^ last[j]).view(np.uint64)) <= most)
+        a, b = rep[i[near]], rep[j[near]]
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-    for batch in batches:
-        got = [np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False)]) for i, r in enumerate(rest)]
-        if not len(got[0]):
-            continue
-        # a variant that is still open keeps its first and last member for the next batch
-        open_ = int(np.searchsorted(got[0], got[0][-1]))
-        yield pairs(*got)
-        rest = [x[[open_, -1]] for x in got]
+    def run(batches):
+        rest = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            got = [np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False)]) for i, r in enumerate(rest)]
+            if not len(got[0]):
+                continue
+            # a variant that is still open keeps its first and last member for the next batch
+            open_ = int(np.searchsorted(got[0], got[0][-1]))
+            yield pairs(*got)
+            rest = [x[[open_, -1]] for x in got]
+
+    return run
 
 
 def similar_components(docs, shingle: int = 5, similarity: float = 0.8, bands: int = BANDS, bits: int = BITS):
@@ -185,7 +190,8 @@ def similar_components(docs, shingle: int = 5, similarity: float = 0.8, bands: i
     with all its variants within one bit, so pairs that differ in at most two bits of some band meet: at a
     Jaccard similarity of 0.8, where 15 % of the bits differ, 12 bands of 28 bits find 91 % of the pairs
     in one step and components find more; at 0.9, 99 %. Each variant's members are paired with its first
-    and next member, and pairs stay if the whole fingerprints differ in no more bits than the similarity
+    and next member; a pair whose last words differ by five standard deviations more than the similarity allows
+    met by chance and goes at once (so does one of a million others), and pairs stay if the whole fingerprints differ in no more bits than the similarity
     allows. Texts are treated as by simhash_components, and so are null and repeated ids. For much more
     than 10**8 documents take more bits and bands.
     """
@@ -194,10 +200,10 @@ def similar_components(docs, shingle: int = 5, similarity: float = 0.8, bands: i
     shape = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "__k", *names)])
     marked = materialize(docs.select(F.col("doc_id").cast("long"), key.alias("__k"), "text").mapInArrow(lean(_fingerprints(shingle, WORDS)), shape))
     classes = materialize(marked.groupBy(*names).agg(F.min("doc_id").alias("rep")))
-    found = classes.where("rep is not null").select("rep", *names).mapInArrow(lean(_bands(bands, bits)), "v long, rep long")
-    pairs = found.repartition("v").sortWithinPartitions("v", "rep").mapInArrow(lean(_neighbours), "a long, b long").distinct()
-    cosine = 2 * similarity / (1 + similarity)
-    most = round(64 * WORDS * math.acos(cosine) / math.pi)
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most, loose = round(64 * WORDS * share), round(64 * share + 5 * math.sqrt(64 * share * (1 - share)))
+    found = classes.where("rep is not null").select("rep", *names).mapInArrow(lean(_bands(bands, bits)), "v long, rep long, last long")
+    pairs = found.repartition("v").sortWithinPartitions("v", "rep").mapInArrow(lean(_neighbours(loose)), "a long, b long").distinct()
     left, right = (classes.select(F.col("rep").alias(x), *[F.col(c).alias(x + c) for c in names]) for x in "ab")
     away = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in names[1:]), F.bit_count(F.col("afp").bitwiseXOR(F.col("bfp"))))
     edges = pairs.join(left, "a").join(right, "b").where(away <= most).select("a", "b")

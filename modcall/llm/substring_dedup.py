@@ -75,7 +75,7 @@ def _sketch(n: int):
                 for r in range(ROWS):
                     held[r].append(_cells(found, r))
                 size += len(found)
-            if size > 1 << 21:
+            if size > 1 << 19:
                 fold()
                 size = 0
         fold()
@@ -176,7 +176,7 @@ def _later(h1, h2, doc, key, start):
     return order, (d != d[head][group]) | (s != s[head][group])
 
 
-def _candidates(n: int, sketch, n_buckets: int, flush: int = 1 << 21):
+def _candidates(n: int, sketch, n_buckets: int, flush: int = 1 << 19):
     """Windows estimated repeated: settled ones in one row of any bucket (kind 1), the rest by hash bucket (kind 0)."""
     shift = 64 - (n_buckets.bit_length() - 1)
 

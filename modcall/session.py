@@ -35,7 +35,7 @@ def ship(spark: SparkSession) -> None:
     Rows can hold texts of any length, so Arrow batches are bounded by bytes too unless the session says otherwise.
     """
     if spark.conf.get(BATCH_BYTES, None) is None:
-        spark.conf.set(BATCH_BYTES, str(16 << 20))
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -20,24 +20,32 @@ def _totals(h):
     return runs.sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: bytes | None, shingle: int, words64: int = 1) -> list[int]:
-    """SimHash of 64-bit words: a bit is set if it is set in over half of the shingles' hashes; no words: 0.
-
-    The first word takes the shingles' XXH64 (seed 42), further ones independent remixes of it.
-    """
+def hashes(text: bytes | None, shingle: int):
+    """XXH64 (seed 42) of the word shingles of a text, repeats included."""
     words = (text or b"").lower().split()
     if not words:
-        return [0] * words64
+        return np.zeros(0, np.uint64)
     joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        got = [hashed(joined, 42)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.append(0, ends[:-1]).tolist()
-        got = [hashed(joined[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())]  # noqa: B905
+        return np.array([hashed(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.append(0, ends[:-1]).tolist()
+    return np.array([hashed(joined[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], np.uint64)  # noqa: B905
+
+
+def fingerprint(text: bytes | None, shingle: int, words64: int = 1, once: bool = False) -> list[int]:
+    """SimHash of 64-bit words: a bit is set if it is set in over half of the shingles' hashes; no words: 0.
+
+    The first word takes the shingles' XXH64 (seed 42), further ones independent remixes of it. once:
+    a shingle that repeats counts once.
+    """
+    got = hashes(text, shingle)
+    if not len(got):
+        return [0] * words64
+    got = np.unique(got) if once else got
     total = 0
     for at in range(0, len(got), 1 << 14):
-        part = np.array(got[at : at + (1 << 14)], np.uint64)
+        part = got[at : at + (1 << 14)]
         more = [mix(part + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) for k in range(1, words64)]
         total = total + _totals(np.stack([part, *more], axis=1).astype(">u8"))
     return np.packbits(2 * total > len(got)).view(">u8").tolist()
@@ -47,10 +55,10 @@ def _names(words64: int) -> list[str]:
     return ["fp", *(f"fp{k}" for k in range(1, words64))]
 
 
-def _fingerprints(shingle: int, words64: int = 1):
+def _fingerprints(shingle: int, words64: int = 1, once: bool = False):
     def run(batches):
         for batch in batches:
-            got = np.array([fingerprint(t, shingle, words64) for t in raw(batch.column(batch.num_columns - 1))], np.uint64)
+            got = np.array([fingerprint(t, shingle, words64, once) for t in raw(batch.column(batch.num_columns - 1))], np.uint64)
             got = got.reshape(-1, words64).view(np.int64)
             yield pa.record_batch([*batch.columns[:-1], *[pa.array(got[:, k]) for k in range(words64)]], names=[*batch.schema.names[:-1], *_names(words64)])
 
@@ -133,12 +141,14 @@ def simhash_components(docs, shingle: int = 5, radius: int = 2):
     return docs.join(marked, same).drop("__id", "__k")
 
 
-#: Words of the long fingerprint; bands of bits that are searched each for a radius of two bits.
-WORDS, BANDS, BITS = 6, 12, 28
+#: Words of the long fingerprint; bands of bits that are searched each for a radius of two bits; words that
+#: go along with a variant, and standard deviations that a pair may lie beyond the expected number of bits.
+WORDS, BANDS, BITS = 6, 16, 24
+ALONG, SPREAD = 2, 5
 
 
 def _bands(bands: int, bits: int):
-    """Every band's variants within one bit, as (v, rep, last): the band's number above the variant's bits; the last word."""
+    """Every band's variants within one bit, as (v, rep, last words): the band's number above the variant's bits."""
 
     def run(batches):
         flips = np.append(0, 1 << np.arange(bits)).astype(np.int64)
@@ -150,27 +160,42 @@ def _bands(bands: int, bits: int):
                 wide = np.unpackbits(words.view(np.uint8).reshape(len(rep), -1), axis=1)[:, : bands * bits].reshape(len(rep), bands, bits)
                 value = (wide.astype(np.int64) << np.arange(bits)).sum(axis=2) | np.arange(bands)[None, :] << 40
                 v = value[:, :, None] ^ flips
-                yield pa.record_batch([pa.array(v.ravel()), *(pa.array(np.repeat(x, bands * len(flips))) for x in (rep, words[:, -1].astype(np.int64)))], names=["v", "rep", "last"])
+                along = [words[:, k - ALONG].astype(np.int64) for k in range(ALONG)]
+                yield pa.record_batch([pa.array(v.ravel()), *(pa.array(np.repeat(x, bands * len(flips))) for x in (rep, *along))], names=["v", "rep", *_along()])
 
     return run
 
 
+def _along() -> list[str]:
+    return [f"w{k}" for k in range(ALONG)]
+
+
+def _away(words, i, j):
+    """Bits in which members i and j differ; words: one array of each 64-bit word."""
+    return sum(np.bitwise_count((w[i] ^ w[j]).view(np.uint64)).astype(np.int64) for w in words)
+
+
+def _loose(bits: int, share: float) -> int:
+    """Bits of `bits` that a pair may differ in, SPREAD standard deviations above the expected share."""
+    return math.ceil(bits * share + SPREAD * math.sqrt(bits * share * (1 - share)))
+
+
 def _neighbours(most: int):
-    """Of rows (v, rep, last) sorted by v and rep: each member of a variant with the first and with the next one,
-    unless their last words differ in more than `most` bits."""
+    """Of rows (v, rep, words) sorted by v and rep: each member of a variant with the first and with the next one,
+    unless their words differ in more than `most` bits."""
 
-    def pairs(v, rep, last):
+    def pairs(v, rep, *words):
         new = np.append(True, v[1:] != v[:-1])
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
         at = np.flatnonzero(~new)
         i, j = np.concatenate([first[at], at - 1]), np.concatenate([at, at])
-        near = (rep[i] != rep[j]) & (np.bitwise_count((last[i] ^ last[j]).view(np.uint64)) <= most)
+        near = (rep[i] != rep[j]) & (_away(words, i, j) <= most)
         a, b = rep[i[near]], rep[j[near]]
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     def run(batches):
-        rest = [np.zeros(0, np.int64)] * 3
+        rest = [np.zeros(0, np.int64)] * (2 + ALONG)
         for batch in batches:
             got = [np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False)]) for i, r in enumerate(rest)]
             if not len(got[0]):
@@ -183,30 +208,61 @@ def _neighbours(most: int):
     return run
 
 
+def _sets(shingle: int):
+    """(rep, text) to (rep, s): the distinct hashes of the text's shingles."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(hashes(t, shingle)).view(np.int64) for t in raw(batch.column(1))]
+            upto = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))], names=["rep", "s"])
+
+    return run
+
+
+def _verified(docs, classes, pairs, shingle: int, similarity: float, most: int):
+    """Of candidate pairs (a, b) of class representatives: those whose shingle sets are similar, exactly.
+
+    Pairs whose whole fingerprints differ in more than `most` bits met by chance. The sets are made for
+    the texts of the others only.
+    """
+    names = _names(WORDS)
+    left, right = (classes.select(F.col("rep").alias(x), *[F.col(c).alias(x + c) for c in names]) for x in "ab")
+    away = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in names[1:]), F.bit_count(F.col("afp").bitwiseXOR(F.col("bfp"))))
+    pairs = materialize(pairs.join(left, "a").join(right, "b").where(away <= most).select("a", "b").distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(classes.select("rep", "rep_k"), "rep")
+    wanted = materialize(wanted)
+    few = F.broadcast(wanted) if wanted.count() <= 1 << 20 else wanted
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("rep_k"), "text").join(few, ["rep", "rep_k"]).dropDuplicates(["rep", "rep_k"])
+    sets = materialize(texts.select("rep", "text").mapInArrow(lean(_sets(shingle)), "rep long, s array<long>"))
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared / F.greatest(F.lit(1), F.size("sa") + F.size("sb") - shared) >= similarity).select("a", "b").distinct()
+
+
 def similar_components(docs, shingle: int = 5, similarity: float = 0.8, bands: int = BANDS, bits: int = BITS):
-    """Documents with component_id, linked where long SimHashes say that their word shingles are similar.
-
-    A fingerprint of WORDS * 64 bits is cut into bands. Each band of every distinct fingerprint is hashed
-    with all its variants within one bit, so pairs that differ in at most two bits of some band meet: at a
-    Jaccard similarity of 0.8, where 15 % of the bits differ, 12 bands of 28 bits find 91 % of the pairs
-    in one step and components find more; at 0.9, 99 %. Each variant's members are paired with its first
-    and next member; a pair whose last words differ by five standard deviations more than the similarity allows
-    met by chance and goes at once (so does one of a million others), and pairs stay if the whole fingerprints differ in no more bits than the similarity
-    allows. Texts are treated as by simhash_components, and so are null and repeated ids. For much more
-    than 10**8 documents take more bits and bands.
+    """Documents with component_id, linked where the Jaccard similarity of their sets of word shingles is enough.
+
+    Long SimHashes of the sets find candidates: a fingerprint of WORDS * 64 bits is cut into bands, each
+    hashed with all its variants within one bit, so pairs that differ in at most two bits of some band meet.
+    At a similarity of 0.8, where 15 % of the bits differ, 16 bands of 24 bits find 99.5 % of the pairs. Each
+    variant's members are paired with its first and next member. A pair whose whole
+    fingerprints differ by five standard deviations more than the similarity lets expect met by chance; of
+    all others the sets of hashed shingles are compared. Equal fingerprints are one class. Texts are treated
+    as by simhash_components, and so are null and repeated ids. For much more than 10**8 documents take more
+    bits and words.
     """
     docs = without(docs, "component_id")
     names, key = _names(WORDS), F.xxhash64("text")
     shape = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "__k", *names)])
-    marked = materialize(docs.select(F.col("doc_id").cast("long"), key.alias("__k"), "text").mapInArrow(lean(_fingerprints(shingle, WORDS)), shape))
-    classes = materialize(marked.groupBy(*names).agg(F.min("doc_id").alias("rep")))
+    marked = materialize(docs.select(F.col("doc_id").cast("long"), key.alias("__k"), "text").mapInArrow(lean(_fingerprints(shingle, WORDS, True)), shape))
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "__k"))).alias("least")
+    classes = materialize(marked.groupBy(*names).agg(least).select(*names, F.col("least.doc_id").alias("rep"), F.col("least.__k").alias("rep_k")))
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most, loose = round(64 * WORDS * share), round(64 * share + 5 * math.sqrt(64 * share * (1 - share)))
-    found = classes.where("rep is not null").select("rep", *names).mapInArrow(lean(_bands(bands, bits)), "v long, rep long, last long")
-    pairs = found.repartition("v").sortWithinPartitions("v", "rep").mapInArrow(lean(_neighbours(loose)), "a long, b long").distinct()
-    left, right = (classes.select(F.col("rep").alias(x), *[F.col(c).alias(x + c) for c in names]) for x in "ab")
-    away = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in names[1:]), F.bit_count(F.col("afp").bitwiseXOR(F.col("bfp"))))
-    edges = pairs.join(left, "a").join(right, "b").where(away <= most).select("a", "b")
+    variants = f"v long, rep long, {', '.join(c + ' long' for c in _along())}"
+    found = classes.where("rep is not null").select("rep", *names).mapInArrow(lean(_bands(bands, bits)), variants)
+    pairs = found.repartition("v").sortWithinPartitions("v", "rep").mapInArrow(lean(_neighbours(_loose(64 * ALONG, share))), "a long, b long").distinct()
+    edges = _verified(docs, classes, pairs, shingle, similarity, _loose(64 * WORDS, share))
     group = components(edges)
     joined = classes.join(group, F.col("rep") == F.col("node"), "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
     ids = marked.join(joined, names).select(F.col("doc_id").alias("__id"), "__k", "component_id").dropDuplicates(["__id", "__k"])

@@ -106,6 +106,48 @@ def test_similar(spark):
     assert got == {i: i % 12 for i in range(24)}
 
 
+def _shingles(text):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def _jaccard(a, b):
+    return len(a & b) / max(1, len(a | b))
+
+
+def _brute(rows):
+    """The smallest id reachable by links of a five-word Jaccard similarity of 0.8 or more, by all pairs."""
+    sets = {i: _shingles(t) for i, t in rows}
+    group = {i: i for i in sets}
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and _jaccard(sets[a], sets[b]) >= 0.8:
+                group[max(top(a), top(b))] = min(top(a), top(b))
+    return {i: top(i) for i in sets}
+
+
+def test_similar_threshold(spark):
+    from modcall.llm.simhash import similar_components
+
+    rng = random.Random(7)
+    rows, near = [], []
+    for d in range(60):  # an edit changes five shingles: similarities from 0.70 to 0.90
+        base = [f"t{d}w{k}" for k in range(304)]
+        for k in rng.sample(range(3, 60), 3 + d % 8):
+            base[5 * k] = "edit"
+        rows += [(2 * d, " ".join(f"t{d}w{k}" for k in range(304))), (2 * d + 1, " ".join(base))]
+        near.append(_jaccard(_shingles(rows[-2][1]), _shingles(rows[-1][1])))
+    assert sum(0.7 <= x < 0.8 for x in near) > 10 and sum(0.8 <= x < 0.87 for x in near) > 10
+    got = {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _brute(rows)
+
+
 def test_tokens(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -145,6 +145,9 @@ def simhash_components(docs, shingle: int = 5, radius: int = 2):
 #: go along with a variant, and standard deviations that a pair may lie beyond the expected number of bits.
 WORDS, BANDS, BITS = 6, 16, 24
 ALONG, SPREAD = 2, 5
+#: Members of a variant, or of a block of one, that a task compares at a time; pairs for each member that a
+#: variant gives at once: larger and denser variants wait until the first links are known.
+LARGEST, DENSE = 2048, 4
 
 
 def _bands(bands: int, bits: int):
@@ -180,30 +183,111 @@ def _loose(bits: int, share: float) -> int:
     return math.ceil(bits * share + SPREAD * math.sqrt(bits * share * (1 - share)))
 
 
-def _neighbours(most: int):
-    """Of rows (v, rep, words) sorted by v and rep: each member of a variant with the first and with the next one,
-    unless their words differ in more than `most` bits."""
+def _lags(size):
+    """For groups of these sizes side by side: in turn all places i whose place i + lag is in their group, with the lag."""
+    after = np.repeat(np.cumsum(size), size) - 1 - np.arange(size.sum())
+    at, lag = np.flatnonzero(after > 0), 1
+    while len(at):
+        yield at, lag
+        lag += 1
+        at = at[after[at] >= lag]
 
-    def pairs(v, rep, *words):
-        new = np.append(True, v[1:] != v[:-1])
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        at = np.flatnonzero(~new)
-        i, j = np.concatenate([first[at], at - 1]), np.concatenate([at, at])
-        near = (rep[i] != rep[j]) & (_away(words, i, j) <= most)
-        a, b = rep[i[near]], rep[j[near]]
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+def _ordered(a, b):
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0).reshape(-1, 2).T
+
+
+def _members(most: int, largest: int):
+    """Of rows (v, rep, words) sorted by v and rep: (-1, a, b) for pairs of a variant whose words differ in at most
+    `most` bits. Variants of more than `largest` members or DENSE such pairs a member give (v, rep, rep) for
+    each member instead, and the pairs of each member with the first and the next one only."""
+
+    def found(v, rep, words, done):
+        """done: members of the first variant that are given already."""
+        head = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+        size = np.diff(np.append(head, len(v)))
+        wait = size > largest
+        wait[0] |= done > 0
+        near = lambda i, j: (rep[i] != rep[j]) & (_away(words, i, j) <= most)
+        some = (size > 1) & ~wait
+        place, own = np.flatnonzero(np.repeat(some, size)), np.repeat(np.arange(len(size)), size)
+        count, pairs = np.zeros(len(size), np.int64), []
+        for at, lag in _lags(size[some]):
+            i = place[at]
+            i = i[count[own[i]] <= DENSE * size[own[i]]]
+            if not len(i):
+                break
+            i = i[near(i, i + lag)]
+            if len(i):
+                pairs.append((i, i + lag))
+                np.add.at(count, own[i], 1)
+        wait |= count > DENSE * size
+        i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*pairs, strict=True)) if pairs else np.zeros((2, 0), np.int64)
+        keep = ~wait[own[i]]
+        new = np.flatnonzero(np.repeat(wait, size) & (np.arange(len(v)) != head[own]))
+        p, q = np.concatenate([i[keep], head[own[new]], new - 1]), np.concatenate([j[keep], new, new])
+        ok = near(p, q)
+        a, b = _ordered(rep[p[ok]], rep[q[ok]])
+        given = np.flatnonzero(np.repeat(wait, size))
+        given = given[given >= done]
+        out = [np.concatenate([np.full(len(a), -1), v[given]]), np.concatenate([a, rep[given]]), np.concatenate([b, rep[given]])]
+        return pa.record_batch([pa.array(x) for x in out], names=["v", "a", "b"])
 
     def run(batches):
-        rest = [np.zeros(0, np.int64)] * (2 + ALONG)
+        rest, done = [np.zeros(0, np.int64)] * (2 + ALONG), 0
         for batch in batches:
             got = [np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False)]) for i, r in enumerate(rest)]
             if not len(got[0]):
                 continue
-            # a variant that is still open keeps its first and last member for the next batch
             open_ = int(np.searchsorted(got[0], got[0][-1]))
-            yield pairs(*got)
-            rest = [x[[open_, -1]] for x in got]
+            if open_:
+                v, rep, *words = (x[:open_] for x in got)
+                yield found(v, rep, words, done)
+                done = 0
+            rest = [x[open_:] for x in got]
+            if done or len(rest[0]) > largest:  # a large variant that is still open keeps its first and last member
+                v, rep, *words = rest
+                yield found(v, rep, words, done)
+                rest, done = [x[[0, -1]] for x in rest], 2
+        if len(rest[0]) > done:
+            v, rep, *words = rest
+            yield found(v, rep, words, done)
+
+    return run
+
+
+def _across(most: int):
+    """Of rows (v, rep, c, words) sorted by v: all pairs of a group with different c whose words differ in at most `most` bits."""
+
+    def pairs(v, rep, c, *words):
+        size = np.diff(np.append(np.flatnonzero(np.append(True, v[1:] != v[:-1])), len(v)))
+        held, n = [], 0
+        for i, lag in _lags(size):
+            i = i[c[i] != c[i + lag]]
+            i = i[_away(words, i, i + lag) <= most]
+            held.append((rep[i], rep[i + lag]))
+            n += len(i)
+            if n > 1 << 18:
+                yield held
+                held, n = [], 0
+        if n:
+            yield held
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+            got = [np.concatenate(x) for x in zip(rest, new, strict=True)] if rest else new
+            cut = int(np.searchsorted(got[0], got[0][-1])) if len(got[0]) else 0
+            yield from given([x[:cut] for x in got])
+            rest = [x[cut:] for x in got]
+        if rest:
+            yield from given(rest)
+
+    def given(rows):
+        for held in pairs(*rows) if len(rows[0]) else ():
+            a, b = _ordered(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
@@ -240,13 +324,14 @@ def _verified(docs, classes, pairs, shingle: int, similarity: float, most: int):
     return both.where(shared / F.greatest(F.lit(1), F.size("sa") + F.size("sb") - shared) >= similarity).select("a", "b").distinct()
 
 
-def similar_components(docs, shingle: int = 5, similarity: float = 0.8, bands: int = BANDS, bits: int = BITS):
+def similar_components(docs, shingle: int = 5, similarity: float = 0.8, bands: int = BANDS, bits: int = BITS, largest: int = LARGEST):
     """Documents with component_id, linked where the Jaccard similarity of their sets of word shingles is enough.
 
     Long SimHashes of the sets find candidates: a fingerprint of WORDS * 64 bits is cut into bands, each
     hashed with all its variants within one bit, so pairs that differ in at most two bits of some band meet.
-    At a similarity of 0.8, where 15 % of the bits differ, 16 bands of 24 bits find 99.5 % of the pairs. Each
-    variant's members are paired with its first and next member. A pair whose whole
+    At a similarity of 0.8, where 15 % of the bits differ, 16 bands of 24 bits find 99.5 % of the pairs. All
+    pairs of a variant are tested: those of large or dense variants in a second step, in blocks of about
+    `largest` members, without the pairs that the links of the first step connect. A pair whose
     fingerprints differ by five standard deviations more than the similarity lets expect met by chance; of
     all others the sets of hashed shingles are compared. Equal fingerprints are one class. Texts are treated
     as by simhash_components, and so are null and repeated ids. For much more than 10**8 documents take more
@@ -261,9 +346,20 @@ def similar_components(docs, shingle: int = 5, similarity: float = 0.8, bands: i
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     variants = f"v long, rep long, {', '.join(c + ' long' for c in _along())}"
     found = classes.where("rep is not null").select("rep", *names).mapInArrow(lean(_bands(bands, bits)), variants)
-    pairs = found.repartition("v").sortWithinPartitions("v", "rep").mapInArrow(lean(_neighbours(_loose(64 * ALONG, share))), "a long, b long").distinct()
-    edges = _verified(docs, classes, pairs, shingle, similarity, _loose(64 * WORDS, share))
-    group = components(edges)
+    few, whole = _loose(64 * ALONG, share), _loose(64 * WORDS, share)
+    met = materialize(found.repartition("v").sortWithinPartitions("v", "rep").mapInArrow(lean(_members(few, largest)), "v long, a long, b long"))
+    group = components(_verified(docs, classes, met.where("v < 0").select("a", "b").distinct(), shingle, similarity, whole))
+    members = met.where("v >= 0").select("v", F.col("a").alias("rep")).join(group, F.col("rep") == F.col("node"), "left").select("v", "rep", F.coalesce("component", "rep").alias("c"))
+    split = members.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / largest).alias("n")).where("lo < hi").select("v", "n")
+    members = materialize(members.join(split, "v"))
+    if members.first() is not None:
+        # each block of a variant meets each other block, and itself, in a group of its own
+        block = F.pmod(F.xxhash64("rep"), "n")
+        cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda j: F.xxhash64("v", F.least(block, j), F.greatest(block, j)))
+        full = members.join(classes.select("rep", *names), "rep").select(F.explode(cells).alias("v"), "rep", "c", *names)
+        pairs = full.repartition("v").sortWithinPartitions("v").mapInArrow(lean(_across(whole)), "a long, b long").distinct()
+        more = _verified(docs, classes, pairs, shingle, similarity, whole)
+        group = components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     joined = classes.join(group, F.col("rep") == F.col("node"), "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
     ids = marked.join(joined, names).select(F.col("doc_id").alias("__id"), "__k", "component_id").dropDuplicates(["__id", "__k"])
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (key == F.col("__k"))

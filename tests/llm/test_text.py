@@ -148,6 +148,22 @@ def test_similar_threshold(spark):
     assert got == _brute(rows)
 
 
+@pytest.mark.parametrize("largest", [2048, 24])
+def test_similar_family(spark, largest):
+    from modcall.llm.simhash import similar_components
+
+    rng = random.Random(5)
+    size, pairs = 900, 60
+    ids = rng.sample(range(10**6), size + pairs)
+    template = [f"t{k}" for k in range(64)]
+    texts = [template + [f"d{d}w{k}" for k in range(13)] for d in range(size)]  # 60 of 86 shingles shared: 0.70
+    texts += [t[:71] + [f"e{d}w{k}" for k in range(6)] for d, t in enumerate(texts[:pairs])]  # 67 of 79: 0.85
+    want = {i: i for i in ids} | {i: min(ids[k % size], ids[k % size + size]) for k, i in enumerate(ids) if k % size < pairs}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in similar_components(docs, largest=largest).collect()}
+    assert sum(got[i] != want[i] for i in ids) == 0
+
+
 def test_tokens(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer

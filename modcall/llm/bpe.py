@@ -145,7 +145,7 @@ class WordEncoder(Merges):
         self.reset()
 
     def reset(self):
-        self.known: dict[str, int] = {}
+        self.known: dict[str | tuple, int] = {}
         self.ids, self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     @staticmethod
@@ -153,32 +153,33 @@ class WordEncoder(Merges):
         text = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
         return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
-    def words(self, text: str | None) -> list[str]:
-        """Pieces of a text that encode independently; special tokens stand alone."""
+    def words(self, text: str | None) -> list:
+        """Pieces of a text that encode independently; a special token stands alone, as a tuple, since a
+        lower-cased word may look like one."""
         if not text:
             return []
         if self.special_pattern and "<|" in text and self.special_pattern.search(text):
             out = []
             for part in self.special_pattern.split(text):
-                out += [part] if part in self.special else self.words(part)
+                out += [(part,)] if part in self.special else self.words(part)
             return out
         text = self.lower(text)
         return self.pattern.findall(text) if self.odd.search(text) else text.split()
 
-    def learn(self, new: list[str]):
+    def learn(self, new: list):
         """Encode words that are not known yet."""
         new = list(set(new).difference(self.known))
         if not new:
             return
-        parts = [[w.encode()] if w.isalpha() else [] if w in self.special else [x.encode() for x in self.pattern.findall(w)] for w in new]
+        parts = [[] if isinstance(w, tuple) else [w.encode()] if w.isalpha() else [x.encode() for x in self.pattern.findall(w)] for w in new]
         flat, size = encode_words(self, [x for p in parts for x in p])
         many = np.fromiter(map(len, parts), np.int64, len(parts))
         upto = np.append(0, np.cumsum(size))
         at = np.append(0, np.cumsum(many))
         count = upto[at[1:]] - upto[at[:-1]]
-        lone = [i for i, w in enumerate(new) if w in self.special]
+        lone = [i for i, w in enumerate(new) if isinstance(w, tuple)]
         if lone:
-            flat = np.insert(flat, upto[at[lone]], [self.special[new[i]] for i in lone])
+            flat = np.insert(flat, upto[at[lone]], [self.special[new[i][0]] for i in lone])
             count[lone] = 1
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.first = np.append(self.first, len(self.ids) + np.cumsum(count) - count)

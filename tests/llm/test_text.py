@@ -195,6 +195,22 @@ def test_tokens(spark, docs):
     assert pack(docs.limit(0), path).count() == 0
 
 
+def test_special_case():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from modcall.llm.bpe import WordEncoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, enc = Tokenizer.from_file(path), WordEncoder(path)
+    texts = ["a <|ENDOFTEXT|> b", "<|endoftext|>", "<|StartOfText|>", "x <|startoftext|> <|STARTOFTEXT|>\n<|endoftext|><|EndOfText|> y", "<|EndOfText|>\x1c <|endoftext|>"]
+    for group in ([t] for t in texts), [texts], [texts[::-1]]:
+        for some in group:
+            ids, size = enc.encode(some)
+            assert ids.tolist() == [i for t in some for i in tok.encode(t, add_special_tokens=False).ids]
+            assert size.tolist() == [len(tok.encode(t, add_special_tokens=False).ids) for t in some]
+
+
 def test_quality(docs):
     from modcall.llm.quality_rules import quality_rules
 

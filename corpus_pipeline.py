@@ -7,7 +7,7 @@ from modcall.llm.common import materialize
 from modcall.llm.language_id import identify_language
 from modcall.llm.line_dedup import dedup_lines
 from modcall.llm.packing import pack
-from modcall.llm.simhash import similar_components
+from modcall.llm.simhash import drop_similar
 from modcall.llm.substring_dedup import dedup_substrings
 from modcall.session import ship
 
@@ -31,10 +31,10 @@ def lines(spark, docs, sf_dir):
 
 
 def near_copies(spark, docs, sf_dir):
-    """Of documents linked by five-word shingles at a similarity of 0.8 or more, the smallest id stays."""
+    """Of documents linked by five-word shingles at a similarity of 0.8 or more, one row stays: the smallest by
+    id (null last), text key and row key. Rows with one id are linked, and all texts without words are one group."""
     ship(spark)
-    found = similar_components(docs, 5, 0.8)
-    return found.where(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select(*[f"`{c}`" for c in docs.columns])
+    return drop_similar(docs, 5, 0.8)
 
 
 def passages(spark, docs, sf_dir):

@@ -324,28 +324,21 @@ def _verified(docs, classes, pairs, shingle: int, similarity: float, most: int):
     return both.where(shared / F.greatest(F.lit(1), F.size("sa") + F.size("sb") - shared) >= similarity).select("a", "b").distinct()
 
 
-def similar_components(docs, shingle: int = 5, similarity: float = 0.8, bands: int = BANDS, bits: int = BITS, largest: int = LARGEST):
-    """Documents with component_id, linked where the Jaccard similarity of their sets of word shingles is enough.
+def _search(docs, shingle: int, similarity: float, bands: int, bits: int, largest: int):
+    """Rows of docs as (doc_id, __k, __r, g, component_id): keys of text and whole row, group, its smallest doc_id.
 
-    Long SimHashes of the sets find candidates: a fingerprint of WORDS * 64 bits is cut into bands, each
-    hashed with all its variants within one bit, so pairs that differ in at most two bits of some band meet.
-    At a similarity of 0.8, where 15 % of the bits differ, 16 bands of 24 bits find 99.5 % of the pairs. All
-    pairs of a variant are tested: those of large or dense variants in a second step, in blocks of about
-    `largest` members, without the pairs that the links of the first step connect. A pair whose
-    fingerprints differ by five standard deviations more than the similarity lets expect met by chance; of
-    all others the sets of hashed shingles are compared. Equal fingerprints are one class. Texts are treated
-    as by simhash_components, and so are null and repeated ids. For much more than 10**8 documents take more
-    bits and words.
+    A class without any doc_id takes part under a hash of its fingerprint.
     """
-    docs = without(docs, "component_id")
     names, key = _names(WORDS), F.xxhash64("text")
-    shape = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "__k", *names)])
-    marked = materialize(docs.select(F.col("doc_id").cast("long"), key.alias("__k"), "text").mapInArrow(lean(_fingerprints(shingle, WORDS, True)), shape))
-    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "__k"))).alias("least")
-    classes = materialize(marked.groupBy(*names).agg(least).select(*names, F.col("least.doc_id").alias("rep"), F.col("least.__k").alias("rep_k")))
+    shape = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "__k", "__r", *names)])
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = materialize(docs.select(F.col("doc_id").cast("long"), key.alias("__k"), row.alias("__r"), "text").mapInArrow(lean(_fingerprints(shingle, WORDS, True)), shape))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__k")).alias("least")
+    classes = marked.groupBy(*names).agg(least).select(*names, F.col("least.doc_id").alias("id"), F.col("least.__k").alias("rep_k"))
+    classes = materialize(classes.withColumn("rep", F.coalesce("id", F.xxhash64(*names))))
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     variants = f"v long, rep long, {', '.join(c + ' long' for c in _along())}"
-    found = classes.where("rep is not null").select("rep", *names).mapInArrow(lean(_bands(bands, bits)), variants)
+    found = classes.select("rep", *names).mapInArrow(lean(_bands(bands, bits)), variants)
     few, whole = _loose(64 * ALONG, share), _loose(64 * WORDS, share)
     met = materialize(found.repartition("v").sortWithinPartitions("v", "rep").mapInArrow(lean(_members(few, largest)), "v long, a long, b long"))
     group = components(_verified(docs, classes, met.where("v < 0").select("a", "b").distinct(), shingle, similarity, whole))
@@ -360,12 +353,41 @@ def similar_components(docs, shingle: int = 5, similarity: float = 0.8, bands: i
         pairs = full.repartition("v").sortWithinPartitions("v").mapInArrow(lean(_across(whole)), "a long, b long").distinct()
         more = _verified(docs, classes, pairs, shingle, similarity, whole)
         group = components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    joined = classes.join(group, F.col("rep") == F.col("node"), "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
-    ids = marked.join(joined, names).select(F.col("doc_id").alias("__id"), "__k", "component_id").dropDuplicates(["__id", "__k"])
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (key == F.col("__k"))
+    joined = classes.join(group, F.col("rep") == F.col("node"), "left").select(*names, "id", F.coalesce("component", "rep").alias("g"))
+    joined = joined.join(joined.groupBy("g").agg(F.min("id").alias("component_id")), "g").drop("id")
+    return marked.join(joined, names).select("doc_id", "__k", "__r", "g", "component_id")
+
+
+def similar_components(docs, shingle: int = 5, similarity: float = 0.8, bands: int = BANDS, bits: int = BITS, largest: int = LARGEST):
+    """Documents with component_id, linked where the Jaccard similarity of their sets of word shingles is enough.
+
+    Long SimHashes of the sets find candidates: a fingerprint of WORDS * 64 bits is cut into bands, each
+    hashed with all its variants within one bit, so pairs that differ in at most two bits of some band meet.
+    At a similarity of 0.8, where 15 % of the bits differ, 16 bands of 24 bits find 99.5 % of the pairs. All
+    pairs of a variant are tested: those of large or dense variants in a second step, in blocks of about
+    `largest` members, without the pairs that the links of the first step connect. A pair whose
+    fingerprints differ by five standard deviations more than the similarity lets expect met by chance; of
+    all others the sets of hashed shingles are compared. Equal fingerprints are one class. Texts are treated
+    as by simhash_components, and so are null and repeated ids. For much more than 10**8 documents take more
+    bits and words.
+    """
+    docs = without(docs, "component_id")
+    ids = _search(docs, shingle, similarity, bands, bits, largest).select(F.col("doc_id").alias("__id"), "__k", "component_id").dropDuplicates(["__id", "__k"])
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__k"))
     return docs.join(ids, same).drop("__id", "__k")
 
 
+def drop_similar(docs, shingle: int = 5, similarity: float = 0.8):
+    """One row of docs for each group of similar_components: the smallest by doc_id (null last), text key and row key.
+
+    Rows that are equal in all columns count as one; so do rows with one doc_id, whatever their texts.
+    """
+    found = _search(docs, shingle, similarity, BANDS, BITS, LARGEST)
+    first = found.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__k", "__r")).alias("first")).select("first.__r")
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.withColumn("__r", row).join(first, "__r").dropDuplicates(["__r"]).select(*[f"`{c}`" for c in docs.columns])
+
+
 def op6_simhash_near_dedup(spark, sf_dir):
     """Per document: its 3-word SimHash in hex and the component of fingerprints within two bits."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -253,3 +253,63 @@ def test_pipeline(spark):
         if first.setdefault(texts[i], i) != i:  # of an exact copy at most short lines are left
             assert size[i] < 0.1 * max(100, len(texts[i].split()))
     assert len(kept) >= 0.8 * len(set(texts.values()))
+
+
+def _plain_stages(rows):
+    """The texts that the first four stages keep, as a multiset of (doc_id, text), by loops over all pairs."""
+    from modcall.llm.line_dedup import line_key
+
+    rank = lambda i: -(1 << 63) if i is None else i
+    rows = [(i, t) for i, t in rows if any(c.isalpha() for c in t or "")]
+    held: dict = {}
+    for i, t in rows:
+        for line in t.encode().split(b"\n"):
+            held.setdefault(line_key(line), set()).add(rank(i))
+    rows = [(i, b"\n".join(x for x in t.encode().split(b"\n") if len(line_key(x).decode()) < 10 or len(held[line_key(x)]) < 2 or min(held[line_key(x)]) == rank(i)).decode()) for i, t in rows]
+    sets, group = [_shingles(t) for _, t in rows], list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if rows[a][0] is not None and rows[a][0] == rows[b][0] or sets[a] == sets[b] or _jaccard(sets[a], sets[b]) >= 0.8:
+                group = [group[b] if g == group[a] else g for g in group]
+    best: dict = {}
+    for g, (i, t) in zip(group, rows, strict=True):
+        one = (i is None, i or 0, t)
+        best[g] = min(best.get(g, one), one)
+    rows = [(None if none else i, t) for none, i, t in best.values()]
+    first: dict = {}
+    for i, t in rows:
+        w = t.encode().split()
+        for s in range(len(w) - 19):
+            first[tuple(w[s : s + 20])] = min(first.get(tuple(w[s : s + 20]), (rank(i), s)), (rank(i), s))
+    out = Counter()
+    for i, t in rows:
+        w = t.encode().split()
+        gone = {k for s in range(len(w) - 19) if first[tuple(w[s : s + 20])] < (rank(i), s) for k in range(s, s + 20)}
+        out[i, b" ".join(x for k, x in enumerate(w) if k not in gone).decode()] += 1
+    return out
+
+
+def test_pipeline_plain(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    rows = [(900, None), (901, "12 34"), (903, "one more short"), (903, "one more short"), (None, "null short"), (None, "null short"), (910, "null short")]
+    for d in range(14):  # lines short of ten characters stay, so copies reach the near-copy stage
+        words = [f"{d}{chr(97 + k % 26)}{k}" for k in range(200)]
+        near = list(words)
+        for k in rng.sample(range(1, 39), 2 + d % 4):
+            near[5 * k] = "e"
+        text, other = "\n".join(words), "\n".join(near)
+        rows += [(2 * d, text), (2 * d + 1, other)]
+        rows += [[(2 * d, text)], [(None, other)], [(None, text), (None, text)], []][d % 4]
+    for d in range(3):  # without any id
+        words = [f"n{d}{chr(97 + k % 26)}{k}" for k in range(200)]
+        rows += [(None, "\n".join(words)), (None, "\n".join(words)), (None, "\n".join(words))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    from modcall.llm.common import materialize
+
+    got = materialize(docs)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = materialize(stage(spark, got, ""))
+    norm = lambda rows: Counter((i, " ".join(t.split())) for i, t in rows)
+    assert norm((r.doc_id, r.text) for r in got.collect()) == norm(_plain_stages(rows).elements())

@@ -58,6 +58,11 @@ def without(df, *names):
     return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in low])
 
 
+def place_of(df, name: str) -> int:
+    """The place of a column, whatever its case."""
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
 def raw(column) -> list:
     """Arrow strings as a list of bytes or None."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -2,13 +2,14 @@
 
 1. Documents are tokenized, cut into pieces and written once: a piece is its place, length and checksum.
 2. The histogram of lengths, at most `capacity` numbers whatever the input, goes to the driver. There the
-   fractional packing program over configurations (multisets of lengths that fit) is solved by
-   multiplicative weights, each step pricing lengths and taking the best configuration by a knapsack
-   dynamic program. The solution is rounded down; what is left is packed best fit, by length.
+   packing program over configurations (multisets of lengths that fit) is solved by multiplicative weights:
+   phases cover the demand by configurations that a knapsack dynamic program prices, uses are rounded to
+   whole sequences, and prices rise where room is wasted. No other packing takes part.
 3. Pieces are numbered within their length by bucket counts and running sums, never in one task, and each
    number looks up its sequence and offset in the table of configurations.
 """
 
+import math
 import zlib
 
 import numpy as np
@@ -19,139 +20,113 @@ from pyspark.sql import functions as F
 from .bpe import WordEncoder, load, parts
 from .common import buckets, lean, materialize
 
-#: Steps of multiplicative weights, configurations that a step takes, how fast a met demand loses weight,
-#: and the part of the narrowest demand that one step may cover with a configuration.
-STEPS, BATCH, RATE, WIDTH = 24, 256, 4.0, 1.0
-#: How often the program is solved again for the demand that rounding leaves.
-ROUNDS = 3
+#: Phases of multiplicative weights at most, the rate at which wasted room raises a price, the part of its
+#: demand that a length gives to one configuration, and the gap to the dual bound that counts as solved.
+PHASES, RATE, WIDTH, GAP = 4, 4.0, 0.5, 0.001
+#: The room's values are priced anew when this part of the tokens before is left.
+ANEW = 0.7
 
 
 def knapsack(value, capacity: int, lengths):
-    """Best total value for each room up to the capacity, and the last length taken there (-1: none)."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    """Best total value of pieces for each room up to the capacity."""
+    best = np.zeros(capacity + 1)
     upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for room in range(1, capacity + 1):
-        best[room] = best[room - 1]
-        if n := upto[room]:
-            got = value[:n] + best[room - lengths[:n]]
-            i = got.argmax()
-            if got[i] > best[room]:
-                best[room], pick[room] = got[i], i
-    return best, pick
-
-
-def trace(pick, room: int, lengths) -> dict[int, int]:
-    """Copies of each length in the configuration that the dynamic program found for a room."""
-    count: dict[int, int] = {}
-    while room > 0:
-        i = int(pick[room])
-        if i < 0:
-            room -= 1
-        else:
-            count[i] = count.get(i, 0) + 1
-            room -= int(lengths[i])
-    return count
-
-
-def configuration_program(lengths, demand, capacity: int, steps: int = STEPS):
-    """Configurations (tuples of length index and copies) and their use in a fractional packing of the
-    demand; lengths ascend.
-
-    Multiplicative weights on the covering constraints: the price of a length falls exponentially with
-    the part of its demand that is covered. One dynamic program prices all rooms, and gives for each of
-    the least covered lengths the best configuration that holds it.
-    """
-    taken: dict[tuple, float] = {}
-    covered = np.zeros(len(lengths))
-    for _ in range(steps if len(lengths) else 0):
-        ratio = covered / demand
-        price = lengths / capacity * np.exp(-RATE * (ratio - ratio.min()))
-        pick = knapsack(price, capacity, lengths)[1]
-        for i in np.lexsort((-lengths, ratio))[:BATCH].tolist():
-            count = trace(pick, capacity - int(lengths[i]), lengths)
-            count[i] = count.get(i, 0) + 1
-            step = max(1.0, WIDTH * min(demand[j] / c for j, c in count.items()))
-            for j, c in count.items():
-                covered[j] += step * c
-            key = tuple(sorted(count.items()))
-            taken[key] = taken.get(key, 0.0) + step
-    rows, x = list(taken), np.array(list(taken.values()))
-    used = sum(n * sum(c * int(lengths[j]) for j, c in row) for row, n in taken.items())
-    return rows, x / max(1.0, used / max(1, int(demand @ lengths)))
-
-
-def round_down(rows, x, demand):
-    """Whole uses of configurations within the demand, most used first, and the demand that is left.
-
-    Each use is rounded down first, then up, then raised as far as the demand that is left allows.
+        n = upto[room]
+        best[room] = max(best[room - 1], (value[:n] + best[room - lengths[:n]]).max()) if n else best[room - 1]
+    return best
+
+
+def fill(count: dict, room: int, value, best, lengths, most) -> None:
+    """Add pieces to a configuration (length index -> copies), each the best by its value and that of the room
+    behind it, which may count on pieces that are gone; then pieces grow into the room that stays. most:
+    copies of each length that there are."""
+    some = np.flatnonzero(most > 0)
+    size, own = lengths[some], value[some]
+    while n := int(np.searchsorted(size, room, "right")):
+        i = int((own[:n] + best[room - size[:n]]).argmax())
+        j = int(some[i])
+        if count.get(j, 0) >= most[j]:
+            some, size, own = (np.delete(x, i) for x in (some, size, own))
+            continue
+        count[j] = count.get(j, 0) + 1
+        room -= int(size[i])
+    while room:
+        held = np.array(list(count))
+        to = np.searchsorted(size, lengths[held] + room, "right") - 1
+        gain = np.where(to >= 0, size[np.maximum(to, 0)] - lengths[held], 0) if len(size) else np.zeros(1)
+        k = int(gain.argmax())
+        if gain[k] <= 0:
+            break
+        i, j = int(to[k]), int(some[to[k]])
+        if count.get(j, 0) >= most[j]:
+            some, size = np.delete(some, i), np.delete(size, i)
+            continue
+        old = int(held[k])
+        count[old] -= 1
+        if not count[old]:
+            del count[old]
+        count[j] = count.get(j, 0) + 1
+        room -= int(gain[k])
+
+
+def phase(lengths, demand, capacity: int, price):
+    """Cover the demand once at these prices: pairs of configuration and whole uses, and a bound from below.
+
+    The longest length that is asked for gets the best configuration that holds it, for as many sequences as
+    WIDTH of the narrowest demand in it, rounded down. The dynamic program prices rooms by the lengths that
+    are still asked for. A full sequence is worth at most its first value, so the demand's worth over that
+    bounds all packings from below.
     """
-    left, uses = demand.copy(), np.zeros(len(rows), np.int64)
-    for whole in (np.floor(x), np.ceil(x), np.full(len(x), demand.sum())):
-        for i in np.argsort(-x, kind="stable").tolist():
-            n = min(min(int(left[j]) // c for j, c in rows[i]), int(whole[i]) - int(uses[i]))
-            if n > 0:
-                uses[i] += n
-                for j, c in rows[i]:
-                    left[j] -= n * c
-    return uses, left
-
-
-def best_fit(lengths, left, capacity: int):
-    """Best fit decreasing over a histogram: configurations and how many sequences look like each.
-
-    Equal sequences are handled together: a length goes into as many of the fullest sequences that have
-    room for it as there are pieces, so the work follows the number of different sequences.
+    left, out, tokens, bound = demand.copy(), [], int(lengths @ demand), 0.0
+    due = tokens
+    while tokens:
+        if tokens <= due:
+            some = np.flatnonzero(left > 0)
+            best = knapsack(price[some], capacity, lengths[some])
+            bound, due = bound or price @ demand / best[capacity], int(tokens * ANEW)
+        i = int(np.flatnonzero(left > 0)[-1])
+        count = {i: 1}
+        fill(count, capacity - int(lengths[i]), price, best, lengths, left)
+        n = max(1, min(int(WIDTH * left[j]) // c for j, c in count.items()))
+        for j, c in count.items():
+            left[j] -= n * c
+            tokens -= n * c * int(lengths[j])
+        out.append((tuple(count.items()), n))
+    return out, bound
+
+
+def configuration_program(lengths, demand, capacity: int):
+    """Configurations (tuples of length index and copies) and how many sequences look so; lengths ascend.
+
+    Multiplicative weights on the covering constraints: each phase covers the whole demand, and the price of
+    a length then grows exponentially with the room that its sequences wasted. Ends where a phase comes
+    within GAP of the greatest bound; the cheapest phase counts.
     """
-    open_: dict[int, dict[tuple, int]] = {}  # room -> configuration -> sequences
-
-    def put(room, row, n):
-        slot = open_.setdefault(room, {})
-        slot[row] = slot.get(row, 0) + n
-
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        size, many = int(lengths[i]), int(left[i])
-        while many:
-            room = min((r for r in open_ if r >= size), default=None)
-            if room is None:
-                per = capacity // size
-                whole, rest = divmod(many, per)
-                for n, copies in ((per, whole), (rest, 1)):
-                    if n and copies:
-                        put(capacity - n * size, ((i, n),), copies)
-                break
-            group = open_[room]
-            row, n = group.popitem()
-            if not group:
-                del open_[room]
-            per = room // size
-            full = min(n, many // per)
-            if not full:
-                per, full = many, 1
-            put(room - per * size, (*row, (i, per)), full)
-            many -= per * full
-            if n > full:
-                put(room, row, n - full)
-    done = [(row, n) for group in open_.values() for row, n in group.items()]
-    return [row for row, _ in done], np.array([n for _, n in done], np.int64)
+    price = lengths / capacity * (1 + 0.01 * lengths / capacity)  # of equal fillings the one of longer pieces
+    least, bound, found = math.inf, 0.0, []
+    for _ in range(PHASES if len(lengths) else 0):
+        got, below = phase(lengths, demand, capacity, price)
+        total, bound = sum(n for _, n in got), max(bound, below)
+        if total < least:
+            least, found = total, got
+        if least <= max(math.ceil(bound), math.ceil(int(lengths @ demand) / capacity)) * (1 + GAP):
+            break
+        waste = np.zeros(len(lengths))
+        for row, n in got:
+            room = 1 - sum(c * int(lengths[j]) for j, c in row) / capacity
+            for j, c in row:
+                waste[j] += n * c * room
+        price = price * np.exp(RATE * waste / demand)
+    return found
 
 
 def plan(lengths, demand, capacity: int):
     """Slots of all sequences: arrays (length, first number, first sequence, copies in a sequence, offset)."""
-    left, solved = demand.copy(), []
-    for _ in range(ROUNDS):
-        some = np.flatnonzero(left > 0)
-        if not len(some):
-            break
-        rows, x = configuration_program(lengths[some], left[some], capacity)
-        rows = [tuple((int(some[j]), c) for j, c in row) for row in rows]
-        uses, left = round_down(rows, x, left)
-        solved += zip(rows, uses.tolist(), strict=True)
-    rows, uses = best_fit(lengths, left, capacity)
-    solved += zip(rows, uses.tolist(), strict=True)
     number, sequence, slots = np.zeros(len(lengths), np.int64), 0, []
-    for row, n in solved:
+    for row, n in configuration_program(lengths, demand, capacity):
         offset = 0
-        for j, c in row if n else ():
+        for j, c in row:
             slots.append((lengths[j], number[j], sequence, c, offset))
             number[j] += n * c
             offset += int(c * lengths[j])

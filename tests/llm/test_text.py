@@ -193,6 +193,29 @@ def test_tokens(spark, docs):
     long = next(p for p in pieces if p.doc_id == 5 and p.piece == 1)
     assert long.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in [*ids[LONG], 1][512:1024]))
     assert pack(docs.limit(0), path).count() == 0
+    assert bpe_decode(bpe_encode(docs.limit(0), path), path).count() == token_counts(docs.limit(0), byte).count() == 0
+    upper = docs.withColumnRenamed("text", "TEXT")
+    assert bpe_encode(upper, path).count() == token_counts(upper, byte).count() == docs.count()
+
+
+def test_long_texts():
+    """Texts of several blocks, without white space too, and more distinct pre-tokens than the cache starts with."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from modcall.llm.bpe import WordEncoder
+    from modcall.llm.token_counts import TokenCounter
+
+    rng = random.Random(3)
+    texts = [" ".join(f"{rng.randrange(10**9):x}{'é' if k % 9 else ','}" for k in range(260_000)), "ab\n" * 700_000, "日本" * 30_000 + "x" * 20_000, "  \n" * 5000, None]
+    for name, kind in (("word_bpe_49k.json", WordEncoder), ("byte_bpe_50k.json", TokenCounter)):
+        path = public_tokenizers.path(name)
+        tok, enc = Tokenizer.from_file(path), kind(path)
+        want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+        got = enc.counts(texts) if kind is TokenCounter else enc.encode(texts)[1]
+        assert got.tolist() == [len(x) for x in want]
+        if kind is WordEncoder:
+            assert enc.encode(texts)[0].tolist() == [i for x in want for i in x]
 
 
 def test_special_case():
@@ -211,6 +234,27 @@ def test_special_case():
             assert size.tolist() == [len(tok.encode(t, add_special_tokens=False).ids) for t in some]
 
 
+def test_configurations():
+    """Where best fit decreasing loses: 6 of 51, 27 and 26, 12 of 23 in 100 take it 11 sequences, the program 9. For the random lengths it takes 1528."""
+    import numpy as np
+
+    from modcall.llm.packing import configuration_program
+
+    rng = np.random.default_rng(1)
+    many = np.unique(rng.integers(1, 4097, 3000), return_counts=True)
+    cases = [(np.array([23, 26, 27, 51]), np.array([12, 6, 6, 6]) * n, 100, 9 * n) for n in (1, 50)]
+    cases += [(*many, 4096, 1528), (np.array([4096]), np.array([5]), 4096, 5), (np.array([1]), np.array([5000]), 4096, 2)]
+    for lengths, demand, capacity, most in cases:
+        got, total = np.zeros(len(lengths), np.int64), 0
+        for row, n in configuration_program(lengths, demand, capacity):
+            assert n > 0 and sum(c * lengths[j] for j, c in row) <= capacity
+            for j, c in row:
+                got[j] += n * c
+            total += n
+        assert got.tolist() == demand.tolist() and total <= most
+    assert configuration_program(lengths[:0], demand[:0], 10) == []
+
+
 def test_quality(docs):
     from modcall.llm.quality_rules import quality_rules
 

@@ -1,6 +1,7 @@
 """What the operators of this subpackage share: scratch tables, text access, word hashes."""
 
 import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -58,6 +59,27 @@ def without(df, *names):
     return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in low])
 
 
+def guarded(*names):
+    """For an operator on a DataFrame that makes columns of these names inside: input columns of such names (any
+    case) are called otherwise meanwhile and get their names back."""
+
+    def wrap(f):
+        @functools.wraps(f)
+        def run(df, *args, **more):
+            low = [c.lower() for c in df.columns]
+            taken, away = set(low), {}
+            for c, k in zip(df.columns, low, strict=True):
+                if k in names:
+                    away[c] = f"kept{len(away)}_{uuid.uuid4().hex}"
+            if not away or len(taken) < len(low):
+                return f(df, *args, **more)
+            return f(df.withColumnsRenamed(away), *args, **more).withColumnsRenamed({new: old for old, new in away.items()})
+
+        return run
+
+    return wrap
+
+
 def place_of(df, name: str) -> int:
     """The place of a column, whatever its case."""
     return [c.lower() for c in df.columns].index(name.lower())

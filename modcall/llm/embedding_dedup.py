@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, materialize, without
+from .common import guarded, lean, materialize, without
 from .components import components
 
 #: Vectors of the bounded sample that fits the codebooks and the number of cells to visit.
@@ -182,6 +182,7 @@ def _links(threshold, cell, members, home, rep, size, x):
     yield pa.record_batch([pa.array(kind), pa.array(np.concatenate([node[some], node[edge]])), pa.array(np.concatenate([total[some], least[edge]]))], names=["kind", "a", "b"])
 
 
+@guarded("__h1", "__h2", "rep", "n", "x", "a", "b", "node", "component", "links")
 def embedding_links(rows, threshold: float = 0.95, recall: float = 0.999, k: int | None = None):
     """Rows with n_links, component_id and kept, by cosine >= threshold between embeddings.
 

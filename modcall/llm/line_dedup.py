@@ -5,7 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, materialize, raw, without
+from .common import guarded, lean, materialize, raw, without
 
 #: Keys in more documents than this are dealt to several partitions when lines meet their verdict; of
 #: these only the HOT_KEYS commonest are broadcast, which bounds the rest to 1/HOT_KEYS of all lines each.
@@ -52,6 +52,7 @@ def _join(place: int, drop: int):
     return run
 
 
+@guarded("__row", "__drop", "row", "h", "at", "salt", "salts", "first")
 def dedup_lines(docs, least: int = 10, documents: int = 2):
     """Documents with kept_text, n_lines and n_dropped (their own text column is left out).
 

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, materialize, mix, raw, without
+from .common import guarded, lean, materialize, mix, raw, without
 from .components import components
 
 
@@ -33,16 +33,14 @@ def hashes(text: bytes | None, shingle: int):
     return np.array([hashed(joined[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], np.uint64)  # noqa: B905
 
 
-def fingerprint(text: bytes | None, shingle: int, words64: int = 1, once: bool = False) -> list[int]:
-    """SimHash of 64-bit words: a bit is set if it is set in over half of the shingles' hashes; no words: 0.
+def _names(words64: int) -> list[str]:
+    return ["fp", *(f"fp{k}" for k in range(1, words64))]
 
-    The first word takes the shingles' XXH64 (seed 42), further ones independent remixes of it. once:
-    a shingle that repeats counts once.
-    """
-    got = hashes(text, shingle)
+
+def simhash_of(got, words64: int = 1) -> list[int]:
+    """SimHash of shingle hashes: a bit is set if it is set in over half of them; none: 0."""
     if not len(got):
         return [0] * words64
-    got = np.unique(got) if once else got
     total = 0
     for at in range(0, len(got), 1 << 14):
         part = got[at : at + (1 << 14)]
@@ -51,16 +49,30 @@ def fingerprint(text: bytes | None, shingle: int, words64: int = 1, once: bool =
     return np.packbits(2 * total > len(got)).view(">u8").tolist()
 
 
-def _names(words64: int) -> list[str]:
-    return ["fp", *(f"fp{k}" for k in range(1, words64))]
+def odd_sketch(got) -> bytes:
+    """The number of distinct hashes (4 bytes) and the parity of their number in each of ODD places, a bit each.
+
+    Two sets differ in at least as many elements as their parities differ in places."""
+    return np.uint32(len(got)).tobytes() + np.packbits(np.bincount((got % np.uint64(ODD)).astype(np.int64), minlength=ODD) & 1).tobytes()
+
 
+def _fingerprints(shingle: int):
+    def run(batches):
+        for batch in batches:
+            got = np.array([simhash_of(hashes(t, shingle))[0] for t in raw(batch.column(batch.num_columns - 1))], np.uint64)
+            yield pa.record_batch([*batch.columns[:-1], pa.array(got.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
+
+    return run
+
+
+def _long_fingerprints(shingle: int):
+    """SimHashes of WORDS words and odd sketches of the sets of shingles."""
 
-def _fingerprints(shingle: int, words64: int = 1, once: bool = False):
     def run(batches):
         for batch in batches:
-            got = np.array([fingerprint(t, shingle, words64, once) for t in raw(batch.column(batch.num_columns - 1))], np.uint64)
-            got = got.reshape(-1, words64).view(np.int64)
-            yield pa.record_batch([*batch.columns[:-1], *[pa.array(got[:, k]) for k in range(words64)]], names=[*batch.schema.names[:-1], *_names(words64)])
+            sets = [np.unique(hashes(t, shingle)) for t in raw(batch.column(batch.num_columns - 1))]
+            got = np.array([simhash_of(x, WORDS) for x in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
+            yield pa.record_batch([*batch.columns[:-1], *[pa.array(got[:, k]) for k in range(WORDS)], pa.array([odd_sketch(x) for x in sets], pa.binary())], names=[*batch.schema.names[:-1], *_names(WORDS), "odd"])
 
     return run
 
@@ -110,7 +122,8 @@ def ball(fp, radius: int):
     return F.transform(F.array(*masks), lambda m: fp.bitwiseXOR(m))
 
 
-def simhash_components(docs, shingle: int = 5, radius: int = 2):
+@guarded("__k", "__id", "v", "rep", "node", "component", "a", "b")
+def simhash_components(docs, shingle: int = 5, radius: int = 2, short: bool = False):
     """Documents with fp (long) and component_id: the smallest doc_id reachable by links of <= radius bits.
 
     Words are runs without ASCII white space, A-Z lower-cased; shingles keep repeats. Under `shingle`
@@ -120,12 +133,11 @@ def simhash_components(docs, shingle: int = 5, radius: int = 2):
     its class's component (null if the class has no id). Two fingerprints within the radius share a
     variant within half of it, and members of a variant are within the radius of each other, so a star
     per variant keeps every connection. radius is 0, 2 or 4. Input columns named fp or component_id
-    are replaced.
+    are replaced. short: doc_id, fp and component_id only, so that no text is moved.
     """
     if radius not in (0, 2, 4):
         raise ValueError("radius must be 0, 2 or 4")
     docs = without(docs, "fp", "component_id")
-    rest = [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
     shape = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("__k", T.LongType()), T.StructField("fp", T.LongType())])
     key = F.xxhash64("text")
     marked = materialize(docs.select(F.col("doc_id").cast("long"), key.alias("__k"), "text").mapInArrow(lean(_fingerprints(shingle)), shape))
@@ -134,7 +146,7 @@ def simhash_components(docs, shingle: int = 5, radius: int = 2):
     edges = variants.repartition("v").sortWithinPartitions("v").mapInArrow(lean(_meet(radius)), "a long, b long")
     joined = classes.join(components(edges), F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     marked = marked.join(joined, "fp")
-    if not rest and "text" not in [c.lower() for c in docs.columns]:
+    if short:
         return marked.drop("__k")
     marked = marked.dropDuplicates(["doc_id", "__k"]).withColumnRenamed("doc_id", "__id")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__k"))
@@ -144,6 +156,8 @@ def simhash_components(docs, shingle: int = 5, radius: int = 2):
 #: Words of the long fingerprint; bands of bits that are searched each for a radius of two bits; words that
 #: go along with a variant, and standard deviations that a pair may lie beyond the expected number of bits.
 WORDS, BANDS, BITS = 6, 16, 24
+#: Places of an odd sketch; it tells sets of up to about as many elements apart.
+ODD = 2048
 ALONG, SPREAD = 2, 5
 #: Members of a variant, or of a block of one, that a task compares at a time; pairs for each member that a
 #: variant gives at once: larger and denser variants wait until the first links are known.
@@ -256,17 +270,30 @@ def _members(most: int, largest: int):
     return run
 
 
-def _across(most: int):
-    """Of rows (v, rep, c, words) sorted by v: all pairs of a group with different c whose words differ in at most `most` bits."""
+def _differ(odd):
+    """Rows of odd sketches as set sizes and parities."""
+    flat = np.frombuffer(b"".join(odd.tolist()), np.uint8).reshape(len(odd), -1)
+    return flat[:, :4].copy().view(np.uint32)[:, 0].astype(np.int64), flat[:, 4:].copy().view(np.uint64)
+
+
+def _across(most: int, similarity: float):
+    """Of rows (v, rep, c, words, odd) sorted by v: all pairs of a group with different c whose words differ in at most
+    `most` bits and whose odd sketches do not rule the similarity out."""
+    part = (1 - similarity) / (1 + similarity)
 
     def pairs(v, rep, c, *words):
+        *words, odd = words
+        many, parity = _differ(odd)
         size = np.diff(np.append(np.flatnonzero(np.append(True, v[1:] != v[:-1])), len(v)))
         held, n = [], 0
         for i, lag in _lags(size):
             i = i[c[i] != c[i + lag]]
             i = i[_away(words, i, i + lag) <= most]
-            held.append((rep[i], rep[i + lag]))
-            n += len(i)
+            for a in range(0, len(i), 1 << 16):
+                k = i[a : a + (1 << 16)]
+                k = k[np.bitwise_count(parity[k] ^ parity[k + lag]).sum(axis=1, dtype=np.int64) <= part * (many[k] + many[k + lag]) + 1e-6]
+                held.append((rep[k], rep[k + lag]))
+            n = sum(len(x) for x, _ in held)
             if n > 1 << 18:
                 yield held
                 held, n = [], 0
@@ -330,11 +357,11 @@ def _search(docs, shingle: int, similarity: float, bands: int, bits: int, larges
     A class without any doc_id takes part under a hash of its fingerprint.
     """
     names, key = _names(WORDS), F.xxhash64("text")
-    shape = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "__k", "__r", *names)])
+    shape = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "__k", "__r", *names)]).add("odd", "binary")
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    marked = materialize(docs.select(F.col("doc_id").cast("long"), key.alias("__k"), row.alias("__r"), "text").mapInArrow(lean(_fingerprints(shingle, WORDS, True)), shape))
-    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__k")).alias("least")
-    classes = marked.groupBy(*names).agg(least).select(*names, F.col("least.doc_id").alias("id"), F.col("least.__k").alias("rep_k"))
+    marked = materialize(docs.select(F.col("doc_id").cast("long"), key.alias("__k"), row.alias("__r"), "text").mapInArrow(lean(_long_fingerprints(shingle)), shape))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__k", "odd")).alias("least")
+    classes = marked.groupBy(*names).agg(least).select(*names, F.col("least.doc_id").alias("id"), F.col("least.__k").alias("rep_k"), F.col("least.odd").alias("odd"))
     classes = materialize(classes.withColumn("rep", F.coalesce("id", F.xxhash64(*names))))
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     variants = f"v long, rep long, {', '.join(c + ' long' for c in _along())}"
@@ -349,8 +376,8 @@ def _search(docs, shingle: int, similarity: float, bands: int, bits: int, larges
         # each block of a variant meets each other block, and itself, in a group of its own
         block = F.pmod(F.xxhash64("rep"), "n")
         cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda j: F.xxhash64("v", F.least(block, j), F.greatest(block, j)))
-        full = members.join(classes.select("rep", *names), "rep").select(F.explode(cells).alias("v"), "rep", "c", *names)
-        pairs = full.repartition("v").sortWithinPartitions("v").mapInArrow(lean(_across(whole)), "a long, b long").distinct()
+        full = members.join(classes.select("rep", *names, "odd"), "rep").select(F.explode(cells).alias("v"), "rep", "c", *names, "odd")
+        pairs = full.repartition("v").sortWithinPartitions("v").mapInArrow(lean(_across(whole, similarity)), "a long, b long").distinct()
         more = _verified(docs, classes, pairs, shingle, similarity, whole)
         group = components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     joined = classes.join(group, F.col("rep") == F.col("node"), "left").select(*names, "id", F.coalesce("component", "rep").alias("g"))
@@ -358,6 +385,7 @@ def _search(docs, shingle: int, similarity: float, bands: int, bits: int, larges
     return marked.join(joined, names).select("doc_id", "__k", "__r", "g", "component_id")
 
 
+@guarded("__k", "__r", "__id", "g", "id", "rep", "odd", "v", "c", "n")
 def similar_components(docs, shingle: int = 5, similarity: float = 0.8, bands: int = BANDS, bits: int = BITS, largest: int = LARGEST):
     """Documents with component_id, linked where the Jaccard similarity of their sets of word shingles is enough.
 
@@ -366,8 +394,9 @@ def similar_components(docs, shingle: int = 5, similarity: float = 0.8, bands: i
     At a similarity of 0.8, where 15 % of the bits differ, 16 bands of 24 bits find 99.5 % of the pairs. All
     pairs of a variant are tested: those of large or dense variants in a second step, in blocks of about
     `largest` members, without the pairs that the links of the first step connect. A pair whose
-    fingerprints differ by five standard deviations more than the similarity lets expect met by chance; of
-    all others the sets of hashed shingles are compared. Equal fingerprints are one class. Texts are treated
+    fingerprints differ by five standard deviations more than the similarity lets expect met by chance; in the
+    second step odd sketches of the sets, which never differ in more places than the sets do, rule out more.
+    Of all others the sets of hashed shingles are compared. Equal fingerprints are one class. Texts are treated
     as by simhash_components, and so are null and repeated ids. For much more than 10**8 documents take more
     bits and words.
     """
@@ -377,6 +406,7 @@ def similar_components(docs, shingle: int = 5, similarity: float = 0.8, bands: i
     return docs.join(ids, same).drop("__id", "__k")
 
 
+@guarded("__k", "__r", "__id", "g", "id", "rep", "odd", "v", "c", "n")
 def drop_similar(docs, shingle: int = 5, similarity: float = 0.8):
     """One row of docs for each group of similar_components: the smallest by doc_id (null last), text key and row key.
 
@@ -391,5 +421,5 @@ def drop_similar(docs, shingle: int = 5, similarity: float = 0.8):
 def op6_simhash_near_dedup(spark, sf_dir):
     """Per document: its 3-word SimHash in hex and the component of fingerprints within two bits."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    got = simhash_components(docs, 3, 2)
+    got = simhash_components(docs, 3, 2, short=True)
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buckets, lean, mix, raw, slices, windows, without, word_hashes
+from .common import buckets, guarded, lean, mix, raw, slices, windows, without, word_hashes
 
 #: The sketch: rows, cells in a row (2 to the power), segments in a row. One bit a cell is broadcast: 32 MB.
 ROWS, CELLS, SEGMENTS = 2, 27, 64
@@ -315,6 +315,7 @@ def _strip(n: int, columns: list[str], rejoin: bool):
     return run
 
 
+@guarded(_KEY, _KIND, _BODY, _ROW)
 def dedup_substrings(docs, n: int = 20, rejoin: bool = True):
     """Documents with kept_text, n_words and n_removed: words covered by an n-word window seen earlier are gone.
 

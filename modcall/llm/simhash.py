@@ -161,7 +161,7 @@ ODD = 2048
 ALONG, SPREAD = 2, 5
 #: Members of a variant, or of a block of one, that a task compares at a time; pairs for each member that a
 #: variant gives at once: larger and denser variants wait until the first links are known.
-LARGEST, DENSE = 2048, 4
+LARGEST, DENSE, THIN = 2048, 1, 4
 
 
 def _bands(bands: int, bits: int):
@@ -214,7 +214,8 @@ def _ordered(a, b):
 def _members(most: int, largest: int):
     """Of rows (v, rep, words) sorted by v and rep: (-1, a, b) for pairs of a variant whose words differ in at most
     `most` bits. Variants of more than `largest` members or DENSE such pairs a member give (v, rep, rep) for
-    each member instead, and the pairs of each member with the first and the next one only."""
+    each member instead, and one of THIN of them, by hash, the pairs of each member with the next one: enough to
+    link most of a group before all pairs that are not linked yet are looked at."""
 
     def found(v, rep, words, done):
         """done: members of the first variant that are given already."""
@@ -238,8 +239,9 @@ def _members(most: int, largest: int):
         wait |= count > DENSE * size
         i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*pairs, strict=True)) if pairs else np.zeros((2, 0), np.int64)
         keep = ~wait[own[i]]
-        new = np.flatnonzero(np.repeat(wait, size) & (np.arange(len(v)) != head[own]))
-        p, q = np.concatenate([i[keep], head[own[new]], new - 1]), np.concatenate([j[keep], new, new])
+        some = wait & (v[head].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) % np.uint64(THIN) == 0)
+        new = np.flatnonzero(np.repeat(some, size) & (np.arange(len(v)) != head[own]))
+        p, q = np.concatenate([i[keep], new - 1]), np.concatenate([j[keep], new])
         ok = near(p, q)
         a, b = _ordered(rep[p[ok]], rep[q[ok]])
         given = np.flatnonzero(np.repeat(wait, size))
@@ -341,7 +343,7 @@ def _verified(docs, classes, pairs, shingle: int, similarity: float, most: int):
     left, right = (classes.select(F.col("rep").alias(x), *[F.col(c).alias(x + c) for c in names]) for x in "ab")
     away = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in names[1:]), F.bit_count(F.col("afp").bitwiseXOR(F.col("bfp"))))
     pairs = materialize(pairs.join(left, "a").join(right, "b").where(away <= most).select("a", "b").distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(classes.select("rep", "rep_k"), "rep")
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(classes.select("rep", "rep_k"), "rep")
     wanted = materialize(wanted)
     few = F.broadcast(wanted) if wanted.count() <= 1 << 20 else wanted
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("rep_k"), "text").join(few, ["rep", "rep_k"]).dropDuplicates(["rep", "rep_k"])

@@ -268,6 +268,47 @@ def test_quality(docs):
         assert r.base_failed == (len(w) < 10 or 100 * len(cover) > 20 * len(w)) and (not r.kept or not r.base_failed)
     rep = quality_rules(docs.where("doc_id = 7")).first()
     assert rep.longest_repeat == 59 and rep.n_covered == 60 and not rep.kept
+    assert quality_rules(docs.limit(0)).count() == 0
+
+
+def _maximal(words, shortest):
+    """Maximal repeats by all pairs of places, and the words that they cover."""
+    found, cover = set(), set()
+    for a in range(len(words)):
+        for b in range(a):
+            if a and b and words[a - 1] == words[b - 1]:
+                continue
+            n = 0
+            while a + n < len(words) and words[a + n] == words[b + n]:
+                n += 1
+            if n >= shortest:
+                found.add(tuple(words[a : a + n]))
+                cover |= {*range(a, a + n), *range(b, b + n)}
+    return found, cover
+
+
+def test_repeats(spark):
+    """The verdict against brute force, on texts that pass the base rule and fail by its cover or its length too."""
+    from modcall.llm.quality_rules import COVER, LONGEST, SHORTEST, quality_rules
+
+    rng, texts = random.Random(8), []
+    for k in range(40):
+        words = [f"{rng.choice('abcd')}{rng.randrange(3 + 9 * k)}" for _ in range(rng.randrange(8, 260))]
+        if k % 2 and len(words) > 60:
+            words[-25:-25] = words[5 : 5 + rng.randrange(8, 16)]
+        texts.append(" ".join(words))
+    fresh = [f"w{i}" for i in range(600)]
+    texts += [" ".join(fresh[:400] + fresh[10:41]), " ".join(fresh[:400] + fresh[10:40]), " ".join(fresh[:120] + fresh[5:15]), " ".join(fresh[:190] + fresh[5:15] + ["x"] + fresh[40:50]), "a b " * 40, ""]
+    rows = quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    verdicts = Counter()
+    for r in rows:
+        words = r.text.split()
+        found, cover = _maximal(words, SHORTEST)
+        longest = max(map(len, found), default=0)
+        assert (r.n_repeats, r.n_covered, r.longest_repeat) == (len(found), len(cover), longest)
+        assert r.kept == (not r.base_failed and len(cover) <= COVER * len(words) and longest <= LONGEST)
+        verdicts[r.base_failed, len(cover) > COVER * len(words), longest > LONGEST, r.kept] += 1
+    assert verdicts[False, True, False, False] and verdicts[False, False, True, False] + verdicts[False, True, True, False] and verdicts[False, False, False, True]
 
 
 def test_language(spark):

@@ -80,7 +80,8 @@ def signal_ranges(ss: Column) -> Column:
     return F.aggregate(moves, zero, step, lambda acc: acc["out"])
 
 
-def mm_text(positions: Column) -> Column:
-    """The modification tag of ascending positions: each as the gap behind the one before, 'N+N,3,0,4;'."""
+def mm_text(positions: Column, kind: Column | None = None) -> Column:
+    """The modification tag of ascending positions: each as the gap behind the one before, 'N+N,3,0,4;'. kind: what
+    stands in front, 'N+N' by default."""
     gaps = F.transform(positions, lambda p, i: F.when(i == 0, p).otherwise(p - F.try_element_at(positions, i) - 1))
-    return F.concat(F.lit("N+N,"), F.array_join(gaps.cast("array<string>"), ","), F.lit(";"))
+    return F.concat(F.lit("N+N") if kind is None else kind, F.lit(","), F.array_join(gaps.cast("array<string>"), ","), F.lit(";"))

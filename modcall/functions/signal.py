@@ -58,7 +58,8 @@ def resample(x: Column, points: int = POINTS) -> Column:
 
 def noise(x: Column, level: int, key: Column) -> Column:
     """A whole number from -level to level added to each sample, drawn from a hash of key and place."""
-    return F.transform(x, lambda v, i: v + F.pmod(F.xxhash64(key, i), F.lit(2 * level + 1)) - level)
+    draw = lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("long")
+    return F.transform(x, lambda v, i: v + draw(i) % (2 * level + 1) - level)
 
 
 def phred_adjust(q: Column, called: Column, reference: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import chi2_tail, chi2_tail_one, chi2_tail_two, f_tail, f_tail_one, f_tail_two, log_likelihood
+from ..scratch import materialize
 from .ranking import step_up
 
 KEYS = ["contig", "position", "site"]
@@ -34,7 +35,7 @@ def site_tests(preds: DataFrame, conditions: list[str], min_prob: float = 0.0, m
     """A row per site with averages, delta, deviance, the test that applies and its degrees.
 
     require: all conditions pass the filters, or any. contrast: range is the largest minus the smallest
-    average; last_two compares the last two conditions given.
+    average; last_two compares the last two conditions given. Degrees follow the conditions that a site has.
     """
     totals = condition_totals(preds.where(F.col("condition").isin(conditions)), min_prob, min_stoich).withColumn("average", F.try_divide("weighted", "reads"))
     own = [F.max(F.when(F.col("condition") == c, F.col("average"))).alias(f"__a{i}") for i, c in enumerate(conditions)]
@@ -53,13 +54,16 @@ def site_tests(preds: DataFrame, conditions: list[str], min_prob: float = 0.0, m
     named = [a.alias(f"avg_stoichi_{c}") for a, c in zip(averages, conditions, strict=True)]
     return sites.select(
         *KEYS, *named, delta.alias("delta"), F.when(single, "chi2").otherwise("F").alias("test"),
-        F.greatest(F.lit(0.0), F.when(single, chi).otherwise(rounded)).alias("deviance"), F.lit(k - 1).alias("df1"), (F.col("n_rows") - (k - 1)).cast("int").alias("df2"),
+        F.greatest(F.lit(0.0), F.when(single, chi).otherwise(rounded)).alias("deviance"), (F.col("__k") - 1).cast("int").alias("df1"), (F.col("n_rows") - (F.col("__k") - 1)).cast("int").alias("df2"),
     )
 
 
-def p_value(k: int) -> Column:
-    """The tail of the test of each row; native but for chi square of one degree and more than three conditions."""
-    g, df2 = F.col("deviance"), F.col("df2")
+def p_value(k: int, require: str = "all") -> Column:
+    """The tail of the test of each row; native but for chi square of one degree and more than three conditions.
+    With require any, sites may have fewer conditions than k, down to one, which gives null."""
+    g, df1, df2 = F.col("deviance"), F.col("df1").cast("double"), F.col("df2")
+    if require != "all":
+        return F.when(F.col("test") == "chi2", chi2_tail(g, df1)).when((df2 > 0) & (df1 > 0), f_tail(g / df1, df1, df2.cast("double")))
     chi = chi2_tail_one(g) if k == 2 else chi2_tail_two(g) if k == 3 else chi2_tail(g, F.lit(float(k - 1)))
     f = f_tail_one(g, df2) if k == 2 else f_tail_two(g / 2, df2) if k == 3 else f_tail(g / (k - 1), F.lit(float(k - 1)), df2.cast("double"))
     return F.when(F.col("test") == "chi2", chi).when(df2 > 0, f)
@@ -67,7 +71,13 @@ def p_value(k: int) -> Column:
 
 def differential(preds: DataFrame, conditions: list[str], min_delta: float = 0.0, **how) -> DataFrame:
     """Sites with pval and adj_pval. Sites under min_delta get adj_pval 1 and do not count as tests."""
-    tested = site_tests(preds, conditions, **how).withColumn("pval", p_value(len(conditions)))
+    tested = site_tests(preds, conditions, **how).withColumn("pval", p_value(len(conditions), how.get("require", "all")))
     fit = (F.col("delta") >= min_delta) & F.col("pval").isNotNull()
+    tested = materialize(tested)
     adjusted = step_up(tested.where(fit), "pval", "adj_pval", KEYS)
     return adjusted.unionByName(tested.where(~F.coalesce(fit, F.lit(False))).withColumn("adj_pval", F.lit(1.0)))
+
+
+def report(tested: DataFrame, dropped: list[str]) -> DataFrame:
+    """The result table in the order of its keys, without columns whose names start with any of `dropped`."""
+    return tested.select(*[c for c in tested.columns if not c.startswith(tuple(dropped))]).orderBy(*KEYS)

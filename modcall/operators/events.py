@@ -8,18 +8,18 @@ READ_LIMIT, SITE_SKIP, SITE_LIMIT = 500, 500, 1500
 
 
 def islands(events: DataFrame, read: list[str], pos: str = "pos") -> DataFrame:
-    """events with island: equal within a run of consecutive positions of one read."""
-    return events.withColumn("island", F.col(pos) - F.row_number().over(Window.partitionBy(*read).orderBy(pos)))
+    """events with island: equal within a run of consecutive positions of one read; rows of one position share it."""
+    return events.withColumn("island", F.col(pos) - F.dense_rank().over(Window.partitionBy(*read).orderBy(pos)))
 
 
 def ninemers(events: DataFrame, read: list[str], centre: str | None = None) -> DataFrame:
     """A row per five consecutive 5-mers: start, the 9-mer and the five events, by a window of five rows.
 
     A gap or another read starts anew; a run of n k-mers gives max(0, n - 4) rows. centre: only 9-mers with
-    this base in the middle.
+    this base in the middle. Merge rows of one position first: windows that hold a position twice are left out.
     """
     trail = Window.partitionBy(*read, "island").orderBy("pos").rowsBetween(-4, 0)
-    found = islands(events, read).withColumn("five", F.collect_list(F.struct("pos", "kmer", "samples")).over(trail)).where(F.size("five") == 5)
+    found = islands(events, read).withColumn("five", F.collect_list(F.struct("pos", "kmer", "samples")).over(trail)).where((F.size("five") == 5) & (F.col("five")[4]["pos"] - F.col("five")[0]["pos"] == 4))
     ends = F.transform(F.slice("five", 2, 4), lambda e: F.right(e["kmer"], F.lit(1)))
     out = found.select(*read, F.col("five")[0]["pos"].alias("start"), F.concat(F.col("five")[0]["kmer"], F.array_join(ends, "")).alias("ninemer"), "five")
     return out.where(F.substring("ninemer", 5, 1) == centre) if centre else out
@@ -48,3 +48,15 @@ def within_quota(rows: DataFrame, quotas: DataFrame, order: list, key: str = "ni
 def shard(rank: Column, total: Column, shards: int) -> Column:
     """The contiguous shard of the row of this rank (from 1); the last shard takes the rest."""
     return F.least(F.floor((rank - 1) / F.greatest(F.floor(total / shards), F.lit(1))), F.lit(shards - 1)).cast("int")
+
+
+def trimmed(events: DataFrame, read: list[str], order: list, limit: int = READ_LIMIT, skip: int = 0, same: tuple[str, str] | None = None) -> DataFrame:
+    """Windows of five events of each 9-mer, from skip + 1 to limit. same: columns of the model's and the
+    reference's k-mer, of which only events that agree count."""
+    some = events.where(F.col(same[0]) == F.col(same[1])) if same else events
+    return take(ninemers(some, read), ["ninemer"], order, limit, skip)
+
+
+def event_lines(windows: DataFrame, read: list[str]) -> DataFrame:
+    """The events of kept windows, one row each; overlapping windows repeat them."""
+    return windows.select("ninemer", *read, "start", "rank", F.explode("five").alias("e")).select("ninemer", *read, "start", "rank", "e.*")

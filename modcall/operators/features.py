@@ -10,9 +10,11 @@ from ..functions.signal import POINTS, resample
 def expected(windows: DataFrame, model: DataFrame) -> DataFrame:
     """windows with expected: five arrays of the model's means for A, C, G, T in the centre; null if unknown.
 
-    The model has one row per 5-mer, 4**5 at most, and is broadcast as a map.
+    The model has one row per 5-mer, 4**5 at most of the four bases (others are left out, of repeated ones the
+    smallest mean counts), and is broadcast as a map.
     """
-    table = F.broadcast(model.agg(F.map_from_entries(F.collect_list(F.struct("kmer", "mean"))).alias("__model")))
+    own = model.where(F.col("kmer").rlike("^[ACGT]{5}$")).groupBy("kmer").agg(F.min("mean").alias("mean"))
+    table = F.broadcast(own.agg(F.map_from_entries(F.collect_list(F.struct("kmer", "mean"))).alias("__model")))
     rows = []
     for i in range(1, 6):
         means = [F.try_element_at("__model", F.substring(F.overlay("ninemer", F.lit(b), F.lit(5), F.lit(1)), i, 5)) for b in BASES]
@@ -36,3 +38,10 @@ def tensor(windows: DataFrame) -> DataFrame:
 
     made = windows.withColumns({"__cur": current, "__dwell": dwell})
     return made.withColumn("features", F.transform(F.sequence(F.lit(0), F.lit(5 * POINTS - 1)), row)).drop("__cur", "__dwell")
+
+
+def flat_tensor(features) -> "F.Column":
+    """180 x 7 features as 1260 numbers, row by row, unknown ones NaN; any other shape fails the job."""
+    right = (F.size(features) == 5 * POINTS) & F.forall(features, lambda r: F.size(r) == 7)
+    flat = F.transform(F.flatten(features), lambda x: F.coalesce(x, F.lit(float("nan"))))
+    return F.when(right, flat).otherwise(F.raise_error(F.lit("features are not 180 x 7")).cast("array<double>"))

@@ -17,8 +17,14 @@ def ks_distance(pairs: DataFrame) -> DataFrame:
 
 def top_odds(pairs: DataFrame, percents: list[int]) -> DataFrame:
     """For each k: the share of wt over the share of ivt at or above the (100 - k)th percentile of both."""
-    both = pairs.select(F.explode(F.array("wt", "ivt")).alias("x")).where("x is not null")
-    edge = F.broadcast(both.agg(*[F.percentile("x", F.lit(1 - k / 100)).alias(f"e{k}") for k in percents]))
+    both = pairs.select(F.explode(F.array("wt", "ivt")).alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("n"))
+    upto, total = running(both, "x", {"upto": F.col("n")}), both.agg(F.sum("n").alias("all"))
+    edges = []
+    for k in percents:  # between the values of the two whole ranks around the percentile
+        place = (F.col("all") - 1) * F.lit(1 - k / 100)
+        low, high = (F.min(F.when(F.col("upto") > f(place), F.col("x"))) for f in (F.floor, F.ceil))
+        edges.append((low + (high - low) * F.max(place - F.floor(place))).alias(f"e{k}"))
+    edge = F.broadcast(upto.crossJoin(F.broadcast(total)).agg(*edges))
     shares = pairs.crossJoin(edge).agg(*[x for k in percents for x in (F.count_if(F.col("wt") >= F.col(f"e{k}")).alias(f"w{k}"), F.count_if(F.col("ivt") >= F.col(f"e{k}")).alias(f"i{k}"))], F.count("wt").alias("nw"), F.count("ivt").alias("ni"))
     ratio = [F.try_divide(F.col(f"w{k}") / F.col("nw"), F.col(f"i{k}") / F.col("ni")).alias(f"odds{k}") for k in percents]
     return shares.select(*ratio)
@@ -43,3 +49,11 @@ def spearman(pairs: DataFrame) -> DataFrame:
     whole = pairs.where("wt is not null and ivt is not null")
     ranked = average_ranks(average_ranks(whole, "wt", "rw"), "ivt", "ri")
     return ranked.agg(F.round(F.coalesce(F.corr("rw", "ri"), F.lit(0.0)), 3).alias("spearmanr"))
+
+
+def metric_row(pairs: DataFrame, epoch: int, percents: list[int]) -> DataFrame:
+    """All metrics of an epoch as one row, in the order of a metrics table."""
+    out = ks_distance(pairs).withColumn("epoch", F.lit(epoch))
+    for one in (top_odds(pairs, percents), mean_delta(pairs), pearson(pairs), spearman(pairs)):
+        out = out.crossJoin(F.broadcast(one))
+    return out.select("epoch", "ks_d", *[f"odds{k}" for k in percents], "avg_delta_stoich", "pearsonr", "spearmanr")

@@ -9,8 +9,7 @@ from ..functions.sequence import mm_text
 def read_tags(calls: DataFrame, read: str = "read_id") -> DataFrame:
     """A row per read with a call: ascending positions, MM text and ML values floor(255 p).
 
-    NaN calls are left out, and so is position 0 unless it is the read's only one listed first: a call at 0
-    stays as the first. One call per position is expected.
+    Null and NaN calls are left out. One call per position is expected.
     """
     ok = calls.where(F.col("prob").isNotNull() & ~F.isnan("prob"))
     sorted_ = F.array_sort(F.collect_list(F.struct("read_pos", "prob")))
@@ -31,3 +30,41 @@ def at_positions(calls: DataFrame, positions: DataFrame, small: bool = False) ->
 def sam_line(columns: list[Column], mm: Column, ml: Column) -> Column:
     """A SAM text line with MM and ML tags behind its other fields."""
     return F.concat_ws("\t", *columns, F.concat(F.lit("MM:Z:"), mm), F.concat(F.lit("ML:B:C,"), F.array_join(ml.cast("array<string>"), ",")))
+
+
+def skip_origin(calls: DataFrame, line: str, read: str = "read_id") -> DataFrame:
+    """Calls without NaN ones, and without those at position 0 that are not their read's first line."""
+    ok = calls.where(F.col("prob").isNotNull() & ~F.isnan("prob"))
+    first = ok.groupBy(read).agg(F.min(line).alias("__first"))
+    return ok.join(first, read).where((F.col("read_pos") != 0) | (F.col(line) == F.col("__first"))).drop("__first")
+
+
+def merge_tags(calls: DataFrame, code: str = "code", read: str = "read_id") -> DataFrame:
+    """One MM text and ML list per read from the calls of several modifications: a part for each code, in order."""
+    ok = calls.where(F.col("prob").isNotNull() & ~F.isnan("prob"))
+    parts = ok.groupBy(read, code).agg(F.array_sort(F.collect_list(F.struct("read_pos", "prob"))).alias("calls"))
+    mm = mm_text(F.col("calls.read_pos"), F.concat(F.lit("N+"), code))
+    parts = parts.select(read, code, mm.alias("mm"), F.transform("calls", lambda c: F.floor(c["prob"] * 255).cast("int")).alias("ml"))
+    whole = parts.groupBy(read).agg(F.array_sort(F.collect_list(F.struct(code, "mm", "ml"))).alias("p"))
+    return whole.select(read, F.array_join(F.transform("p", lambda x: x["mm"]), "").alias("mm"), F.flatten(F.transform("p", lambda x: x["ml"])).alias("ml"))
+
+
+def tagged_lines(alignments: DataFrame, tags: DataFrame, fields: list[str], read: str = "read_id") -> DataFrame:
+    """SAM lines of the reads that have tags, whatever order or batch their calls came in."""
+    return alignments.join(tags, read).select(read, sam_line([F.col(c).cast("string") for c in fields], F.col("mm"), F.col("ml")).alias("line"))
+
+
+def write_sam(lines: DataFrame, header: list[str], path: str) -> None:
+    """SAM text with the header's lines in front of every part, so that each is a whole file."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        first = True
+        for batch in batches:
+            if first and batch.num_rows:
+                yield pa.record_batch([pa.array(header, pa.string())], names=["value"])
+                first = False
+            yield pa.record_batch([batch.column(0)], names=["value"])
+
+    lines.select("line").mapInArrow(run, "value string").write.text(path)

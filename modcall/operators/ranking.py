@@ -1,34 +1,33 @@
-"""Global running sums and ranks without a single-task window: value buckets, bucket totals, inner windows."""
+"""Global running sums and ranks without a single-task window: range partitions, their totals, inner windows."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
 
-def value_buckets(df: DataFrame, by: str, n: int = 64):
-    """A bucket number for each row, ascending with the double column `by`; equal values share a bucket.
 
-    The cut points are approximate quantiles, at most n numbers whatever the input.
-    """
-    cuts = sorted(set(df.approxQuantile(by, [i / n for i in range(1, n)], 0.002)))
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(by))) if cuts else F.lit(0)
-
-
-def running(df: DataFrame, by: str, sums: dict, ties: list | None = None, n: int = 64) -> DataFrame:
+def running(df: DataFrame, by: str, sums: dict, ties: list | None = None) -> DataFrame:
     """df with running sums (name -> column) in ascending order of `by`, then of `ties`; rows with a null
-    `by` are left out. Without ties, equal values are peers and get the same sums."""
-    df = df.where(F.col(by).isNotNull()).withColumns({f"__v_{k}": v for k, v in sums.items()}).withColumn("__bucket", value_buckets(df, by, n))
-    totals = df.groupBy("__bucket").agg(*[F.sum(f"__v_{k}").alias(f"__t_{k}") for k in sums])
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most n rows
+    `by` are left out. Without ties, equal values are peers and get the same sums: group by them first.
+
+    Rows are dealt by ranges of (by, ties), so many equal values spread over partitions where there are ties, and
+    written with their range, as several steps read them. Ranges are as many as Spark's shuffle partitions.
+    """
+    order = [by, *(ties or [])]
+    dealt = df.where(F.col(by).isNotNull()).withColumns({f"__v_{k}": v for k, v in sums.items()})
+    dealt = materialize(dealt.repartitionByRange(*order).withColumn("__bucket", F.spark_partition_id()))
+    totals = dealt.groupBy("__bucket").agg(*[F.sum(f"__v_{k}").alias(f"__t_{k}") for k in sums])
+    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     totals = totals.select("__bucket", *[F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0)).alias(f"__o_{k}") for k in sums])
-    inner = Window.partitionBy("__bucket").orderBy(by, *(ties or []))
+    inner = Window.partitionBy("__bucket").orderBy(*order)
     inner = inner.rowsBetween(Window.unboundedPreceding, 0) if ties else inner.rangeBetween(Window.unboundedPreceding, 0)
-    out = df.join(F.broadcast(totals), "__bucket").withColumns({k: F.sum(f"__v_{k}").over(inner) + F.col(f"__o_{k}") for k in sums})
+    out = dealt.join(F.broadcast(totals), "__bucket").withColumns({k: F.sum(f"__v_{k}").over(inner) + F.col(f"__o_{k}") for k in sums})
     return out.drop(*[f"__{x}_{k}" for x in "vo" for k in sums])
 
 
-def step_up(df: DataFrame, p: str, out: str, ties: list, n: int = 64) -> DataFrame:
+def step_up(df: DataFrame, p: str, out: str, ties: list) -> DataFrame:
     """Benjamini-Hochberg step-up of column p over all rows where it is not null."""
-    ranked = running(df, p, {"__rank": F.lit(1)}, ties, n)
+    ranked = running(df, p, {"__rank": F.lit(1)}, ties)
     total = ranked.agg(F.count("*").alias("__m"))
     ranked = ranked.crossJoin(F.broadcast(total)).withColumn("__raw", F.col(p) * F.col("__m") / F.col("__rank"))
     least = ranked.groupBy("__bucket").agg(F.min("__raw").alias("__least"))
@@ -37,3 +36,31 @@ def step_up(df: DataFrame, p: str, out: str, ties: list, n: int = 64) -> DataFra
     inner = Window.partitionBy("__bucket").orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0)
     ranked = ranked.join(F.broadcast(least), "__bucket").withColumn(out, F.least(F.lit(1.0), F.min("__raw").over(inner), "__later"))
     return ranked.drop("__bucket", "__rank", "__m", "__raw", "__later")
+
+
+def first_by_hash(rows: DataFrame, groups: DataFrame, keys: list[str], text: Column, ties: list, need: str, total: str) -> DataFrame:
+    """The rows of each group that come first by the md5 of `text`, then `ties`: as many as column `need` says.
+
+    groups: the keys with `need` and the group's number of rows, `total`. Hashes are uniform, so only rows under
+    a share of six standard deviations above need / total are sorted; groups where that share holds fewer rows
+    than it should are sorted whole. text and ties may use the columns of both sides.
+    """
+
+    def under(part):
+        return F.conv(F.substring("__md5", 1, 8), 16, 10).cast("double") < part * 4294967296.0
+
+    def ranked(some):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__md5", *ties))
+        return some.withColumn("__rank", rank).where(F.col("__rank") <= F.col(need)).drop("__rank", "__md5")
+
+    share = (F.col(need) + 6 * F.sqrt(need) + 12) / F.col(total)
+    joined = rows.join(groups, [c for c in keys if c in rows.columns]).withColumn("__md5", F.md5(text))
+    near = materialize(joined.where(under(share)))
+    held = near.groupBy(*keys).agg(F.count("*").alias("__held"))
+    short = groups.join(held, keys, "left").where(F.coalesce("__held", F.lit(0)) < F.least(need, total)).drop("__held")
+    short = materialize(short)
+    if short.first() is None:
+        return ranked(near)
+    fine = near.join(short.select(*keys), keys, "left_anti")
+    whole = rows.join(short, [c for c in keys if c in rows.columns]).withColumn("__md5", F.md5(text))
+    return ranked(fine.unionByName(whole.select(*fine.columns)))

@@ -4,9 +4,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
+from .ranking import first_by_hash
+
 SITE = ["contig", "pos", "ninemer"]
 #: Defaults of a run: cutoffs of called and uncalled, least coverage, and when a site is bootstrapped.
 HIGH, LOW, MIN_READS, DEEP, DEEP_STOICHIOMETRY, DRAWS, DRAW = 0.5, 0.5, 20, 150, 0.1, 21, 100
@@ -63,12 +66,12 @@ def base_composition(calls: DataFrame, keys: list[str] = SITE) -> DataFrame:
     return calls.groupBy(*keys).agg(*one, F.count_if(~F.coalesce(F.col("base"), F.lit("")).isin(*"ACGT")).alias("n_other"))
 
 
-def draws(calls: DataFrame, keys: list[str], order: list[Column], n_draws: int = DRAWS, size: int = DRAW) -> DataFrame:
-    """n_draws samples of `size` reads of each site without replacement, by the order of a hash of draw and
-    read. Rows: the reads, with their draw."""
-    many = calls.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
-    rank = F.row_number().over(Window.partitionBy(*keys, "draw").orderBy(F.md5(F.concat_ws(":", F.col("draw").cast("string"), *order)), *order))
-    return many.withColumn("__rank", rank).where(F.col("__rank") <= size).drop("__rank")
+def draws(calls: DataFrame, deep: DataFrame, keys: list[str], order: list[Column], n_draws: int = DRAWS, size: int = DRAW) -> DataFrame:
+    """n_draws samples of `size` reads of each listed site without replacement, by the order of a hash of draw
+    and read. deep: the sites with their coverage. Rows: the reads, with their draw."""
+    groups = deep.withColumns({"draw": F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))), "__need": F.lit(size)})
+    text = F.concat_ws(":", F.col("draw").cast("string"), *order)
+    return first_by_hash(calls, groups, [*keys, "draw"], text, order, "__need", "coverage").drop("__need", "coverage")
 
 
 def linear_scorer(features: np.ndarray) -> np.ndarray:
@@ -94,9 +97,19 @@ def site_probabilities(calls: DataFrame, keys: list[str], order: list[Column], s
     """Sites with the probability of modification: the scorer's complement, averaged over bootstrap draws for
     deep sites with enough stoichiometry."""
     sites = coverage_stoichiometry(calls, keys, min_reads=min_reads).withColumn("__deep", (F.col("coverage") > DEEP) & (F.col("stoichiometry") > DEEP_STOICHIOMETRY))
-    flagged = calls.join(sites.select(*keys, "__deep"), keys)
-    shallow = flagged.where(~F.col("__deep")).withColumn("draw", F.lit(0))
-    reads = shallow.unionByName(draws(flagged.where("__deep"), keys, order))
+    sites = materialize(sites)
+    shallow = calls.join(sites.where(~F.col("__deep")).select(*keys), keys, "left_semi").withColumn("draw", F.lit(0))
+    deep = sites.where("__deep").select(*keys, "coverage")
+    reads = shallow.unionByName(draws(calls, deep, keys, order).select(*shallow.columns))
     vectors = dense(histogram(reads, [*keys, "draw"], bin100(clean(F.col("prob")))), [*keys, "draw"])
     scored = score(vectors, "histogram", "x", scorer).groupBy(*keys).agg(F.avg(1 - F.col("x")).alias("probability"))
     return sites.drop("__deep").join(scored, keys).where(F.col("probability") > cutoff)
+
+
+def features_of(calls: DataFrame, keys: list[str], kind: str, edges: list[float] | None = None) -> DataFrame:
+    """Counts per site and bin by the chosen features: bins100, bins99 or percentile (with edges)."""
+    p = clean(F.col("prob"))
+    made = {"bins100": bin100, "bins99": bin99, "percentile": lambda x: bin_edges(x, edges or [0.0, 1.0])}
+    if kind not in made:
+        raise ValueError(f"features must be one of {sorted(made)}")
+    return histogram(calls, keys, made[kind](p))

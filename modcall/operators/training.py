@@ -1,16 +1,18 @@
 """Training-data operators: splits, assembly and simulated mixtures; all draws come from hashes."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .events import take
+from .ranking import first_by_hash, running
+
 
 def stratified_split(rows: DataFrame, per: list[str], order: list, limit: int, train: float = 0.6, validate: float = 0.2) -> DataFrame:
     """rows with split, by the running number in each group: train, validation, test, none beyond the limit."""
-    own = Window.partitionBy(*per)
-    n, m = F.row_number().over(own.orderBy(*order)), F.least(F.count("*").over(own), F.lit(limit))
-    ranked = rows.withColumns({"__n": n, "__m": m})
-    name = F.when(F.col("__n") <= train * F.col("__m"), "train").when(F.col("__n") <= (train + validate) * F.col("__m"), "validation").when(F.col("__n") <= limit, "test")
-    return ranked.withColumn("split", name).drop("__n", "__m").where(F.col("split").isNotNull())
+    sizes = rows.groupBy(*per).agg(F.least(F.count("*"), F.lit(limit)).alias("__m"))
+    ranked = take(rows, per, order, limit).join(sizes, per)
+    name = F.when(F.col("rank") <= train * F.col("__m"), "train").when(F.col("rank") <= (train + validate) * F.col("__m"), "validation").otherwise("test")
+    return ranked.withColumn("split", name).drop("rank", "__m")
 
 
 def hashed(n: int, *parts: Column) -> Column:
@@ -50,10 +52,34 @@ def mixtures(modified: DataFrame, unmodified: DataFrame, kind: str, rounds: int)
     plan = _plans(both, rounds, kind)
     parts = []
     for origin, rows, need in (("mod", modified, F.col("n_mod")), ("unmod", unmodified, F.col("n") - F.col("n_mod") - F.col("n_mid"))):
-        order = F.md5(F.concat_ws(":", F.lit(kind + origin), F.col("round").cast("string"), F.col("id")))
-        ranked = rows.join(plan, "kmer").withColumn("__rank", F.row_number().over(Window.partitionBy("kmer", "round").orderBy(order, "id")))
-        parts.append(ranked.where(F.col("__rank") <= need).select("kmer", "round", "prob", F.lit(origin).alias("origin")))
+        groups = plan.withColumn("__need", need.cast("int")).join(rows.groupBy("kmer").agg(F.count("*").alias("__all")), "kmer").select("kmer", "round", "__need", "__all")
+        text = F.concat_ws(":", F.lit(kind + origin), F.col("round").cast("string"), F.col("id"))
+        drawn = first_by_hash(rows, groups, ["kmer", "round"], text, ["id"], "__need", "__all")
+        parts.append(drawn.select("kmer", "round", "prob", F.lit(origin).alias("origin")))
     mid = plan.where("n_mid > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n_mid"))))
     value = 0.2 + 0.6 * hashed(1000000, F.lit("mid"), F.col("kmer"), F.col("round"), F.col("i")) / 1000000
     parts.append(mid.select("kmer", "round", value.cast("double").alias("prob"), F.lit("mid").alias("origin")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+#: Values of a set that stands in where drawing gives up: how many are low and how many in the middle.
+FALLBACK = {"ko": (50, 50), "wt_added": (92, 8), "wt_simple": (92, 8)}
+
+
+def fallback(kmers: DataFrame, kind: str) -> DataFrame:
+    """A synthetic set of 100 values for each k-mer that cannot be drawn: the first ones below 0.2, the others
+    between 0.2 and 0.8, by hashes of k-mer and place."""
+    low, mid = FALLBACK[kind]
+    rows = kmers.select("kmer").distinct().withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(low + mid))))
+    u = hashed(1000000, F.lit("fallback"), F.col("kmer"), F.col("i")) / 1000000
+    return rows.withColumns({"prob": F.when(F.col("i") <= low, 0.2 * u).otherwise(0.2 + 0.6 * u), "origin": F.when(F.col("i") <= low, "low").otherwise("mid")})
+
+
+def shuffled(rows: DataFrame, key: str, seed: int = 1) -> DataFrame:
+    """rows with place: their rank in the order of a hash of a key that is unique."""
+    return running(rows.withColumn("__h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))), "__h", {"place": F.lit(1)}, [key]).drop("__h", "__bucket")
+
+
+def remaining(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that an earlier run has not written yet."""
+    return rows.join(done.select(*keys).distinct(), keys, "left_anti")

@@ -145,9 +145,9 @@ _T = "atan(sqrt(deviance / df2))"
 _F2 = f"""CASE df2 WHEN 1 THEN 1 - 2 * {_T} / pi() WHEN 2 THEN 1 - sin({_T}) WHEN 3 THEN 1 - (2 / pi()) * ({_T} + sin({_T}) * cos({_T})) END"""
 
 
-@query(f"WITH {_tests(CONDITIONS2)} SELECT contig, position, site, df2, round(greatest(0, {_F2}), 6) AS pval FROM tests WHERE test = 'F' AND df2 BETWEEN 1 AND 3")
+@query(f"WITH {_tests(CONDITIONS2)} SELECT contig, position, site, df2, round(greatest(0, {_F2}), 6) AS pval FROM tests WHERE test = 'F' AND df2 > 0")
 def diff_f_pvalue_2cond(spark, sf_dir):
-    got = diff.site_tests(site_preds(spark, sf_dir), CONDITIONS2).where("test = 'F' and df2 between 1 and 3")
+    got = diff.site_tests(site_preds(spark, sf_dir), CONDITIONS2).where("test = 'F' and df2 > 0")
     return got.select(*diff.KEYS, "df2", F.round(diff.p_value(2), 6).alias("pval"))
 
 
@@ -157,12 +157,6 @@ def diff_chi2_3cond(spark, sf_dir):
     return got.select(*diff.KEYS, "test", "df2", F.round(diff.p_value(3), 6).alias("pval"))
 
 
-@query()
-def diff_chi2_pvalue_2cond(spark, sf_dir):
-    got = diff.site_tests(site_preds(spark, sf_dir, True), CONDITIONS2).where("test = 'chi2'")
-    return got.select(*diff.KEYS, F.round(diff.p_value(2), 6).alias("pval"))
-
-
 @query(f"""WITH {_tests(CONDITIONS2, more=f", p AS (SELECT *, greatest(0, {_F2}) AS pval FROM tests)")},
 fit AS (SELECT *, row_number() OVER (ORDER BY pval, contig, position, site) AS rank, count(*) OVER () AS m FROM p WHERE delta >= 0.05 AND pval IS NOT NULL),
 adj AS (SELECT *, least(1, min(pval * m / rank) OVER (ORDER BY rank DESC)) AS adj_pval FROM fit)
@@ -232,7 +226,7 @@ def quota_per_kmer(spark, sf_dir):
 @query("SELECT o_orderkey, CAST(least((row_number() OVER (ORDER BY o_orderkey) - 1) // ((count(*) OVER ()) // 7), 6) AS INT) AS shard FROM orders")
 def shard_contiguous(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    ranked = running(orders.withColumn("key", F.col("o_orderkey").cast("double")), "key", {"rank": F.lit(1)})
+    ranked = running(orders, "o_orderkey", {"rank": F.lit(1)})
     return ranked.crossJoin(F.broadcast(orders.agg(F.count("*").alias("n")))).select("o_orderkey", events.shard(F.col("rank"), F.col("n"), 7).alias("shard"))
 
 
@@ -564,11 +558,11 @@ COUNTS = f"WITH {RC} SELECT pos, count(*) AS coverage, count(*) FILTER (WHERE pr
 
 
 def _stream(spark, sf_dir):
-    from .scratch import shared_folder
+    from ..scratch import shared_folder
 
     folder = shared_folder(spark)
     calls = read_calls(spark, sf_dir).select("pos", "prob")
-    calls.repartition(6).write.parquet(f"{folder}/chunks")
+    calls.write.parquet(f"{folder}/chunks")
     return chunks.drain(chunks.site_counts(chunks.chunk_stream(spark, f"{folder}/chunks", calls.schema, 2), ["pos"]), f"{folder}/run")
 
 
@@ -586,3 +580,6 @@ def stream_vs_batch_site(spark, sf_dir):
     for c in names:
         same = same & F.col(c).eqNullSafe(F.col(f"s_{c}"))
     return batch.join(stream, "pos", "full").select("pos", same.alias("equal"))
+
+
+from . import coverage  # noqa: E402, F401  further queries register themselves

@@ -46,8 +46,9 @@ def sequencing_kit(spark: SparkSession, path) -> str:
 
 
 def fasta(spark: SparkSession, path) -> DataFrame:
-    """Contigs (contig, seq): records are cut at '>' by the text reader, so files of many contigs spread."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
+    """Contigs (contig, seq): records are cut at line starts with '>' by the text reader, so files of many contigs
+    spread; '>' inside a header is text."""
+    records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^>", "").alias("value")).where(F.length(F.trim("value")) > 0)
     head = F.regexp_extract("value", r"^(\S+)", 1)
     return records.select(head.alias("contig"), F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")).alias("seq"))
 

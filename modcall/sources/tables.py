@@ -34,7 +34,8 @@ def from_manifest(spark: SparkSession, path: str) -> DataFrame:
     """All site tables that a manifest (path, replicate, condition; header) names, as one tall table."""
     listed = spark.read.csv(path, sep="\t", header=True, schema="path string, rep string, condition string").collect()
     tables = [site_predictions(spark, r.path).withColumns({"rep": F.lit(r.rep), "condition": F.lit(r.condition)}) for r in listed]
-    return reduce(DataFrame.unionByName, tables)
+    empty = spark.createDataFrame([], "contig string, position int, site string, coverage long, stoichiometry double, probability double, rep string, condition string")
+    return reduce(DataFrame.unionByName, tables, empty)
 
 
 def event_align(spark: SparkSession, path: str) -> DataFrame:
@@ -63,6 +64,29 @@ def quotas(spark: SparkSession, path: str) -> DataFrame:
     return words.select(F.get("w", F.lit(0)).alias("ninemer"), F.expr("try_cast(w[1] as int)").alias("max_n"), "line_no").where("max_n is not null")
 
 
+def counts(spark: SparkSession, path: str) -> DataFrame:
+    """9-mer counts (9-mer, number; no header)."""
+    return spark.read.csv(path, sep="\t", schema="ninemer string, n long", mode="FAILFAST")
+
+
+def percentile_edges(spark: SparkSession, path: str) -> list[float]:
+    """Bin edges of a file with one number a line, with 0 and 1 at the ends; a short list by its nature."""
+    listed = [r[0] for r in spark.read.csv(path, schema="edge double", mode="FAILFAST").collect()]
+    return [0.0, *sorted(listed), 1.0]
+
+
+def features(spark: SparkSession, path: str, size: int = 1260) -> DataFrame:
+    """Feature records of Parquet chunks; a record of another size fails the job."""
+    rows = spark.read.parquet(path)
+    return rows.where(F.when(F.size("features") == size, True).otherwise(F.raise_error(F.lit(f"features are not {size} numbers")).cast("boolean")))
+
+
+def models(spark: SparkSession) -> DataFrame:
+    """The model codes as a table: code, modification, base, kit."""
+    rows = [(str(code), name, base, kit) for name, (base, kits) in MODEL_CODES.items() for kit, code in kits.items()]
+    return spark.createDataFrame(rows, "model_code string, modification string, base string, kit string")
+
+
 def write_tsv(df: DataFrame, path: str, header: bool = True, mode: str = "errorifexists") -> None:
     """A delimited table; arrays are joined by commas, as the sink takes no arrays."""
     flat = [F.array_join(F.col(f.name).cast("array<string>"), ",", "").alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name) for f in df.schema]

@@ -90,3 +90,76 @@ def test_sources(spark, tmp_path):
     assert [(r.ref_pos, r.base, r.q) for r in sequences.aligned_bases(rows).orderBy("ref_pos").collect()] == [(0, "A", 40), (1, "C", 40), (2, None, 0), (3, "G", 40)]
     (tmp_path / "t.bed").write_text("chrom pos\nc1 5\nc1\tx\n")
     assert [tuple(r) for r in tables.targets(spark, str(tmp_path / "t.bed")).collect()] == [("c1", 5)]
+
+
+def test_tables(spark, tmp_path):
+    from modcall.sources import sequences, tables
+
+    def text(name, *lines):
+        (tmp_path / name).write_text("".join(x + "\n" for x in lines))
+        return str(tmp_path / name)
+
+    calls = tables.read_calls(spark, text("calls.tsv", "c_1_5_ACGTACGTA_r1_9\t0.25\t3", "bad\t0.5\t3"))
+    assert [(r.contig, r.pos, r.read_pos, r.prob) for r in calls.collect()] == [("c_1", 5, 9, 0.25), (None, None, None, 0.5)] and tables.one_model(calls) == "3"
+    with pytest.raises(ValueError):
+        tables.one_model(calls.unionByName(calls.withColumn("model_code", F.lit("4"))))
+    head = "contig\tposition\tsite\tcoverage\tstoichiometry\tprobability"
+    one, two = text("one.tsv", head, "c\t1\tACGTACGTA\t20\t0.5\t0.9"), text("two.tsv", head, "c\t1\tACGTACGTA\t30\t\t0.8")
+    listed = text("manifest.tsv", "path\treplicate\tcondition", f"{one}\tr1\tWT_x", f"{two}\tr2\tKO")
+    assert sorted((r.rep, r.condition, r.coverage, r.stoichiometry) for r in tables.from_manifest(spark, listed).collect()) == [("r1", "WT_x", 20, 0.5), ("r2", "KO", 30, None)]
+    assert tables.from_manifest(spark, text("none.tsv", "path\treplicate\tcondition")).count() == 0
+    row = "c\t7\tACGTA\tr1\tt\t1\t80.5\t1.0\t0.01\tACGTA\t1,2.5,3"
+    assert [(r.pos, r.kmer, r.samples) for r in tables.event_align(spark, text("events.tsv", "contig\tposition" + "\tx" * 9, row)).collect()] == [(7, "ACGTA", [1.0, 2.5, 3.0])]
+    assert tables.kmer_model(spark, text("model.csv", "model_kmer,model_mean,model_stdv", "ACGTA,80.5,1.5")).first().mean == 80.5
+    assert [(r.ninemer, r.max_n) for r in tables.quotas(spark, text("quota.txt", "ACGTACGTA 5", "header x")).collect()] == [("ACGTACGTA", 5)]
+    assert tables.counts(spark, text("counts.tsv", "ACGTACGTA\t4")).first().n == 4 and tables.percentile_edges(spark, text("edges.txt", "0.5", "0.1")) == [0, 0.1, 0.5, 1]
+    tables.write_tsv(spark.createDataFrame([("a", [1, None, 3])], "k string, v array<int>"), str(tmp_path / "out"))
+    assert spark.read.text(str(tmp_path / "out")).collect()[1].value == "a\t1,,3"
+    rows = spark.createDataFrame([(b, [float(i)] * 4) for i, b in enumerate("AACG")], "base string, features array<float>")
+    tables.write_features(rows.coalesce(1), str(tmp_path / "feats"), "base", 1)
+    assert len(list((tmp_path / "feats" / "base=A").glob("*.parquet"))) == 2 and tables.features(spark, str(tmp_path / "feats"), 4).count() == 4
+    with pytest.raises(Exception, match="not 5 numbers"):
+        tables.features(spark, str(tmp_path / "feats"), 5).collect()
+    slow = text("a.slow5", "#slow5_version\t0.2.0", "@sequencing_kit\tsqk-rna004", "#read_id", "r1\t0\t8192\t10\t1400\t3000\t3\t1,2,3")
+    got = sequences.slow5(spark, slow).first()
+    assert (got.read_id, got.raw, got.digitisation, got.offset, got.range) == ("r1", [1, 2, 3], 8192, 10, 1400) and sequences.sequencing_kit(spark, slow) == "RNA004"
+    assert {(r.contig, r.seq) for r in sequences.fasta(spark, text("b.fa", ">c1 a>b", "acg", ">c2", "GG")).collect()} == {("c1", "ACG"), ("c2", "GG")}
+
+
+def test_read_level(spark, tmp_path):
+    """A read of twelve events on a contig of twenty bases: windows, qualities and currents by hand."""
+    from modcall.operators import modtags, readlevel
+    from modcall.sources import sequences
+
+    seq = "ACGTTGCAACGTAGCTAGGA"
+    (tmp_path / "a.fa").write_text(f">c1 x\n{seq}\n")
+    moves = "2," * 3 + "1I" + "3," * 9  # k-mers 15 down to 4
+    line = f"r1\t0\tc1\t3\t60\t8M1D9M\t*\t0\t0\t{seq[2:10]}{seq[11:20]}\t{'5' * 17}\tsi:Z:1,35,16,4\tss:Z:{moves}\tsc:f:2\tsh:f:1\n"
+    (tmp_path / "a.sam").write_text("@SQ\tSN:c1\tLN:20\n" + line)
+    (tmp_path / "a.slow5").write_text("#h\n" + "r1\t0\t100\t0\t100\t3000\t35\t" + ",".join(map(str, range(35))) + "\n")
+    reads, signals = sequences.usable(sequences.sam(spark, str(tmp_path / "a.sam"))), sequences.slow5(spark, str(tmp_path / "a.slow5"))
+    events = {r.pos: r.samples for r in readlevel.signal_events(reads, signals).collect()}
+    assert sorted(events) == list(range(4, 16)) and events[15] == [(2 - 1) / 2, (1 - 1) / 2] and events[12] == [(10 - 1) / 2, (9 - 1) / 2, (8 - 1) / 2]
+    model = spark.createDataFrame([(seq[i : i + 5], float(i)) for i in range(16)], "kmer string, mean double")
+    got = readlevel.aligned_features(reads, signals, sequences.aligned_bases(reads), sequences.fasta(spark, str(tmp_path / "a.fa")), model, "A").collect()
+    assert {(r.start, r.ninemer) for r in got} == {(i, seq[i : i + 9]) for i in range(4, 12) if seq[i + 4] == "A"}
+    one = next(r for r in got if r.start == 4)  # its centre is base 8, deleted: base 10
+    assert one.tag == "20_A" and len(one.features) == 180 and all(len(x) == 7 for x in one.features)
+    assert one.features[0][0] == events[4][0] and one.features[0][1] == 4.0 - events[4][0] and one.features[0][5] == 3 and one.features[0][6] == 20
+    assert readlevel.reference_ninemers(spark.createDataFrame([("c1", 11), ("c1", 12), ("c1", -1)], "contig string, start int"), sequences.fasta(spark, str(tmp_path / "a.fa"))).count() == 1
+    lines = modtags.tagged_lines(spark.createDataFrame([("r1", "r1", 0)], "read_id string, name string, flag int"), modtags.read_tags(spark.createDataFrame([("r1", 4, 0.5), ("r2", 1, 0.5)], "read_id string, read_pos int, prob double")), ["name", "flag"])
+    modtags.write_sam(lines, ["@HD\tVN:1.6"], str(tmp_path / "mod"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "mod")).collect()] == ["@HD\tVN:1.6", "r1\t0\tMM:Z:N+N,4;\tML:B:C,127"]
+
+
+def test_first_by_hash(spark):
+    """Large and small groups, whole groups and repeated hashes, against a plain sort."""
+    import hashlib
+
+    from modcall.operators.ranking import first_by_hash
+
+    rows = [(g, f"{g}-{i}") for g, n in ((1, 4000), (2, 30), (3, 1)) for i in range(n)]
+    groups = [(1, 100, 4000), (2, 50, 30), (3, 0, 1)]
+    got = first_by_hash(spark.createDataFrame(rows, "g int, id string"), spark.createDataFrame(groups, "g int, need int, size int"), ["g"], F.col("id"), ["id"], "need", "size").collect()
+    want = [x for g, need, _ in groups for x in sorted((hashlib.md5(i.encode()).hexdigest(), i) for h, i in rows if h == g)[:need]]
+    assert sorted(r.id for r in got) == sorted(i for _, i in want)

@@ -46,21 +46,20 @@ def first_by_hash(rows: DataFrame, groups: DataFrame, keys: list[str], text: Col
     than it should are sorted whole. text and ties may use the columns of both sides.
     """
 
-    def under(part):
-        return F.conv(F.substring("__md5", 1, 8), 16, 10).cast("double") < part * 4294967296.0
-
     def ranked(some):
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__md5", *ties))
         return some.withColumn("__rank", rank).where(F.col("__rank") <= F.col(need)).drop("__rank", "__md5")
 
     share = (F.col(need) + 6 * F.sqrt(need) + 12) / F.col(total)
-    joined = rows.join(groups, [c for c in keys if c in rows.columns]).withColumn("__md5", F.md5(text))
-    near = materialize(joined.where(under(share)))
+    bound = F.when(share >= 1, "g").otherwise(F.lpad(F.lower(F.hex(F.floor(share * 4294967296).cast("long"))), 8, "0"))
+    on = [c for c in keys if c in rows.columns]
+    joined = rows.join(groups.withColumn("__bound", bound), on).withColumn("__md5", F.md5(text))
+    near = materialize(joined.where(F.col("__md5") < F.col("__bound")).drop("__bound"))
     held = near.groupBy(*keys).agg(F.count("*").alias("__held"))
     short = groups.join(held, keys, "left").where(F.coalesce("__held", F.lit(0)) < F.least(need, total)).drop("__held")
     short = materialize(short)
     if short.first() is None:
         return ranked(near)
     fine = near.join(short.select(*keys), keys, "left_anti")
-    whole = rows.join(short, [c for c in keys if c in rows.columns]).withColumn("__md5", F.md5(text))
+    whole = rows.join(short, on).withColumn("__md5", F.md5(text))
     return ranked(fine.unionByName(whole.select(*fine.columns)))

@@ -158,10 +158,10 @@ def simhash_components(docs, shingle: int = 5, radius: int = 2, short: bool = Fa
 WORDS, BANDS, BITS = 6, 16, 24
 #: Places of an odd sketch; it tells sets of up to about as many elements apart.
 ODD = 2048
-ALONG, SPREAD = 2, 5
+ALONG, SPREAD = 3, 4
 #: Members of a variant, or of a block of one, that a task compares at a time; pairs for each member that a
 #: variant gives at once: larger and denser variants wait until the first links are known.
-LARGEST, DENSE, THIN = 2048, 1, 4
+LARGEST, DENSE, THIN = 2048, 4, 32
 
 
 def _bands(bands: int, bits: int):
@@ -371,14 +371,20 @@ def _search(docs, shingle: int, similarity: float, bands: int, bits: int, larges
     few, whole = _loose(64 * ALONG, share), _loose(64 * WORDS, share)
     met = materialize(found.repartition("v").sortWithinPartitions("v", "rep").mapInArrow(lean(_members(few, largest)), "v long, a long, b long"))
     group = components(_verified(docs, classes, met.where("v < 0").select("a", "b").distinct(), shingle, similarity, whole))
-    members = met.where("v >= 0").select("v", F.col("a").alias("rep")).join(group, F.col("rep") == F.col("node"), "left").select("v", "rep", F.coalesce("component", "rep").alias("c"))
+    # variants with the same members hold the same pairs: one of them is enough
+    waiting = met.where("v >= 0").select("v", F.col("a").alias("rep"))
+    sets = waiting.groupBy("v").agg(F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.count("*").alias("m"))
+    waiting = materialize(waiting.join(sets.groupBy("x", "y", "m").agg(F.min("v").alias("v")).select("v"), "v"))
+    members = waiting.join(group, F.col("rep") == F.col("node"), "left").select("v", "rep", F.coalesce("component", "rep").alias("c"))
     split = members.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / largest).alias("n")).where("lo < hi").select("v", "n")
     members = materialize(members.join(split, "v"))
     if members.first() is not None:
         # each block of a variant meets each other block, and itself, in a group of its own
         block = F.pmod(F.xxhash64("rep"), "n")
         cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda j: F.xxhash64("v", F.least(block, j), F.greatest(block, j)))
-        full = members.join(classes.select("rep", *names, "odd"), "rep").select(F.explode(cells).alias("v"), "rep", "c", *names, "odd")
+        full = members.join(classes.select("rep", *names, "odd"), "rep")
+        many = full.where("n > 1").select(F.explode(cells).alias("v"), "rep", "c", *names, "odd")
+        full = full.where("n = 1").select("v", "rep", "c", *names, "odd").union(many)
         pairs = full.repartition("v").sortWithinPartitions("v").mapInArrow(lean(_across(whole, similarity)), "a long, b long").distinct()
         more = _verified(docs, classes, pairs, shingle, similarity, whole)
         group = components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
@@ -396,7 +402,7 @@ def similar_components(docs, shingle: int = 5, similarity: float = 0.8, bands: i
     At a similarity of 0.8, where 15 % of the bits differ, 16 bands of 24 bits find 99.5 % of the pairs. All
     pairs of a variant are tested: those of large or dense variants in a second step, in blocks of about
     `largest` members, without the pairs that the links of the first step connect. A pair whose
-    fingerprints differ by five standard deviations more than the similarity lets expect met by chance; in the
+    fingerprints differ by four standard deviations more than the similarity lets expect met by chance; in the
     second step odd sketches of the sets, which never differ in more places than the sets do, rule out more.
     Of all others the sets of hashed shingles are compared. Equal fingerprints are one class. Texts are treated
     as by simhash_components, and so are null and repeated ids. For much more than 10**8 documents take more

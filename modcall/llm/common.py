@@ -16,10 +16,12 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 def scratch(spark) -> str:
     """A new folder name below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (as in tests) a folder of this machine is made and set.
+    Where that setting is absent a folder of this machine is made and set, which only a local master can do with.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="modcall-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/modcall/{uuid.uuid4().hex}"

@@ -61,3 +61,17 @@ def test_warc(spark, tmp_path):
     chunks = sorted((r.chunk, r.data) for r in read_warc_chunks(files, 1000).where("page_id = 6").collect())
     assert b"".join(d for _, d in chunks) == big.encode() and max(len(d) for _, d in chunks) <= 1000
     assert write_warc(pages.limit(0), f"file://{tmp_path}/e").count() == 0
+
+
+def test_clashing_names(spark):
+    """Columns called like those that operators make inside pass unchanged."""
+    from modcall.llm.line_dedup import dedup_lines
+    from modcall.llm.simhash import drop_similar, simhash_components
+    from modcall.llm.substring_dedup import dedup_substrings
+
+    names = ["__row", "row", "__drop", "__bucket", "__kind", "__body", "__k", "__ID", "rep", "v"]
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate([text, text, "other", None])], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for made in (dedup_lines(docs), dedup_substrings(docs), simhash_components(docs, 3, 2), drop_similar(docs)):
+        rows = made.collect()
+        assert len(rows) >= 3 and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)

@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import guarded, lean, materialize, without
+from .common import guarded, lean, materialize, scratch, without
 from .components import components
 
 #: Vectors of the bounded sample that fits the codebooks and the number of cells to visit.
 SAMPLE = 8192
 #: Members of a cell that meet in one piece; larger cells are dealt to several pieces.
 PIECE = 2048
+#: Most cells of a half: the sample holds eight vectors for each.
+CELLS = SAMPLE // 8
 
 
 def unit(x):
@@ -52,13 +54,11 @@ class Grid:
         norm = np.linalg.norm(other, axis=1, keepdims=True)
         other = np.divide(other, norm, out=np.zeros_like(other), where=norm > 0)
         partner = threshold * x + math.sqrt(1 - threshold**2) * other
-        home, order = self.nearest(partner, 1)[:, 0], np.full(len(x), self.k**2)
-        for a in range(0, len(x), 1024):
-            full = self.distances(x[a : a + 1024])
-            grid = (full[0][:, :, None] + full[1][:, None, :]).reshape(len(full[0]), -1)
-            mine = np.take_along_axis(grid, home[a : a + 1024, None], 1)
-            order[a : a + 1024] = (grid < mine).sum(1) + 1
-        self.visits = int(np.quantile(order, recall, method="higher"))
+        home, order = self.nearest(partner, 1)[:, 0], np.ones(len(x), np.int64)
+        for i, (one, two) in enumerate(zip(*self.distances(x), strict=True)):
+            # how many cells are nearer to a vector than its partner's
+            order[i] += np.searchsorted(np.sort(two), one[home[i] // self.k] + two[home[i] % self.k] - one).sum()
+        self.visits = min(self.k**2, int(np.quantile(order, recall, method="higher")))
 
     def distances(self, x):
         return [np.square(b).sum(1) - 2 * h @ b.T for b, h in zip(self.books, (x[:, : self.half], x[:, self.half :]), strict=True)]
@@ -94,24 +94,25 @@ def _deal(grid):
     """Rows for the cells: kind 0 stored at home in one piece, kind 1 visitors to all pieces of a cell."""
 
     def run(batches):
+        own_grid, (large, pieces) = grid.value
+        many = np.ones(own_grid.k**2, np.int64)
+        many[large] = pieces
         for big in batches:
             for at in range(0, big.num_rows, 2048):
                 batch = big.slice(at, 2048)
-                pieces = {int(c): int(p) for c, p in zip(*[[], []] if grid.value[1] is None else grid.value[1], strict=True)}
                 x = unit(_matrix(batch.column(2)))
-                cells = grid.value[0].nearest(x, grid.value[0].visits)
-                home = grid.value[0].nearest(x, 1)[:, 0]
+                cells = own_grid.nearest(x, own_grid.visits)
+                home = own_grid.nearest(x, 1)[:, 0]
                 rep = np.asarray(batch.column(0))
-                many = np.array([pieces.get(int(c), 1) for c in range(grid.value[0].k ** 2)])
                 own = (rep.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % many[home]
-                mask = np.zeros((len(x), many.size), bool)
-                np.put_along_axis(mask, cells, True, 1)
-                mask[np.arange(len(x)), home] = True
-                at_row, at_cell = np.nonzero(mask)
+                # a tie may leave a vector's home out of the cells that it visits
+                out = np.flatnonzero((cells != home[:, None]).all(1))
+                at_row = np.concatenate([np.repeat(np.arange(len(x)), cells.shape[1]), out])
+                at_cell = np.concatenate([cells.ravel(), home[out]])
                 times = many[at_cell]
                 row, cell = np.repeat(at_row, times), np.repeat(at_cell, times)
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                packed = [m.tobytes() for m in np.packbits(mask, axis=1)]
+                packed = [m.tobytes() for m in np.column_stack([home, cells]).astype(np.int32)]
                 cols = [
                     np.concatenate([home, cell]).astype(np.int32),
                     np.concatenate([own, piece]).astype(np.int32),
@@ -143,20 +144,22 @@ def _meet(threshold: float):
                 part = batch.slice(a, b - a)
                 home, rep, size, x = np.asarray(part.column(3)), np.asarray(part.column(5)), np.asarray(part.column(6)), unit(_matrix(part.column(7)))
                 if kind == 0:
-                    seen = np.unpackbits(np.stack([np.frombuffer(v, np.uint8) for v in part.column(4).to_pylist()]), axis=1)
-                    parts.append((rep, size, x, seen))
+                    parts.append((rep, size, x, np.frombuffer(b"".join(part.column(4).to_pylist()), np.int32).reshape(len(rep), -1)))
                     continue
                 if parts:
                     members, parts = [np.concatenate(c) for c in zip(*parts, strict=True)], []
+                    seen = members.pop()
+                    members.append(np.sort((seen.astype(np.int64) + (np.arange(len(seen)) << 32)[:, None]).ravel()))
                 if members is None:
                     continue
                 for c in range(0, len(rep), 1024):
-                    yield from _links(threshold, spot[0], members, home[c : c + 1024], rep[c : c + 1024], size[c : c + 1024], x[c : c + 1024])
+                    yield from _links(threshold, members, home[c : c + 1024], rep[c : c + 1024], size[c : c + 1024], x[c : c + 1024])
 
     return run
 
 
-def _links(threshold, cell, members, home, rep, size, x):
+def _links(threshold, members, home, rep, size, x):
+    """members: ids, sizes, vectors and the sorted (place, cell) of all that each member visits, as one number."""
     ids, sizes, y, seen = members
     i, j = np.nonzero(x @ y.T >= threshold)
     other = rep[i] != ids[j]
@@ -165,7 +168,8 @@ def _links(threshold, cell, members, home, rep, size, x):
         return
     count = np.bincount(i, sizes[j], len(rep)).astype(np.int64)
     # a member that does not itself visit the visitor's home learns of the link here
-    back = seen[j, home[i]] == 0
+    asked = (j.astype(np.int64) << 32) + home[i]
+    back = seen[np.minimum(np.searchsorted(seen, asked), len(seen) - 1)] != asked
     more = np.bincount(j[back], size[i[back]], len(ids)).astype(np.int64)
     node, total = np.concatenate([rep, ids]), np.concatenate([count, more])
     # a spanning star for each group of links: everyone to the smallest id of its group
@@ -191,7 +195,7 @@ def embedding_links(rows, threshold: float = 0.95, recall: float = 0.999, k: int
     and link with each other. n_links counts other rows linked directly; component_id is the smallest
     vec_id reachable; kept where it is the row's own. A null vec_id never becomes a component_id; a
     class without any id links inside itself only. k (cells of each half) defaults to about 256 classes
-    a cell. Two vectors meet if either visits the other's cell. Input columns named like a result are
+    a cell, at most CELLS of a half. Two vectors meet if either visits the other's cell. Input columns named like a result are
     replaced.
     """
     spark = rows.sparkSession
@@ -202,26 +206,23 @@ def embedding_links(rows, threshold: float = 0.95, recall: float = 0.999, k: int
     classes = materialize(
         keyed.where("__h1 is not null").groupBy("__h1", "__h2").agg(F.min(F.col("vec_id").cast("long")).alias("rep"), F.count("*").alias("n"), F.first(F.col("embedding").cast("array<float>") if rows.schema["embedding"].dataType.elementType == T.FloatType() else v).alias("x"))
     )
-    found = None
     usable = classes.where("rep is not null").select("rep", "n", "x")
-    lengths = [r[0] for r in usable.select(F.size("x").alias("d")).distinct().limit(65).collect()]
-    if len(lengths) > 64:
-        raise ValueError("vectors of more than 64 different lengths")
-    for d in sorted(lengths):
+    path, shape = scratch(spark), "kind int, a long, b long"
+    spark.createDataFrame([], shape).write.parquet(path)
+    for d, n in sorted(usable.groupBy(F.size("x").alias("d")).count().collect()):  # a grid for each length
         own = usable.where(F.size("x") == d)
         some = own.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("x").toPandas().x
-        n = own.count()
-        size = k or min(256, max(2, math.isqrt(n // 256)))
+        size = k or min(CELLS, max(2, math.isqrt(n // 256)))
         grid = Grid(unit(np.stack(some.to_numpy()).astype(np.float64)), size, threshold, recall)
         book = spark.sparkContext.broadcast(grid)
         homes = own.mapInArrow(lean(_homes(book)), "cell int, rep long").groupBy("cell").count().where(F.col("count") > PIECE)
         large = homes.collect()  # at most one row a cell of the grid
-        plan = spark.sparkContext.broadcast((grid, ([r["cell"] for r in large], [-(-r["count"] // PIECE) for r in large])))
+        plan = spark.sparkContext.broadcast((grid, (np.array([r["cell"] for r in large], np.int64), np.array([-(-r["count"] // PIECE) for r in large], np.int64))))
         kind = own.schema["x"].dataType.simpleString()
         dealt = own.mapInArrow(lean(_deal(plan)), f"cell int, piece int, kind int, home int, visits binary, rep long, n long, x {kind}")
-        met = dealt.repartition("cell", "piece").sortWithinPartitions("cell", "piece", "kind").mapInArrow(lean(_meet(threshold)), "kind int, a long, b long")
-        found = met if found is None else found.union(met)
-    found = materialize(found) if found is not None else spark.createDataFrame([], "kind int, a long, b long")
+        met = dealt.repartition("cell", "piece").sortWithinPartitions("cell", "piece", "kind").mapInArrow(lean(_meet(threshold)), shape)
+        met.write.mode("append").parquet(path)
+    found = spark.read.schema(shape).parquet(path)
     links = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("links"))
     group = components(found.where("kind = 1").select("a", "b"))
     known = classes.select("__h1", "__h2", "rep", "n").join(links, F.col("rep") == F.col("a"), "left").join(group, F.col("rep") == F.col("node"), "left")

@@ -42,6 +42,44 @@ def test_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (85, 500, 501, 502, 503))
 
 
+def _linked(y, threshold=0.95):
+    y = y.astype(np.float32).astype(float)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    return (y @ y.T >= threshold) & ~np.eye(len(y), dtype=bool)
+
+
+def test_grid_recall(spark):
+    """A grid of which a vector visits a part only, on vectors with noise along a few directions, against brute force."""
+    from modcall.llm.embedding_dedup import Grid, embedding_links, unit
+
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((1500, 32)) * np.linspace(2, 0.5, 32)
+    noise = np.zeros((1500, 32))
+    noise[:, :6] = 0.55 * rng.standard_normal((1500, 6))
+    x = np.concatenate([base, base + noise]).astype(np.float32)
+    near = _linked(x)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert 2 * near.sum() > len(x) // 4 and Grid(unit(x.astype(float)), 32, 0.95, 0.999).visits < 32**2 // 2
+    got = {r.vec_id: r.n_links for r in embedding_links(rows, k=32).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= near.sum(1)).all() and found.sum() >= 0.98 * near.sum()
+
+
+def test_lengths_and_large_cells(spark):
+    """Vectors of many lengths, and one cell with more members than a piece holds."""
+    from modcall.llm import embedding_dedup
+    from modcall.llm.embedding_dedup import embedding_links
+
+    rows = [(100 * d + i, [float(i == 2)] * (d - 1) + [1.0 + i % 2]) for d in (1, 2, 5) for i in range(3)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {100: (2, 100), 101: (2, 100), 102: (2, 100), 200: (1, 200), 201: (1, 200), 202: (0, 202), 500: (1, 500), 501: (1, 500), 502: (0, 502)}
+    rng = np.random.default_rng(2)
+    x = (np.ones((embedding_dedup.PIECE + 300, 8)) + 0.3 * rng.standard_normal((embedding_dedup.PIECE + 300, 8))).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in embedding_links(rows, k=1).collect()}
+    assert [got[i] for i in range(len(x))] == _linked(x).sum(1).tolist()
+
+
 def test_warc(spark, tmp_path):
     from modcall.llm.warc import read_warc, read_warc_chunks, write_warc
 

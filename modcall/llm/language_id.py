@@ -18,8 +18,8 @@ from .common import lean, raw, slices, without
 PER_LANGUAGE, PASSAGES, PASSAGE = 256, 4, 96
 #: Units in each direction, bytes of a segment, and training steps, sequences a step and rate.
 UNITS, SEGMENT, STEPS, ROWS, RATE = 8, 128, 240, 128, 0.03
-#: Languages at most; more in the labelled rows are an error, as the sample is bounded by their number.
-LANGUAGES = 64
+#: Documents of the sample in all; beyond TOTAL / PER_LANGUAGE languages each has fewer.
+TOTAL = 64 * PER_LANGUAGE
 
 
 def _sigmoid(x):
@@ -113,7 +113,7 @@ class Tagger:
         own = {k: [t for t, lab in zip(texts, labels, strict=True) if lab == k and t] for k in self.labels}
         moments = [[np.zeros_like(w), np.zeros_like(w)] for w in self.weights()]
         for step in range(1, steps + 1):
-            y = np.arange(ROWS) % len(self.labels)
+            y = (np.arange(ROWS) + (step * ROWS if len(self.labels) > ROWS else 0)) % len(self.labels)
             x = np.zeros((ROWS, SEGMENT // 2), np.uint8)
             for i, k in enumerate(y):
                 some = own[self.labels[k]]
@@ -152,13 +152,11 @@ class Tagger:
 
 
 def _sample(docs, held):
-    """At most PER_LANGUAGE documents of each language, by a hash of their id; PASSAGES windows of each."""
+    """At most PER_LANGUAGE documents of each language, by a hash of their id, and TOTAL in all, the languages in
+    turn; PASSAGES windows of each."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held).select("doc_id", "lang")
     turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.withColumn("__n", turn).where(F.col("__n") <= PER_LANGUAGE).select("doc_id", "lang").distinct()
-    bound = known.select("lang").distinct().limit(LANGUAGES + 1).count()
-    if bound > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    chosen = known.withColumn("__n", turn).where(F.col("__n") <= PER_LANGUAGE).orderBy("__n", "lang", "doc_id").limit(TOTAL).select("doc_id", "lang").distinct()
     starts = [F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(F.lit(1), F.length("text") - PASSAGE)).cast("int") + 1 for i in range(PASSAGES)]
     passages = F.array(*[F.substring("text", s, PASSAGE) for s in starts])
     rows = docs.where(~held).join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", F.explode(passages).alias("part"))
@@ -186,8 +184,8 @@ def identify_language(docs, model=None):
     """docs with held_out, lang_pred and score (the mean probability of the language over all bytes).
 
     The model learns from text and non-null lang of documents whose crc32(doc_id as text) mod 5 is not 0
-    (null doc_id: neither learned from nor held out), at most PER_LANGUAGE of each language. Text that is
-    null or has no letter: 'und', 0.0; so is every text where there is nothing to learn from. Ties go to
+    (null doc_id: neither learned from nor held out), at most PER_LANGUAGE of each language and TOTAL in
+    all. Text that is null or has no letter: 'und', 0.0; so is every text where there is nothing to learn from. Ties go to
     the first language in order. Repeated rows repeat; other columns pass, those named like a result are
     replaced. model: a fitted Tagger to use instead.
     """

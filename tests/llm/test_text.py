@@ -324,6 +324,39 @@ def test_language(spark):
     assert identify_language(docs.limit(0)).count() == 0
 
 
+def test_language_gradients():
+    """Backpropagation through time against finite differences."""
+    import numpy as np
+
+    from modcall.llm.language_id import Tagger
+
+    rng = np.random.default_rng(4)
+    net = Tagger(["a", "b", "c"])
+    for part in net.parts:
+        part.table, part.u = part.table.astype(np.float64), part.u.astype(np.float64)
+    x, y = rng.integers(97, 101, (9, 5)).astype(np.uint8), np.array([0, 1, 2, 0, 1])
+    loss = lambda: -np.log(net.probabilities(x)[:, y, np.arange(5)]).mean()
+    for w, g in zip(net.weights(), net.gradients(x, y), strict=True):
+        for at in np.argsort(-np.abs(g).ravel())[:4]:
+            old = w.flat[at]
+            w.flat[at] = old + 0.01
+            up = loss()
+            w.flat[at] = old - 0.01
+            down = loss()
+            w.flat[at] = old
+            assert abs((up - down) / 0.02 - g.flat[at]) < 1e-3 + 0.02 * abs(g.flat[at])
+
+
+def test_many_languages(spark):
+    """More languages than a training step has rows, repeated rows and a clashing column."""
+    from modcall.llm.language_id import identify_language
+
+    rows = [(i, f"{chr(0x4E00 + i % 150) * 40}", f"l{i % 150}", "mine") for i in range(900)] * 2
+    got = identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")).collect()
+    assert len(got) == 1800 and {r.lang_pred for r in got} <= {f"l{k}" for k in range(150)} and all(0 < r.score <= 1 for r in got)
+    assert len({(r.doc_id, r.lang_pred, r.score) for r in got}) == 900
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

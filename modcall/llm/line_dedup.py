@@ -52,13 +52,13 @@ def _join(place: int, drop: int):
     return run
 
 
-@guarded("__row", "__drop", "row", "h", "at", "salt", "salts", "first")
+@guarded("__row", "__drop", "__id", "row", "h", "at", "salt", "salts", "first")
 def dedup_lines(docs, least: int = 10, documents: int = 2):
     """Documents with kept_text, n_lines and n_dropped (their own text column is left out).
 
     Text is split at line feeds; null or empty text is one empty line. Keys of at least `least` code
     points in at least `documents` documents lose all lines outside the smallest doc_id that holds them,
-    and keep all inside it. Keys are told apart by a 128-bit hash. Rows that share a doc_id count as one
+    and keep all inside it. Keys are told apart by a 128-bit hash, rows by doc_id and a 64-bit hash. Rows that share a doc_id count as one
     document, each with its own lines; null doc_ids form one document, the smallest. Equal rows give
     equal results. Other columns pass; those named like a result are replaced.
     """
@@ -75,9 +75,9 @@ def dedup_lines(docs, least: int = 10, documents: int = 2):
     hot = common.where(F.col("n") > SALT_ROWS).orderBy(F.desc("n"), "h").limit(HOT_KEYS).select("h", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts"))
     salted = common.join(F.broadcast(hot), "h", "left").select("h", "first", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
     dealt = lines.join(F.broadcast(hot), "h", "left").select("h", "doc_id", "row", "at", F.pmod("row", F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
-    drop = dealt.join(salted, ["h", "salt"]).where("doc_id > first").groupBy("row").agg(F.collect_set("at").alias("__drop"))
+    drop = dealt.join(salted, ["h", "salt"]).where("doc_id > first").groupBy(F.col("doc_id").alias("__id"), "row").agg(F.collect_set("at").alias("__drop"))
     docs = docs.withColumn("__row", row)
-    both = docs.join(drop, F.col("__row") == F.col("row"), "left").drop("__row", "row")
+    both = docs.join(drop, (F.col("__row") == F.col("row")) & (rank == F.col("__id")), "left").drop("__row", "row", "__id")
     place = both.columns.index(next(c for c in both.columns if c.lower() == "text"))
     shape = T.StructType([T.StructField(f.name, f.dataType) for i, f in enumerate(both.schema) if i != place and f.name != "__drop"])
     shape = shape.add("kept_text", "string").add("n_lines", "long").add("n_dropped", "long")

@@ -57,6 +57,9 @@ def _chunks(size: int, facts: bool):
 _CHUNK_NAMES = ["page_id", "row", "chunk", "data", "carried"]
 _FACT_NAMES = ["page_id", "row", "payload_bytes", "payload_digest"]
 _CHUNK_SHAPE = "page_id long, row long, chunk int, data binary, carried string"
+#: Payload bytes of an archive, on average, once the input has more than one for each shuffle partition.
+ARCHIVE = 128 << 20
+
 _FACT_SHAPE = "page_id long, row long, payload_bytes long, payload_digest string"
 
 
@@ -187,7 +190,8 @@ def write_warc(pages, folder: str, least: int = 0, chunk: int = CHUNK):
     judged = judged.withColumn("top", F.col("best_row").isNull() | (F.col("page_id").eqNullSafe(F.col("best_page")) & (F.col("row") == F.col("best_row"))))
     copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
     judged = judged.select("*", copy.alias("copy")).withColumn("response", F.col("top") & ((F.col("copy") == 1) | F.col("best_row").isNull()))
-    n = max(1, buckets(spark, 1))
+    total = base.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    n = max(buckets(spark, 1), -(-total // ARCHIVE))
     spread = F.pmod(F.xxhash64("page_id", "row"), F.lit(n)).cast("int")
     urls = base.groupBy("page_id", "row").agg(F.max("url").alias("url"))
     same = judged["page_id"].eqNullSafe(urls["page_id"]) & (judged["row"] == urls["row"])
@@ -199,7 +203,7 @@ def write_warc(pages, folder: str, least: int = 0, chunk: int = CHUNK):
     # chunk rows go to responses only; a response is the first copy, so its chunks follow its head
     body = payload_chunks(base.select("page_id", "row", "html"), chunk).select("page_id", "row", "chunk", F.lit(1).alias("copy"), "data")
     rows = head_rows.unionByName(body, allowMissingColumns=True).withColumn("bucket", spread)
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "page_id", "row", "copy", "chunk")
+    dealt = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "page_id", "row", "copy", "chunk")
     return dealt.mapInArrow(lean(_write(folder)), "file string")
 
 
@@ -314,7 +318,8 @@ def op4_warc(spark, sf_dir):
     folder = scratch(spark)
     files = write_warc(pages, f"{folder}/warc", 0)
     files.write.parquet(f"{folder}/files")
-    files = spark.read.schema("file string").parquet(f"{folder}/files").repartition(max(1, buckets(spark, 1)), "file")
+    files = spark.read.schema("file string").parquet(f"{folder}/files")
+    files = files.repartition(max(1, files.count()), "file")
     return read_warc(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -7,6 +7,7 @@ from .line_dedup import OP10_SQL, op10_line_dedup
 from .packing import op8_best_fit_packing
 from .quality_rules import op9_quality_rules
 from .simhash import op6_simhash_near_dedup
+from .spelling import OP11_SQL, op11_spelling_variants
 from .substring_dedup import op1_substring_dedup
 from .token_counts import op5_token_counts
 from .warc import OP4_SQL, op4_warc
@@ -24,8 +25,9 @@ QUERIES = {
         op8_best_fit_packing,
         op9_quality_rules,
         op10_line_dedup,
+        op11_spelling_variants,
     )
 }
 
 #: The others are tested against brute force, exact round trips or held-out labels.
-ORACLE_SQL = {"op4_warc": OP4_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE_SQL = {"op4_warc": OP4_SQL, "op10_line_dedup": OP10_SQL, "op11_spelling_variants": OP11_SQL}

@@ -2,6 +2,7 @@
 
 from .bpe import op2_bpe_encode_decode
 from .embedding_dedup import op3_embedding_near_dedup
+from .hard_negatives import OP12_SQL, op12_hard_negatives
 from .language_id import op7_language_id
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .packing import op8_best_fit_packing
@@ -10,6 +11,7 @@ from .simhash import op6_simhash_near_dedup
 from .spelling import OP11_SQL, op11_spelling_variants
 from .substring_dedup import op1_substring_dedup
 from .token_counts import op5_token_counts
+from .vantage import OP13_SQL, op13_nearest_neighbours
 from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
@@ -26,8 +28,10 @@ QUERIES = {
         op9_quality_rules,
         op10_line_dedup,
         op11_spelling_variants,
+        op12_hard_negatives,
+        op13_nearest_neighbours,
     )
 }
 
 #: The others are tested against brute force, exact round trips or held-out labels.
-ORACLE_SQL = {"op4_warc": OP4_SQL, "op10_line_dedup": OP10_SQL, "op11_spelling_variants": OP11_SQL}
+ORACLE_SQL = {"op4_warc": OP4_SQL, "op10_line_dedup": OP10_SQL, "op11_spelling_variants": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_nearest_neighbours": OP13_SQL}

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import functions as F
 
-from .common import buckets, lean, scratch
+from .common import buckets, lean, materialize, scratch
 
 #: Bytes of a payload in one row of the chunk table.
 CHUNK = 1 << 20
@@ -27,67 +27,72 @@ def bare_digest(sha1) -> str:
     return base64.b32encode(sha1.digest()).decode()
 
 
-def _chunks(size: int, facts: bool):
-    """Rows of the chunk table; facts: one row per record, of its last chunk's carried digest, without bytes."""
+def _payloads(batch):
+    """(row number, payload) of a batch's html, without a copy."""
+    for at, html in enumerate(batch.column("html")):
+        yield at, memoryview(html.as_buffer() or b"") if html.is_valid else memoryview(b"")
+
+
+def _facts(size: int):
+    """A row per record with its length and the digest carried over its chunks."""
 
     def run(batches):
         for batch in batches:
-            for at in range(batch.num_rows):
-                page, row, html = (batch.column(i)[at] for i in range(3))
-                payload = memoryview(html.as_buffer() or b"") if html.is_valid else memoryview(b"")
-                carried, n = hashlib.sha1(), max(1, -(-len(payload) // size))
-                rows: list[list] = [[], [], []]
-                for i in range(n):
-                    part = payload[i * size : (i + 1) * size]
-                    carried.update(part)
-                    if not facts:
-                        rows[0].append(i)
-                        rows[1].append(part)
-                        rows[2].append(bare_digest(carried))
-                        if sum(map(len, rows[1])) >= 8 * size or i == n - 1:
-                            many = len(rows[0])
-                            yield pa.record_batch([pa.array([page.as_py()] * many, pa.int64()), pa.array([row.as_py()] * many, pa.int64()), pa.array(rows[0], pa.int32()), pa.array([bytes(x) for x in rows[1]], pa.binary()), pa.array(rows[2])], names=_CHUNK_NAMES)
-                            rows = [[], [], []]
-                if facts:
-                    yield pa.record_batch([pa.array([page.as_py()], pa.int64()), pa.array([row.as_py()], pa.int64()), pa.array([len(payload)], pa.int64()), pa.array([bare_digest(carried)])], names=_FACT_NAMES)
+            lengths, digests = [], []
+            for _, payload in _payloads(batch):
+                carried = hashlib.sha1()
+                for i in range(0, len(payload), size):
+                    carried.update(payload[i : i + size])
+                lengths.append(len(payload))
+                digests.append(bare_digest(carried))
+            yield pa.record_batch([batch.column("page_id"), batch.column("row"), batch.column("url"), pa.array(lengths, pa.int64()), pa.array(digests, pa.string())], names=["page_id", "row", "url", "payload_bytes", "payload_digest"])
 
     return run
 
 
-_CHUNK_NAMES = ["page_id", "row", "chunk", "data", "carried"]
-_FACT_NAMES = ["page_id", "row", "payload_bytes", "payload_digest"]
-_CHUNK_SHAPE = "page_id long, row long, chunk int, data binary, carried string"
-#: Payload bytes of an archive, on average, once the input has more than one for each shuffle partition.
-ARCHIVE = 128 << 20
+def _chunks(size: int):
+    """Rows of the chunk table, about eight full chunks at a time."""
+
+    def run(batches):
+        for batch in batches:
+            pages, hashes = batch.column("page_id").to_pylist(), batch.column("row").to_pylist()
+            rows, held = [], 0
+            for at, payload in _payloads(batch):
+                carried = hashlib.sha1()
+                for i in range(max(1, -(-len(payload) // size))):
+                    part = payload[i * size : (i + 1) * size]
+                    carried.update(part)
+                    rows.append((pages[at], hashes[at], i, bytes(part), bare_digest(carried)))
+                    held += len(part)
+                    if held >= 8 * size or len(rows) >= 4096:
+                        yield _table(rows)
+                        rows, held = [], 0
+            if rows:
+                yield _table(rows)
 
-_FACT_SHAPE = "page_id long, row long, payload_bytes long, payload_digest string"
+    return run
 
 
-def _gather(run, most: int = 4 << 20):
-    """Join small batches of a generator until they hold about `most` bytes or 4096 rows."""
+def _table(rows):
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _CHUNK_FIELDS, strict=True)], schema=_CHUNK_FIELDS)
 
-    def out(batches):
-        held, size, count = [], 0, 0
-        for b in run(batches):
-            held.append(b)
-            size, count = size + b.nbytes, count + b.num_rows
-            if size >= most or count >= 4096:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, size, count = [], 0, 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    return out
+_CHUNK_FIELDS = pa.schema([("page_id", pa.int64()), ("row", pa.int64()), ("chunk", pa.int32()), ("data", pa.binary()), ("carried", pa.string())])
+_CHUNK_SHAPE = "page_id long, row long, chunk int, data binary, carried string"
+_FACT_SHAPE = "page_id long, row long, url string, payload_bytes long, payload_digest string"
+#: Payload bytes of an archive, on average, once the input has more than one for each shuffle partition.
+ARCHIVE = 128 << 20
 
 
 def payload_chunks(pages, chunk: int = CHUNK):
     """The chunked record table of pages (page_id, row, html): page_id, row, chunk, data, carried digest."""
-    return pages.mapInArrow(lean(_gather(_chunks(chunk, False))), _CHUNK_SHAPE)
+    return pages.mapInArrow(lean(_chunks(chunk)), _CHUNK_SHAPE)
 
 
 def payload_facts(pages, chunk: int = CHUNK):
-    """Length and bare base32 SHA-1 of every page's payload, by digests carried over chunks."""
-    return pages.mapInArrow(lean(_gather(_chunks(chunk, True))), _FACT_SHAPE)
+    """Length and bare base32 SHA-1 of every page's payload, by digests carried over chunks; pages: page_id, row, url,
+    html."""
+    return pages.mapInArrow(lean(_facts(chunk)), _FACT_SHAPE)
 
 
 class _Archive:
@@ -135,14 +140,14 @@ def _write(folder: str):
     """Rows sorted by bucket, record, chunk: the head row (chunk -1) opens a record, chunk rows stream into it."""
 
     def run(batches):
-        archive, bucket, state, written, copies = None, None, None, 0, 0
+        archive, bucket, state, written, copies, carried = None, None, None, 0, 0, None
 
         def finish():
             nonlocal state, written
             if state is None:
                 return
-            if state["record_type"] == "response" and written != state["payload_bytes"]:
-                raise ValueError(f"page {state['page_id']}: {written} of {state['payload_bytes']} payload bytes")
+            if state["record_type"] == "response" and (written, carried) != (state["payload_bytes"], state["payload_digest"]):
+                raise ValueError(f"page {state['page_id']}: {written} of {state['payload_bytes']} payload bytes, or others")
             archive.end()
             state, written = None, 0
 
@@ -161,7 +166,7 @@ def _write(folder: str):
                 elif state is not None and state["record_type"] == "response" and r["chunk"] == copies + 1:
                     # a repeated row's chunks come in copies of which one is written
                     archive.write(r["data"])
-                    written, copies = written + len(r["data"]), r["chunk"]
+                    written, copies, carried = written + len(r["data"]), r["chunk"], r["carried"]
         finish()
         if archive:
             archive.close()
@@ -182,7 +187,8 @@ def write_warc(pages, folder: str, least: int = 0, chunk: int = CHUNK):
     page, html = F.col("page_id").cast("long"), F.col("html").cast("string")
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
     base = pages.select(page.alias("page_id"), F.xxhash64("html").alias("row"), html.cast("binary").alias("html"), url.alias("url"))
-    facts = payload_facts(base.select("page_id", "row", "html"), chunk).groupBy("page_id", "row", "payload_bytes", "payload_digest").agg(F.count("*").alias("copies"))
+    once = F.count("*").alias("copies"), F.max("url").alias("url")
+    facts = materialize(payload_facts(base, chunk).groupBy("page_id", "row", "payload_bytes", "payload_digest").agg(*once))
     rank = F.struct(F.col("page_id").isNotNull().alias("some"), "page_id", "row")
     heads = facts.groupBy("payload_digest", "payload_bytes").agg(F.max(rank).alias("best"), F.sum("copies").alias("n")).where((F.col("n") > 1) & (F.col("payload_bytes") >= least))
     heads = heads.select("payload_digest", "payload_bytes", F.col("best.page_id").alias("best_page"), F.col("best.row").alias("best_row"))
@@ -190,66 +196,68 @@ def write_warc(pages, folder: str, least: int = 0, chunk: int = CHUNK):
     judged = judged.withColumn("top", F.col("best_row").isNull() | (F.col("page_id").eqNullSafe(F.col("best_page")) & (F.col("row") == F.col("best_row"))))
     copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
     judged = judged.select("*", copy.alias("copy")).withColumn("response", F.col("top") & ((F.col("copy") == 1) | F.col("best_row").isNull()))
-    total = base.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    total = facts.agg(F.sum(F.col("payload_bytes") * F.col("copies"))).first()[0] or 0
     n = max(buckets(spark, 1), -(-total // ARCHIVE))
     spread = F.pmod(F.xxhash64("page_id", "row"), F.lit(n)).cast("int")
-    urls = base.groupBy("page_id", "row").agg(F.max("url").alias("url"))
-    same = judged["page_id"].eqNullSafe(urls["page_id"]) & (judged["row"] == urls["row"])
     refers = F.when(F.col("response"), None)
-    head_rows = judged.join(urls, same).select(
-        judged["page_id"], judged["row"], F.lit(-1).alias("chunk"), F.col("copy"), "payload_bytes", "payload_digest", "url",
+    head_rows = judged.select(
+        "page_id", "row", F.lit(-1).alias("chunk"), "copy", "payload_bytes", "payload_digest", "url",
         F.when(F.col("response"), "response").otherwise("revisit").alias("record_type"), refers.otherwise(F.col("best_page")).alias("refers_to"), refers.otherwise(F.col("best_row")).alias("refers_row"),
     )
     # chunk rows go to responses only; a response is the first copy, so its chunks follow its head
-    body = payload_chunks(base.select("page_id", "row", "html"), chunk).select("page_id", "row", "chunk", F.lit(1).alias("copy"), "data")
+    body = payload_chunks(base.select("page_id", "row", "html"), chunk).select("page_id", "row", "chunk", F.lit(1).alias("copy"), "data", "carried")
     rows = head_rows.unionByName(body, allowMissingColumns=True).withColumn("bucket", spread)
     dealt = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "page_id", "row", "copy", "chunk")
     return dealt.mapInArrow(lean(_write(folder)), "file string")
 
 
 def _inflate(stream, step: int = 1 << 18):
-    """The inflated bytes of a gzip stream of several members, piece by piece."""
-    unzip = zlib.decompressobj(31)
+    """The inflated bytes of a gzip stream of several members, in pieces of at most `step` bytes."""
+    unzip, begun = zlib.decompressobj(31), False
     while data := stream.read(step):
         while data:
-            yield unzip.decompress(data)
-            data = unzip.unused_data
+            begun = True
+            yield unzip.decompress(data, step)
             if unzip.eof:
-                unzip = zlib.decompressobj(31)
-            elif not data:
-                break
+                data, unzip, begun = unzip.unused_data, zlib.decompressobj(31), False
+            else:
+                data = unzip.unconsumed_tail
+    while begun and not unzip.eof:  # what was read but not given out yet
+        if not (piece := unzip.decompress(b"", step)) and not unzip.eof:
+            raise ValueError("an archive ends inside a record")
+        yield piece
 
 
 class _Stream:
     """Reads lines and counted bytes from pieces, holding no more than a piece and a line."""
 
     def __init__(self, pieces):
-        self.pieces, self.held = pieces, b""
+        self.pieces, self.held, self.at = pieces, b"", 0
 
     def more(self) -> bool:
         for piece in self.pieces:
             if piece:
-                self.held += piece
+                self.held, self.at = (self.held[self.at :] + piece if self.at < len(self.held) else piece), 0
                 return True
         return False
 
     def head(self) -> list[str] | None:
         """The lines of the next record's head, or None at the end."""
-        while (at := self.held.find(b"\r\n\r\n")) < 0:
+        while (end := self.held.find(b"\r\n\r\n", self.at)) < 0:
             if not self.more():
-                if self.held.strip():
+                if self.held[self.at :].strip():
                     raise ValueError("an archive ends inside a record")
                 return None
-        lines, self.held = self.held[:at].decode().split("\r\n"), self.held[at + 4 :]
+        lines, self.at = self.held[self.at : end].decode().split("\r\n"), end + 4
         return lines
 
     def take(self, n: int, step: int):
         """Pieces of at most `step` bytes of the next n."""
         while n:
-            if not self.held and not self.more():
+            if self.at == len(self.held) and not self.more():
                 raise ValueError("an archive ends inside a record")
-            part = self.held[: min(n, step)]
-            self.held = self.held[len(part) :]
+            part = self.held[self.at : self.at + min(n, step)]
+            self.at += len(part)
             n -= len(part)
             yield part
 

@@ -101,6 +101,66 @@ def test_warc(spark, tmp_path):
     assert write_warc(pages.limit(0), f"file://{tmp_path}/e").count() == 0
 
 
+def _archive(size, step=1 << 20):
+    """One record of `size` zeros in a gzip member."""
+    import io
+    import zlib
+
+    out, zipped = io.BytesIO(), zlib.compressobj(9, zlib.DEFLATED, 31)
+    out.write(zipped.compress(f"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: {size}\r\n\r\n".encode()))
+    for _ in range(size // step):
+        out.write(zipped.compress(bytes(step)))
+    out.write(zipped.compress(b"\r\n\r\n") + zipped.flush())
+    return out.getvalue()
+
+
+def test_compressible_payloads_are_read_in_bounded_memory():
+    import io
+    import time
+    import tracemalloc
+
+    from modcall.llm.warc import CHUNK, warc_records
+
+    two = _archive(200 << 20) + _archive(3 << 20)
+    began, sizes = time.time(), []
+    tracemalloc.start()
+    for _, pieces in warc_records(io.BytesIO(two)):
+        sizes.append(0)
+        for part in pieces:
+            assert len(part) <= CHUNK
+            sizes[-1] += len(part)
+    assert sizes == [200 << 20, 3 << 20] and tracemalloc.get_traced_memory()[1] < 64 << 20 and time.time() - began < 30
+    tracemalloc.stop()
+
+
+def test_cut_archives_are_an_error():
+    import io
+
+    import pytest
+
+    from modcall.llm.warc import warc_records
+
+    whole = _archive(3 << 20)
+    for cut in (30, len(whole) // 2, len(whole) - 12):
+        with pytest.raises(ValueError, match="ends inside|does not end"):
+            for _, pieces in warc_records(io.BytesIO(whole[:cut])):
+                for _ in pieces:
+                    pass
+
+
+def test_long_pages_and_other_columns(spark, tmp_path):
+    """Payloads of megabytes, and columns called like those made inside, through the registered query."""
+    from pyspark.sql import functions as F
+
+    from modcall.llm.warc import op4_warc
+
+    rows = [(1, "u", "ä" * 3_000_000), (2, "v", "ä" * 3_000_000), (3, None, "x" * 2_500_001), (4, "w", None)]
+    extra = {c: F.lit("x") for c in ("row", "chunk", "data", "carried", "copies", "best", "bucket", "file", "payload_bytes")}
+    spark.createDataFrame(rows, "page_id long, url string, html string").withColumns(extra).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in op4_warc(spark, str(tmp_path)).collect())
+    assert got == [(1, 6_000_000, "revisit", 2), (2, 6_000_000, "response", None), (3, 2_500_001, "response", None), (4, 0, "response", None)]
+
+
 def test_clashing_names(spark):
     """Columns called like those that operators make inside pass unchanged."""
     from modcall.llm.line_dedup import dedup_lines

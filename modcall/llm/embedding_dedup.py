@@ -186,14 +186,15 @@ def _links(threshold, members, home, rep, size, x):
     yield pa.record_batch([pa.array(kind), pa.array(np.concatenate([node[some], node[edge]])), pa.array(np.concatenate([total[some], least[edge]]))], names=["kind", "a", "b"])
 
 
-@guarded("__h1", "__h2", "rep", "n", "x", "a", "b", "node", "component", "links")
+@guarded("__h1", "__h2", "rep", "id", "n", "x", "a", "b", "node", "component", "links", "least")
 def embedding_links(rows, threshold: float = 0.95, recall: float = 0.999, k: int | None = None):
     """Rows with n_links, component_id and kept, by cosine >= threshold between embeddings.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
     vectors of different lengths link with each other. Equal vectors (repeated rows too) are one class
     and link with each other. n_links counts other rows linked directly; component_id is the smallest
-    vec_id reachable; kept where it is the row's own. A null vec_id never becomes a component_id; a
+    vec_id reachable; kept where it is the row's own. Rows that share a vec_id but not the vector are rows of their
+    own, each with its links and component. A null vec_id never becomes a component_id; a
     class without any id links inside itself only. k (cells of each half) defaults to about 256 classes
     a cell, at most CELLS of a half. Two vectors meet if either visits the other's cell. Input columns named like a result are
     replaced.
@@ -204,14 +205,16 @@ def embedding_links(rows, threshold: float = 0.95, recall: float = 0.999, k: int
     fine = F.coalesce((F.size("embedding") > 0) & ~F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists(v, lambda e: e != 0), F.lit(False))
     keyed = rows.select("*", F.when(fine, F.xxhash64("embedding")).alias("__h1"), F.when(fine, F.xxhash64(F.lit(1), "embedding")).alias("__h2"))
     classes = materialize(
-        keyed.where("__h1 is not null").groupBy("__h1", "__h2").agg(F.min(F.col("vec_id").cast("long")).alias("rep"), F.count("*").alias("n"), F.first(F.col("embedding").cast("array<float>") if rows.schema["embedding"].dataType.elementType == T.FloatType() else v).alias("x"))
+        keyed.where("__h1 is not null").groupBy("__h1", "__h2").agg(F.min(F.col("vec_id").cast("long")).alias("id"), F.count("*").alias("n"), F.first(F.col("embedding").cast("array<float>") if rows.schema["embedding"].dataType.elementType == T.FloatType() else v).alias("x"))
+        .withColumn("rep", F.monotonically_increasing_id())  # a number of the class, fixed by writing it; one vec_id may have several classes
     )
-    usable = classes.where("rep is not null").select("rep", "n", "x")
+    usable = classes.where("id is not null").select("rep", "n", "x", "__h1", "__h2")
     path, shape = scratch(spark), "kind int, a long, b long"
     spark.createDataFrame([], shape).write.parquet(path)
     for d, n in sorted(usable.groupBy(F.size("x").alias("d")).count().collect()):  # a grid for each length
         own = usable.where(F.size("x") == d)
-        some = own.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("x").toPandas().x
+        some = own.orderBy("__h1", "__h2").limit(SAMPLE).select("x").toPandas().x
+        own = own.drop("__h1", "__h2")
         size = k or min(CELLS, max(2, math.isqrt(n // 256)))
         grid = Grid(unit(np.stack(some.to_numpy()).astype(np.float64)), size, threshold, recall)
         book = spark.sparkContext.broadcast(grid)
@@ -225,8 +228,11 @@ def embedding_links(rows, threshold: float = 0.95, recall: float = 0.999, k: int
     found = spark.read.schema(shape).parquet(path)
     links = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("links"))
     group = components(found.where("kind = 1").select("a", "b"))
-    known = classes.select("__h1", "__h2", "rep", "n").join(links, F.col("rep") == F.col("a"), "left").join(group, F.col("rep") == F.col("node"), "left")
-    known = known.select("__h1", "__h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    joined = classes.select("rep", "id").join(group, F.col("rep") == F.col("node"))
+    least = joined.groupBy("component").agg(F.min("id").alias("least"))
+    group = group.join(least, "component").select("node", "least")
+    known = classes.select("__h1", "__h2", "rep", "id", "n").join(links, F.col("rep") == F.col("a"), "left").join(group, F.col("rep") == F.col("node"), "left")
+    known = known.select("__h1", "__h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "id").alias("component_id"))
     out = keyed.join(known, ["__h1", "__h2"], "left").drop("__h1", "__h2")
     out = out.withColumns({"n_links": F.coalesce("n_links", F.lit(0)).cast("long"), "component_id": F.coalesce("component_id", F.col("vec_id").cast("long"))})
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

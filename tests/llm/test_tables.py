@@ -65,6 +65,22 @@ def test_grid_recall(spark):
     assert (found <= near.sum(1)).all() and found.sum() >= 0.98 * near.sum()
 
 
+def test_one_id_with_several_vectors(spark):
+    """Each row has the links of its own vector; an empty table gives an empty one."""
+    from modcall.llm.embedding_dedup import embedding_links
+
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a), (1, b), (2, [1.0, 0.1, 0.0]), (3, [1.0, 0.0, 0.1]), (4, [0.1, 1.0, 0.0]), (0, [0.0, 0.0, 1.0]), (0, [0.0, 0.05, 1.0]), (None, a)]
+    got = sorted((r.vec_id or -1, r.embedding, r.n_links, r.component_id, r.kept) for r in embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    want = {(1, tuple(a)): (3, 1, True), (1, tuple(b)): (1, 1, True), (2, (1.0, 0.1, 0.0)): (3, 1, False), (3, (1.0, 0.0, 0.1)): (3, 1, False), (4, (0.1, 1.0, 0.0)): (1, 1, False)}
+    for i, v, *rest in got:
+        if i > 0:
+            assert tuple(rest) == want[i, tuple(v)], (i, v)
+    zero = [r for r in embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("vec_id = 0").collect()]
+    assert [(r.n_links, r.component_id, r.kept) for r in zero] == [(1, 0, True)] * 2
+    assert embedding_links(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
 def test_lengths_and_large_cells(spark):
     """Vectors of many lengths, and one cell with more members than a piece holds."""
     from modcall.llm import embedding_dedup

@@ -12,8 +12,14 @@ def read_tags(calls: DataFrame, read: str = "read_id") -> DataFrame:
     Null and NaN calls are left out. One call per position is expected.
     """
     ok = calls.where(F.col("prob").isNotNull() & ~F.isnan("prob"))
-    sorted_ = F.array_sort(F.collect_list(F.struct("read_pos", "prob")))
-    tags = ok.groupBy(read).agg(sorted_.alias("calls"))
+    return tags_of(ok.groupBy(read).agg(F.collect_list(F.struct("read_pos", "prob")).alias("calls")), read)
+
+
+def tags_of(reads: DataFrame, read: str = "read_id") -> DataFrame:
+    """The tags of reads whose calls are gathered in an array of (read_pos, prob), in any order; null and NaN calls
+    are left out, and reads without another one."""
+    fine = F.filter("calls", lambda c: c["prob"].isNotNull() & ~F.isnan(c["prob"]))
+    tags = reads.select(read, F.array_sort(fine).alias("calls")).where(F.size("calls") > 0)
     return tags.select(read, F.col("calls.read_pos").alias("positions"), mm_text(F.col("calls.read_pos")).alias("mm"), F.transform("calls", lambda c: F.floor(c["prob"] * 255).cast("int")).alias("ml"))
 
 

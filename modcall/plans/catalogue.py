@@ -562,8 +562,8 @@ def _stream(spark, sf_dir):
 
     folder = shared_folder(spark)
     calls = read_calls(spark, sf_dir).select("pos", "prob")
-    calls.write.parquet(f"{folder}/chunks")
-    return chunks.drain(chunks.site_counts(chunks.chunk_stream(spark, f"{folder}/chunks", calls.schema, 2), ["pos"]), f"{folder}/run")
+    calls.repartition(7).write.parquet(f"{folder}/chunks")  # several chunks, so that batches and merges take place
+    return chunks.drain_sites(chunks.chunk_stream(spark, f"{folder}/chunks", calls.schema, 2), f"{folder}/run", ["pos"], 3)
 
 
 @query(COUNTS)
@@ -582,4 +582,4 @@ def stream_vs_batch_site(spark, sf_dir):
     return batch.join(stream, "pos", "full").select("pos", same.alias("equal"))
 
 
-from . import coverage  # noqa: E402, F401  further queries register themselves
+from . import coverage, streams  # noqa: E402, F401  further queries register themselves

@@ -21,3 +21,23 @@ def materialize(df):
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def children(spark, path: str) -> list[str]:
+    """Names of what a folder holds, sorted; none if it is absent. Any file system that Spark can write will do."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def remove(spark, path: str) -> None:
+    """Delete a folder with all that it holds."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def written(spark, path: str, name: str) -> list[int]:
+    """The numbers n of the folders `name`=n below path whose writer has committed."""
+    numbers = [int(x.partition("=")[2]) for x in children(spark, path) if x.startswith(f"{name}=")]
+    return sorted(n for n in numbers if "_SUCCESS" in children(spark, f"{path}/{name}={n}"))

@@ -60,17 +60,20 @@ def tagged_lines(alignments: DataFrame, tags: DataFrame, fields: list[str], read
     return alignments.join(tags, read).select(read, sam_line([F.col(c).cast("string") for c in fields], F.col("mm"), F.col("ml")).alias("line"))
 
 
-def write_sam(lines: DataFrame, header: list[str], path: str) -> None:
-    """SAM text with the header's lines in front of every part, so that each is a whole file."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        first = True
-        for batch in batches:
-            if first and batch.num_rows:
-                yield pa.record_batch([pa.array(header, pa.string())], names=["value"])
-                first = False
-            yield pa.record_batch([batch.column(0)], names=["value"])
-
-    lines.select("line").mapInArrow(run, "value string").write.text(path)
+def rewrite_sam(lines: DataFrame, tags: DataFrame, read: str = "read_id") -> DataFrame:
+    """SAM lines (value, file, block, row) of the reads that have tags, with these instead of MM and ML tags that were
+    there, and all other fields as they were; before them the header of the first file."""
+    place = ["file", "block", "row"]
+    body = lines.where(~F.col("value").startswith("@")).select(F.split("value", "\t").alias("c"), *place)
+    known = body.join(tags.select(F.col(read).cast("string").alias("__read"), "mm", "ml"), F.col("c")[0] == F.col("__read"))
+    others = F.filter(F.expr("slice(c, 12, greatest(size(c) - 11, 0))"), lambda t: ~F.substring(t, 1, 3).isin("MM:", "ML:"))
+    made = known.select(F.concat_ws("\t", F.slice("c", 1, 11), others, F.concat(F.lit("MM:Z:"), "mm"), F.concat(F.lit("ML:B:C,"), F.array_join(F.col("ml").cast("array<string>"), ","))).alias("value"), *place)
+    head = lines.where(F.col("value").startswith("@"))
+    first = head.agg(F.min("file").alias("file"))
+    return head.join(F.broadcast(first), "file", "left_semi").select("value", *place).unionByName(made)
+
+
+def write_in_order(lines: DataFrame, path: str) -> None:
+    """Lines as text files whose names, one after another, keep the lines' order: one file for a range of places."""
+    place = ["file", "block", "row"]
+    lines.repartitionByRange(*place).sortWithinPartitions(*place).select("value").write.text(path)

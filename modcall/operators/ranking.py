@@ -25,6 +25,11 @@ def running(df: DataFrame, by: str, sums: dict, ties: list | None = None) -> Dat
     return out.drop(*[f"__{x}_{k}" for x in "vo" for k in sums])
 
 
+def placed(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with place: the number of each row, from 1, in the order of columns that together are unique."""
+    return running(df, order[0], {"place": F.lit(1)}, order[1:]).drop("__bucket")
+
+
 def step_up(df: DataFrame, p: str, out: str, ties: list) -> DataFrame:
     """Benjamini-Hochberg step-up of column p over all rows where it is not null."""
     ranked = running(df, p, {"__rank": F.lit(1)}, ties)

@@ -582,4 +582,4 @@ def stream_vs_batch_site(spark, sf_dir):
     return batch.join(stream, "pos", "full").select("pos", same.alias("equal"))
 
 
-from . import coverage, streams  # noqa: E402, F401  further queries register themselves
+from . import coverage, formats, streams  # noqa: E402, F401  further queries register themselves

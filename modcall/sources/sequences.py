@@ -9,25 +9,47 @@ from ..functions.sequence import cigar_ops
 DROPPED_FLAGS = 4 | 16 | 256 | 2048
 
 
-def sam(spark: SparkSession, path) -> DataFrame:
-    """Alignments of SAM text with quality numbers, CIGAR runs and the tags si, ss, sc, sh (null if absent)."""
-    cols = spark.read.text(path).where(~F.col("value").startswith("@")).select(F.split("value", "\t").alias("c")).where(F.size("c") >= 11)
+def sam_fields(lines: DataFrame) -> DataFrame:
+    """The fields of SAM text lines (value): those of modcall.sources.bam.SCHEMA; positions count from 0."""
+    c = lines.where(~F.col("value").startswith("@")).select(F.split("value", "\t").alias("c")).where(F.size("c") >= 11)
+    at = [F.col("c")[i] for i in range(11)]
+    return c.select(
+        at[0].alias("read_id"), at[1].cast("int").alias("flag"), at[2].alias("contig"), (at[3].cast("int") - 1).alias("pos"), at[4].cast("int").alias("mapq"), at[5].alias("cigar"),
+        at[6].alias("next_contig"), (at[7].cast("int") - 1).alias("next_pos"), at[8].cast("int").alias("template"), at[9].alias("seq"), at[10].alias("qual"),
+        F.expr("slice(c, 12, greatest(size(c) - 11, 0))").alias("tags"),
+    )
 
-    def tag(name):
-        return F.regexp_extract(F.element_at(F.filter("tags", lambda t: t.startswith(f"{name}:")), 1), r"^..:.:(.*)$", 1)
 
-    rows = cols.select(
-        F.col("c")[0].alias("read_id"), F.col("c")[1].cast("int").alias("flag"), F.col("c")[2].alias("contig"), (F.col("c")[3].cast("int") - 1).alias("pos"),
-        cigar_ops(F.col("c")[5]).alias("cigar"), F.col("c")[9].alias("seq"), F.transform(F.split(F.col("c")[10], ""), lambda q: F.ascii(q) - 33).alias("qual"), F.slice("c", 12, 1000).alias("tags"),
-    )
-    def has(name):
-        return F.exists("tags", lambda t: t.startswith(f"{name}:"))
+def alignments(fields: DataFrame) -> DataFrame:
+    """Alignments with quality numbers (null where there are none), CIGAR runs and the tags si, ss, sc, sh (null if
+    absent), from the fields of text or compressed files."""
 
-    found = {n: F.when(has(n), tag(n)) for n in ("si", "ss", "sc", "sh")}
-    rows = rows.withColumns(found).drop("tags")
+    def tag(name):
+        found = F.filter("tags", lambda t: t.startswith(f"{name}:"))
+        return F.regexp_extract(F.get(found, F.lit(0)), r"^..:.:(.*)$", 1)
+
+    qual = F.when(F.col("qual") != "*", F.transform(F.split("qual", ""), lambda q: F.ascii(q) - 33))
+    rows = fields.select("read_id", "flag", "contig", "pos", cigar_ops(F.col("cigar")).alias("cigar"), "seq", qual.alias("qual"), *[tag(n).alias(n) for n in ("si", "ss", "sc", "sh")])
     return rows.withColumns({"sc": F.col("sc").cast("float"), "sh": F.col("sh").cast("float")})
 
 
+def sam(spark: SparkSession, path) -> DataFrame:
+    """Alignments of SAM text: see alignments()."""
+    return alignments(sam_fields(spark.read.text(path)))
+
+
+def bam(spark: SparkSession, path: str) -> DataFrame:
+    """Alignments of compressed files: see alignments()."""
+    from .bam import read_bam
+
+    return alignments(read_bam(spark, path))
+
+
+def ordered_lines(spark: SparkSession, path) -> DataFrame:
+    """Lines of text (value) with columns whose order is that of the files: file, block and row."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
 def usable(alignments: DataFrame) -> DataFrame:
     """Forward primary alignments with all four signal tags."""
     return alignments.where((F.col("flag").bitwiseAND(DROPPED_FLAGS) == 0) & F.col("si").isNotNull() & F.col("ss").isNotNull() & F.col("sc").isNotNull() & F.col("sh").isNotNull())

@@ -128,7 +128,7 @@ def test_tables(spark, tmp_path):
 
 def test_read_level(spark, tmp_path):
     """A read of twelve events on a contig of twenty bases: windows, qualities and currents by hand."""
-    from modcall.operators import modtags, readlevel
+    from modcall.operators import readlevel
     from modcall.sources import sequences
 
     seq = "ACGTTGCAACGTAGCTAGGA"
@@ -147,9 +147,6 @@ def test_read_level(spark, tmp_path):
     assert one.tag == "20_A" and len(one.features) == 180 and all(len(x) == 7 for x in one.features)
     assert one.features[0][0] == events[4][0] and one.features[0][1] == 4.0 - events[4][0] and one.features[0][5] == 3 and one.features[0][6] == 20
     assert readlevel.reference_ninemers(spark.createDataFrame([("c1", 11), ("c1", 12), ("c1", -1)], "contig string, start int"), sequences.fasta(spark, str(tmp_path / "a.fa"))).count() == 1
-    lines = modtags.tagged_lines(spark.createDataFrame([("r1", "r1", 0)], "read_id string, name string, flag int"), modtags.read_tags(spark.createDataFrame([("r1", 4, 0.5), ("r2", 1, 0.5)], "read_id string, read_pos int, prob double")), ["name", "flag"])
-    modtags.write_sam(lines, ["@HD\tVN:1.6"], str(tmp_path / "mod"))
-    assert [r.value for r in spark.read.text(str(tmp_path / "mod")).collect()] == ["@HD\tVN:1.6", "r1\t0\tMM:Z:N+N,4;\tML:B:C,127"]
 
 
 def test_first_by_hash(spark):

@@ -6,6 +6,7 @@ ascending order, each to all of its positions at once, and the lists of the pair
 extended. Pre-tokens seen before come from a bounded cache.
 """
 
+import functools
 import heapq
 import json
 import unicodedata
@@ -197,6 +198,36 @@ def classes(points):
     return _class[0][points]
 
 
+_word_class: list = []
+
+
+def word_classes(points):
+    """The same for a pattern that the tokenizers library splits by. Its tables are of another Unicode version, so code
+    points that Python does not know, but classes() takes for letters or numbers, are put to it."""
+    if not _word_class:
+        from tokenizers import Regex, pre_tokenizers
+
+        table = classes(np.arange(0x110000)).copy()
+        asked = [c for c in np.flatnonzero((table == LETTER) | (table == NUMBER)).tolist() if unicodedata.category(chr(c)) == "Cn"]
+        split = pre_tokenizers.Split(Regex(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), "removed", invert=True)
+        begins = {begin for _, (begin, _) in split.pre_tokenize_str(" ".join(f"a{chr(c)}{chr(c)}a" for c in asked))}
+        for i, c in enumerate(asked):
+            table[c] = LETTER if 5 * i + 1 not in begins else NUMBER if 5 * i + 2 in begins else OTHER
+        _word_class.append(table)
+    return _word_class[0][points]
+
+
+@functools.cache
+def newer_lower():
+    """A pattern of the capitals that the tokenizers library knows and Python does not, and what becomes of them."""
+    from tokenizers import normalizers
+
+    small = normalizers.Lowercase()
+    letters = [chr(c) for c in np.flatnonzero(classes(np.arange(0x110000)) == LETTER).tolist() if unicodedata.category(chr(c)) == "Cn"]
+    found = {c: low for c in letters if (low := small.normalize_str(c)) != c}
+    return regex.compile(f"[{''.join(found)}]" if found else r"(?!)"), str.maketrans(found)
+
+
 _CODE = np.random.default_rng(21).integers(0, 1 << 64, 256, np.uint64)
 _STEP = 0x9E3779B97F4A7C15 | 3
 _tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -221,7 +252,7 @@ def span_hashes(flat, start, end):
     return np.maximum(h, np.uint64(1))
 
 
-def contractions(cp, begin, at):
+def contractions(cp, begin, at, classes=classes):
     """Where at (places of apostrophes that start a pre-token) one of 's 't 'm 'd 're 've 'll stands, the
     pre-token ends behind it: begin is set so in place."""
     one, two = cp[at + 1], cp[np.minimum(at + 2, len(cp) - 1)]
@@ -358,15 +389,17 @@ class WordEncoder(Pretokenizer):
     @staticmethod
     def normal(text: str) -> str:
         text = text if text.isascii() or unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+        if not text.isascii() and (newer := newer_lower())[0].search(text):
+            text = text.translate(newer[1])
         return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
     @staticmethod
     def spans(cp, stops):
         """Places where pre-tokens begin and end; stops: those of the line feeds behind the segments."""
-        kind = classes(cp)
+        kind = word_classes(cp)
         before = np.append(np.uint8(SPACES), kind[:-1])
         begin = (kind != SPACES) & ((kind != before) | (kind == NUMBER))
-        contractions(cp, begin, np.flatnonzero((cp == ord("'")) & (before != OTHER)))
+        contractions(cp, begin, np.flatnonzero((cp == ord("'")) & (before != OTHER)), word_classes)
         edge = np.flatnonzero(begin | (kind == SPACES) & (before != SPACES))
         real = np.flatnonzero(begin[edge])
         return edge[real], edge[real + 1]

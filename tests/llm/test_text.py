@@ -218,6 +218,22 @@ def test_long_texts():
             assert enc.encode(texts)[0].tolist() == [i for x in want for i in x]
 
 
+def test_every_code_point():
+    """Letters, numbers and others as the library's own tables have them, unassigned code points too."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from modcall.llm.bpe import WordEncoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [f"a{chr(c)}{chr(c)}b {chr(c)}1'{chr(c)}'s" for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF and (c < 0x32000 or c % 97 == 0)]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    ids, size = WordEncoder(path).encode(texts)
+    ends = np.cumsum(size)
+    assert [ids[b - n : b].tolist() for b, n in zip(ends.tolist(), size.tolist(), strict=True)] == want
+
+
 def test_special_case():
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -43,28 +43,38 @@ def step_up(df: DataFrame, p: str, out: str, ties: list) -> DataFrame:
     return ranked.drop("__bucket", "__rank", "__m", "__raw", "__later")
 
 
-def first_by_hash(rows: DataFrame, groups: DataFrame, keys: list[str], text: Column, ties: list, need: str, total: str) -> DataFrame:
-    """The rows of each group that come first by the md5 of `text`, then `ties`: as many as column `need` says.
+def first_by_hash(rows: DataFrame, groups: DataFrame, keys: list[str], prefix: Column, parts: list[Column], ties: list, need: str, total: str) -> DataFrame:
+    """The rows of each group that come first by the md5 of `prefix` and `parts` joined by colons, then `ties`: as many
+    as column `need` says.
 
-    groups: the keys with `need` and the group's number of rows, `total`. Hashes are uniform, so only rows under
-    a share of six standard deviations above need / total are sorted; groups where that share holds fewer rows
-    than it should are sorted whole. text and ties may use the columns of both sides.
+    groups: the keys with `need` and the group's number of rows, `total`. Keys that rows lack number the draws of one
+    row: prefix may use them, parts are the row's own and are joined once a row. A row meets the draws of its group as
+    one list, and only hashes under a share of six standard deviations above need / total go on to be sorted, so that
+    of a group of any size about `need` rows a draw move; draws where that share holds fewer rows than it should are
+    sorted whole.
     """
+    on = [c for c in keys if c in rows.columns]
+    draws = [c for c in groups.columns if c not in on]
+    share = (F.col(need) + 6 * F.sqrt(need) + 12) / F.col(total)
+    bound = F.when(share >= 1, "g").otherwise(F.lpad(F.lower(F.hex(F.floor(share * 4294967296).cast("long"))), 8, "0"))
+    own = F.when(F.coalesce(*[p.cast("string") for p in parts]).isNotNull(), F.concat_ws(":", *parts))
+
+    def hashed(some, wanted):
+        lists = wanted.groupBy(*on).agg(F.collect_list(F.struct(*draws, bound.alias("__bound"))).alias("__draws"))
+        # merged, so that rows spread over tasks by their group, and Spark splits a large one
+        met = some.withColumn("__own", own).hint("merge").join(lists, on).withColumn("__draw", F.explode("__draws"))
+        met = met.select(*rows.columns, "__own", *[F.col(f"__draw.{c}").alias(c) for c in (*draws, "__bound")])
+        return met.withColumn("__md5", F.md5(F.concat_ws(":", prefix, "__own"))).drop("__own")
 
     def ranked(some):
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__md5", *ties))
         return some.withColumn("__rank", rank).where(F.col("__rank") <= F.col(need)).drop("__rank", "__md5")
 
-    share = (F.col(need) + 6 * F.sqrt(need) + 12) / F.col(total)
-    bound = F.when(share >= 1, "g").otherwise(F.lpad(F.lower(F.hex(F.floor(share * 4294967296).cast("long"))), 8, "0"))
-    on = [c for c in keys if c in rows.columns]
-    joined = rows.join(groups.withColumn("__bound", bound), on).withColumn("__md5", F.md5(text))
-    near = materialize(joined.where(F.col("__md5") < F.col("__bound")).drop("__bound"))
+    near = materialize(hashed(rows, groups).where(F.col("__md5") < F.col("__bound")).drop("__bound"))
     held = near.groupBy(*keys).agg(F.count("*").alias("__held"))
     short = groups.join(held, keys, "left").where(F.coalesce("__held", F.lit(0)) < F.least(need, total)).drop("__held")
     short = materialize(short)
     if short.first() is None:
         return ranked(near)
     fine = near.join(short.select(*keys), keys, "left_anti")
-    whole = rows.join(short, on).withColumn("__md5", F.md5(text))
-    return ranked(fine.unionByName(whole.select(*fine.columns)))
+    return ranked(fine.unionByName(hashed(rows, short).select(*fine.columns)))

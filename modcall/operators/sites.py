@@ -70,8 +70,7 @@ def draws(calls: DataFrame, deep: DataFrame, keys: list[str], order: list[Column
     """n_draws samples of `size` reads of each listed site without replacement, by the order of a hash of draw
     and read. deep: the sites with their coverage. Rows: the reads, with their draw."""
     groups = deep.withColumns({"draw": F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))), "__need": F.lit(size)})
-    text = F.concat_ws(":", F.col("draw").cast("string"), *order)
-    return first_by_hash(calls, groups, [*keys, "draw"], text, order, "__need", "coverage").drop("__need", "coverage")
+    return first_by_hash(calls, groups, [*keys, "draw"], F.col("draw").cast("string"), order, order, "__need", "coverage").drop("__need", "coverage")
 
 
 def linear_scorer(features: np.ndarray) -> np.ndarray:
@@ -98,6 +97,8 @@ def site_probabilities(calls: DataFrame, keys: list[str], order: list[Column], s
     deep sites with enough stoichiometry."""
     sites = coverage_stoichiometry(calls, keys, min_reads=min_reads).withColumn("__deep", (F.col("coverage") > DEEP) & (F.col("stoichiometry") > DEEP_STOICHIOMETRY))
     sites = materialize(sites)
+    calls = calls.select(*keys, "prob", *[o.alias(f"__o{i}") for i, o in enumerate(order)])
+    order = [F.col(f"__o{i}") for i in range(len(order))]
     shallow = calls.join(sites.where(~F.col("__deep")).select(*keys), keys, "left_semi").withColumn("draw", F.lit(0))
     deep = sites.where("__deep").select(*keys, "coverage")
     reads = shallow.unionByName(draws(calls, deep, keys, order).select(*shallow.columns))

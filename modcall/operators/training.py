@@ -53,8 +53,8 @@ def mixtures(modified: DataFrame, unmodified: DataFrame, kind: str, rounds: int)
     parts = []
     for origin, rows, need in (("mod", modified, F.col("n_mod")), ("unmod", unmodified, F.col("n") - F.col("n_mod") - F.col("n_mid"))):
         groups = plan.withColumn("__need", need.cast("int")).join(rows.groupBy("kmer").agg(F.count("*").alias("__all")), "kmer").select("kmer", "round", "__need", "__all")
-        text = F.concat_ws(":", F.lit(kind + origin), F.col("round").cast("string"), F.col("id"))
-        drawn = first_by_hash(rows, groups, ["kmer", "round"], text, ["id"], "__need", "__all")
+        prefix = F.concat_ws(":", F.lit(kind + origin), F.col("round").cast("string"))
+        drawn = first_by_hash(rows, groups, ["kmer", "round"], prefix, [F.col("id")], ["id"], "__need", "__all")
         parts.append(drawn.select("kmer", "round", "prob", F.lit(origin).alias("origin")))
     mid = plan.where("n_mid > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n_mid"))))
     value = 0.2 + 0.6 * hashed(1000000, F.lit("mid"), F.col("kmer"), F.col("round"), F.col("i")) / 1000000

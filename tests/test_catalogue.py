@@ -157,6 +157,6 @@ def test_first_by_hash(spark):
 
     rows = [(g, f"{g}-{i}") for g, n in ((1, 4000), (2, 30), (3, 1)) for i in range(n)]
     groups = [(1, 100, 4000), (2, 50, 30), (3, 0, 1)]
-    got = first_by_hash(spark.createDataFrame(rows, "g int, id string"), spark.createDataFrame(groups, "g int, need int, size int"), ["g"], F.col("id"), ["id"], "need", "size").collect()
+    got = first_by_hash(spark.createDataFrame(rows, "g int, id string"), spark.createDataFrame(groups, "g int, need int, size int"), ["g"], F.lit(None).cast("string"), [F.col("id")], ["id"], "need", "size").collect()
     want = [x for g, need, _ in groups for x in sorted((hashlib.md5(i.encode()).hexdigest(), i) for h, i in rows if h == g)[:need]]
     assert sorted(r.id for r in got) == sorted(i for _, i in want)

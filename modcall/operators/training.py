@@ -1,8 +1,11 @@
 """Training-data operators: splits, assembly and simulated mixtures; all draws come from hashes."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
 from .events import take
 from .ranking import first_by_hash, running
 
@@ -30,49 +33,69 @@ def assemble(positive: DataFrame, negative: DataFrame) -> DataFrame:
     return positive.withColumn("label", F.lit(1)).unionByName(negative.withColumn("label", F.lit(0)))
 
 
+#: Plans that are tried for a set of reads before drawing gives up.
+TRIALS = 50
+
+
 def _plans(kmers: DataFrame, rounds: int, kind: str) -> DataFrame:
-    """A row per k-mer and round: how many reads to draw, modified and in between."""
-    plan = kmers.select("kmer").distinct().withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    draw = [hashed(n, F.lit(kind + what), F.col("kmer"), F.col("round")) for what, n in (("n", 990), ("s", 90), ("v", 8))]
-    plan = plan.withColumns({"n": draw[0] + 10, "s": draw[1] + 10, "v": draw[2]})
-    if kind == "ko":
-        return plan.withColumns({"n_mod": F.floor(F.col("s") * F.col("n") / 100).cast("int"), "n_mid": F.lit(0)})
-    k = F.floor(F.col("v") * F.col("n") / (200 if kind == "wt_added" else 100)).cast("int")
-    return plan.withColumns({"n_mod": k, "n_mid": k if kind == "wt_added" else F.lit(0)})
-
-
-def mixtures(modified: DataFrame, unmodified: DataFrame, kind: str, rounds: int) -> DataFrame:
-    """Simulated read sets (kmer, round, prob, origin) of k-mers that both sides hold.
-
-    kind ko: a share s of 10 to 99 per cent of n reads is modified; wt_simple: a noise of 0 to 7 per cent;
-    wt_added: half of the noise modified and half uniform between 0.2 and 0.8. Reads are drawn without
-    replacement by the order of a hash; a k-mer with too few reads gives all that it has.
+    """A row per k-mer and round with the first plan of TRIALS that its reads (have_mod, have_unmod) suffice for, null
+    if none does: how many reads to draw, modified and in between."""
+    plan = kmers.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+
+    def drawn(trial):
+        again = F.when(trial > 0, trial)  # the first trial has no number in its hashes
+        n, s, v = (hashed(most, F.lit(kind + what), F.col("kmer"), F.col("round"), again) + least for what, most, least in (("n", 990, 10), ("s", 90, 10), ("v", 8, 0)))
+        mod = s * n / 100 if kind == "ko" else v * n / (200 if kind == "wt_added" else 100)
+        mod = F.floor(mod).cast("int")
+        return F.struct(n.alias("n"), mod.alias("n_mod"), (mod if kind == "wt_added" else F.lit(0)).alias("n_mid"))
+
+    def enough(d):
+        return (d["n_mod"] <= F.col("have_mod")) & (d["n"] - d["n_mod"] - d["n_mid"] <= F.col("have_unmod"))
+
+    plan = plan.withColumn("first", drawn(F.lit(0)))
+    others = F.filter(F.transform(F.sequence(F.lit(1), F.lit(TRIALS - 1)), drawn), enough)
+    return plan.withColumn("plan", F.when(enough(F.col("first")), F.col("first")).otherwise(F.get(others, F.lit(0)))).select("kmer", "round", "have_mod", "have_unmod", "plan.*")
+
+
+def mixtures(modified: DataFrame, unmodified: DataFrame, kind: str, rounds: int, centre: str = "A") -> DataFrame:
+    """Simulated read sets (kmer, round, prob, base, origin) of k-mers that both sides (kmer, id, prob, base) hold.
+
+    kind ko: a share s of 10 to 99 per cent of n reads, 10 to 999, is modified; wt_simple: a noise of 0 to 7 per cent;
+    wt_added: half of the noise modified and half uniform between 0.2 and 0.8 with any base. Reads are drawn without
+    replacement by the order of a hash. Where a k-mer has too few reads on a side, n and the shares are drawn anew, and
+    after TRIALS in vain a synthetic set stands in, with `centre` as base.
     """
-    both = modified.select("kmer").intersect(unmodified.select("kmer"))
-    plan = _plans(both, rounds, kind)
+    both = modified.groupBy("kmer").agg(F.count("*").alias("have_mod")).join(unmodified.groupBy("kmer").agg(F.count("*").alias("have_unmod")), "kmer")
+    plan = materialize(_plans(both, rounds, kind))
     parts = []
     for origin, rows, need in (("mod", modified, F.col("n_mod")), ("unmod", unmodified, F.col("n") - F.col("n_mod") - F.col("n_mid"))):
-        groups = plan.withColumn("__need", need.cast("int")).join(rows.groupBy("kmer").agg(F.count("*").alias("__all")), "kmer").select("kmer", "round", "__need", "__all")
+        groups = plan.where("n is not null").select("kmer", "round", need.cast("int").alias("__need"), F.col(f"have_{origin}").alias("__all"))
         prefix = F.concat_ws(":", F.lit(kind + origin), F.col("round").cast("string"))
         drawn = first_by_hash(rows, groups, ["kmer", "round"], prefix, [F.col("id")], ["id"], "__need", "__all")
-        parts.append(drawn.select("kmer", "round", "prob", F.lit(origin).alias("origin")))
+        parts.append(drawn.select("kmer", "round", "prob", "base", F.lit(origin).alias("origin")))
     mid = plan.where("n_mid > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n_mid"))))
     value = 0.2 + 0.6 * hashed(1000000, F.lit("mid"), F.col("kmer"), F.col("round"), F.col("i")) / 1000000
-    parts.append(mid.select("kmer", "round", value.cast("double").alias("prob"), F.lit("mid").alias("origin")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
-#: Values of a set that stands in where drawing gives up: how many are low and how many in the middle.
-FALLBACK = {"ko": (50, 50), "wt_added": (92, 8), "wt_simple": (92, 8)}
-
-
-def fallback(kmers: DataFrame, kind: str) -> DataFrame:
-    """A synthetic set of 100 values for each k-mer that cannot be drawn: the first ones below 0.2, the others
-    between 0.2 and 0.8, by hashes of k-mer and place."""
-    low, mid = FALLBACK[kind]
-    rows = kmers.select("kmer").distinct().withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(low + mid))))
-    u = hashed(1000000, F.lit("fallback"), F.col("kmer"), F.col("i")) / 1000000
-    return rows.withColumns({"prob": F.when(F.col("i") <= low, 0.2 * u).otherwise(0.2 + 0.6 * u), "origin": F.when(F.col("i") <= low, "low").otherwise("mid")})
+    base = F.substr(F.lit("ACGT"), hashed(4, F.lit("base"), F.col("kmer"), F.col("round"), F.col("i")) + 1, F.lit(1))
+    parts.append(mid.select("kmer", "round", value.cast("double").alias("prob"), base.alias("base"), F.lit("mid").alias("origin")))
+    given_up = fallback(plan.where("n is null"), kind, ["kmer", "round"])
+    parts.append(given_up.select("kmer", "round", "prob", F.lit(centre).alias("base"), F.lit("fallback").alias("origin")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: A set that stands in where drawing gives up: how many values are low and how many others, and from where to where
+#: each lie.
+FALLBACK = {"ko": (50, 50, (0.0, 0.1), (0.5, 1.0)), "wt_added": (92, 8, (0.0, 0.1), (0.2, 0.8)), "wt_simple": (92, 8, (0.0, 0.1), (0.2, 0.8))}
+
+
+def fallback(kmers: DataFrame, kind: str, keys: list[str] | None = None) -> DataFrame:
+    """A synthetic set of 100 values for each k-mer (and other keys) that cannot be drawn, by hashes of keys and
+    place."""
+    keys = keys or ["kmer"]
+    low, others, *spans = FALLBACK[kind]
+    rows = kmers.select(*keys).distinct().withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(low + others))))
+    u = hashed(1000000, F.lit("fallback"), *[F.col(k) for k in keys], F.col("i")) / 1000000
+    first, second = (a + (b - a) * u for a, b in spans)
+    return rows.withColumns({"prob": F.when(F.col("i") <= low, first).otherwise(second), "origin": F.when(F.col("i") <= low, "low").otherwise("mid")})
 
 
 def shuffled(rows: DataFrame, key: str, seed: int = 1) -> DataFrame:

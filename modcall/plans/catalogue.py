@@ -477,21 +477,27 @@ def _hash_sql(n, *parts):
 def _mixture_sql(kind: str) -> str:
     k = "floor(v * n / 200)" if kind == "wt_added" else "floor(v * n / 100)"
     mod, mid = ("floor(s * n / 100)", "0") if kind == "ko" else (k, k if kind == "wt_added" else "0")
-    pick = """SELECT kmer, round, '{o}' AS origin, prob FROM (SELECT s.kmer, p.round, s.prob, row_number() OVER (PARTITION BY s.kmer, p.round ORDER BY md5(concat_ws(':', '{k}{o}', p.round, s.id)), s.id) AS r, {need} AS need
+    low, a, b = (50, 0.5, 0.5) if kind == "ko" else (92, 0.2, 0.6)
+    again = "CASE WHEN t > 0 THEN t END"
+    pick = """SELECT kmer, round, '{o}' AS origin, prob, base FROM (SELECT s.kmer, p.round, s.prob, s.base, row_number() OVER (PARTITION BY s.kmer, p.round ORDER BY md5(concat_ws(':', '{k}{o}', p.round, s.id)), s.id) AS r, {need} AS need
   FROM src s JOIN p USING (kmer) WHERE s.side = '{o}') WHERE r <= need"""
-    return f"""WITH {RC}, src AS (SELECT contig AS kmer, concat_ws('-', read_id, read_pos, l_partkey, l_suppkey) AS id, prob, CASE WHEN prob > 0.6 THEN 'mod' ELSE 'unmod' END AS side FROM rc WHERE prob > 0.6 OR prob < 0.4),
-km AS (SELECT kmer FROM src WHERE side = 'mod' INTERSECT SELECT kmer FROM src WHERE side = 'unmod'),
-raw AS (SELECT kmer, range AS round, {_hash_sql(990, f"'{kind}n'", "kmer", "range")} + 10 AS n, {_hash_sql(90, f"'{kind}s'", "kmer", "range")} + 10 AS s, {_hash_sql(8, f"'{kind}v'", "kmer", "range")} AS v FROM km CROSS JOIN range(2)),
-p AS (SELECT kmer, round, n, {mod} AS n_mod, {mid} AS n_mid FROM raw),
+    return f"""WITH {RC}, src AS (SELECT concat(contig, '-', l_suppkey % 7 * (l_partkey % 9)) AS kmer, concat_ws('-', read_id, read_pos, l_partkey, l_suppkey) AS id, prob, base, CASE WHEN prob > 0.6 THEN 'mod' ELSE 'unmod' END AS side FROM rc WHERE prob > 0.6 OR prob < 0.4),
+km AS (SELECT kmer, count(*) FILTER (WHERE side = 'mod') AS have_mod, count(*) FILTER (WHERE side = 'unmod') AS have_unmod FROM src GROUP BY kmer HAVING have_mod > 0 AND have_unmod > 0),
+raw AS (SELECT km.*, round, t, {_hash_sql(990, f"'{kind}n'", "kmer", "round", again)} + 10 AS n, {_hash_sql(90, f"'{kind}s'", "kmer", "round", again)} + 10 AS s, {_hash_sql(8, f"'{kind}v'", "kmer", "round", again)} AS v
+  FROM km CROSS JOIN (SELECT range AS round FROM range(2)) CROSS JOIN (SELECT range AS t FROM range(50))),
+p AS (SELECT kmer, round, n, {mod} AS n_mod, {mid} AS n_mid FROM raw WHERE n_mod <= have_mod AND n - n_mod - n_mid <= have_unmod QUALIFY row_number() OVER (PARTITION BY kmer, round ORDER BY t) = 1),
+f AS (SELECT DISTINCT kmer, round FROM raw EXCEPT SELECT kmer, round FROM p),
 parts AS ({pick.format(o="mod", k=kind, need="p.n_mod")} UNION ALL {pick.format(o="unmod", k=kind, need="p.n - p.n_mod - p.n_mid")}
-  UNION ALL SELECT kmer, round, 'mid', 0.2 + CAST(0.6 AS DOUBLE) * ({_hash_sql(1000000, "'mid'", "kmer", "round", "i")}) / 1000000 FROM p CROSS JOIN (SELECT range AS i FROM range(1, 1000)) WHERE i <= n_mid)
-SELECT kmer, CAST(round AS INT) AS round, origin, count(*) AS n, round(sum(prob), 6) AS total FROM parts GROUP BY ALL"""
+  UNION ALL SELECT kmer, round, 'mid', 0.2 + CAST(0.6 AS DOUBLE) * ({_hash_sql(1000000, "'mid'", "kmer", "round", "i")}) / 1000000, substr('ACGT', CAST({_hash_sql(4, "'base'", "kmer", "round", "i")} + 1 AS INT), 1) FROM p CROSS JOIN (SELECT range AS i FROM range(1, 1000)) WHERE i <= n_mid
+  UNION ALL SELECT kmer, round, 'fallback', CASE WHEN i <= {low} THEN CAST(0.1 AS DOUBLE) * u ELSE {a} + CAST({b} AS DOUBLE) * u END, 'A' FROM (SELECT *, CAST({_hash_sql(1000000, "'fallback'", "kmer", "round", "i")} AS DOUBLE) / 1000000 AS u FROM f CROSS JOIN (SELECT range AS i FROM range(1, 101))))
+SELECT kmer, CAST(round AS INT) AS round, origin, count(*) AS n, count(*) FILTER (WHERE base = 'A') AS n_a, round(sum(prob), 8) AS total FROM parts GROUP BY ALL"""
 
 
 def _mixture(spark, sf_dir, kind):
-    rows = read_calls(spark, sf_dir).select(F.col("contig").alias("kmer"), F.concat_ws("-", *[F.col(c).cast("string") for c in ("read_id", "read_pos", "l_partkey", "l_suppkey")]).alias("id"), "prob")
+    kmer = F.concat("contig", F.lit("-"), F.expr("l_suppkey % 7 * (l_partkey % 9)"))  # groups of many sizes, some of them too small for any plan
+    rows = read_calls(spark, sf_dir).select(kmer.alias("kmer"), F.concat_ws("-", *[F.col(c).cast("string") for c in ("read_id", "read_pos", "l_partkey", "l_suppkey")]).alias("id"), "prob", "base")
     got = training.mixtures(rows.where("prob > 0.6"), rows.where("prob < 0.4"), kind, 2)
-    return got.groupBy("kmer", "round", "origin").agg(F.count("*").alias("n"), F.round(F.sum("prob"), 6).alias("total"))
+    return got.groupBy("kmer", "round", "origin").agg(F.count("*").alias("n"), F.count_if(F.col("base") == "A").alias("n_a"), F.round(F.sum("prob"), 8).alias("total"))
 
 
 @query(_mixture_sql("ko"))

@@ -280,10 +280,10 @@ def chi2_tail_even(spark, sf_dir):
 
 @query(f"""WITH {RC}, few AS (SELECT ninemer AS kmer FROM rc GROUP BY 1 HAVING count(*) < 25), i AS (SELECT kmer, range AS i FROM few CROSS JOIN range(1, 101)),
 u AS (SELECT *, CAST({base._hash_sql(1000000, "'fallback'", "kmer", "i")} AS DOUBLE) / 1000000 AS u FROM i)
-SELECT kmer, CASE WHEN i <= 92 THEN 'low' ELSE 'mid' END AS origin, count(*) AS n, round(sum(CASE WHEN i <= 92 THEN CAST(0.2 AS DOUBLE) * u ELSE CAST(0.2 AS DOUBLE) + CAST(0.6 AS DOUBLE) * u END), 6) AS total FROM u GROUP BY ALL""")
+SELECT kmer, CASE WHEN i <= 92 THEN 'low' ELSE 'mid' END AS origin, count(*) AS n, round(sum(CASE WHEN i <= 92 THEN CAST(0.1 AS DOUBLE) * u ELSE CAST(0.2 AS DOUBLE) + CAST(0.6 AS DOUBLE) * u END), 8) AS total FROM u GROUP BY ALL""")
 def mixture_fallback(spark, sf_dir):
     few = read_calls(spark, sf_dir).groupBy(F.col("ninemer").alias("kmer")).agg(F.count("*").alias("n")).where("n < 25")
-    return training.fallback(few, "wt_simple").groupBy("kmer", "origin").agg(F.count("*").alias("n"), F.round(F.sum("prob"), 6).alias("total"))
+    return training.fallback(few, "wt_simple").groupBy("kmer", "origin").agg(F.count("*").alias("n"), F.round(F.sum("prob"), 8).alias("total"))
 
 
 @query("SELECT doc_id, quality, row_number() OVER (ORDER BY md5(concat_ws(':', 1, doc_id)), doc_id) AS place FROM labels")

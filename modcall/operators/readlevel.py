@@ -19,9 +19,10 @@ def reference_tiles(reference: DataFrame) -> DataFrame:
 
 def reference_ninemers(rows: DataFrame, reference: DataFrame, start: str = "start") -> DataFrame:
     """rows with reference_ninemer: the reference's nine bases from `start` of their contig; rows that reach over an
-    end are left out."""
+    end are left out. reference: contigs (contig, seq), or tiles of an indexed file (contig, tile, part)."""
+    tiles = reference if "part" in reference.columns else reference_tiles(reference)
     at = rows.withColumn("tile", F.floor(F.col(start) / TILE).cast("int")).where(F.col(start) >= 0)
-    found = at.join(reference_tiles(reference), ["contig", "tile"])
+    found = at.join(tiles, ["contig", "tile"])
     found = found.withColumn("reference_ninemer", F.substr("part", (F.col(start) % TILE + 1).cast("int"), F.lit(9)))
     return found.where(F.length("reference_ninemer") == 9).drop("tile", "part")
 

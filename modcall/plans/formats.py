@@ -2,13 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import modtags
+from ..operators import modtags, readlevel, training
 from ..operators.ranking import placed
 from ..scratch import shared_folder
-from ..sources import bam, sequences
-from .adapters import table, unique_calls
+from ..sources import arrays, bam, fasta, sequences
+from .adapters import RC, read_calls, table, unique_calls
 from .catalogue import query
-from .coverage import _TAGS
+from .coverage import _CONTIGS, _TAGS, _reference
 
 _SEQ = "translate(lpad(conv(o_orderkey * 7919 % 262144, 10, 4), 9, '0'), '0123', 'ACGT')"
 _HEADER = "@HD\tVN:1.6\tSO:unsorted\n" + "".join(f"@SQ\tSN:P{i}\tLN:100000\n" for i in range(50)) + "@CO\tmade of orders\n"
@@ -49,3 +49,33 @@ def sam_rewrite(spark, sf_dir):
     tags = modtags.read_tags(unique_calls(spark, sf_dir))
     modtags.write_in_order(modtags.rewrite_sam(sequences.ordered_lines(spark, f"{folder}/source"), tags), f"{folder}/made")
     return placed(sequences.ordered_lines(spark, f"{folder}/made"), ["file", "block", "row"]).select("place", F.col("value").alias("line"))
+
+
+@query(f"""WITH {RC}, {_CONTIGS}, s AS (SELECT DISTINCT contig, l_suppkey % 400 * 7 AS start FROM rc WHERE contig IN ('P3', 'P17', 'P44'))
+SELECT contig, start, substr(seq, start + 1, 9) AS reference_ninemer FROM s JOIN rf USING (contig) WHERE start + 9 <= length(seq)""")
+def reference_ninemer_indexed(spark, sf_dir):
+    """9-mers of three contigs from an indexed FASTA file of all: only these contigs' bytes are read."""
+    folder = shared_folder(spark)
+    lines = _reference(spark, sf_dir).select("contig", F.posexplode(F.expr("regexp_extract_all(seq, '(.{1,60})', 1)")).alias("n", "line"))
+    head = lines.where("n = 0").select("contig", F.lit(-1).alias("n"), F.concat(F.lit(">"), "contig", F.lit(" made of parts")).alias("line"))
+    lines.unionByName(head).repartition(5, "contig").sortWithinPartitions("contig", "n").select("line").write.text(f"{folder}/text")
+    wanted = ["P3", "P17", "P44"]
+    fasta.write_index(spark, f"{folder}/text", f"{folder}/index", ending=".txt")
+    tiles = fasta.read_tiles(spark, f"{folder}/text", f"{folder}/index").where(F.col("contig").isin(wanted))
+    starts = read_calls(spark, sf_dir).selectExpr("contig", "l_suppkey % 400 * 7 AS start").where(F.col("contig").isin(wanted)).distinct()
+    return readlevel.reference_ninemers(starts, tiles)
+
+
+_SPLIT = "CAST('0x' || substr(md5(concat_ws(':', 1, vec_id)), 1, 8) AS BIGINT) % 100"
+
+
+@query(f"""SELECT CASE WHEN {_SPLIT} < 60 THEN 'train' WHEN {_SPLIT} < 80 THEN 'validation' ELSE 'test' END AS split, CASE WHEN label < 5 THEN 1.0 ELSE 0.0 END AS label, CAST(1 + vec_id % 3 AS DOUBLE) AS weight,
+  64 AS n_values, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value, round(CAST(embedding[64] AS DOUBLE), 6) AS last_value FROM embeddings""")
+def training_arrays(spark, sf_dir):
+    """Labelled vectors, split at random, written as numpy arrays by split and read back."""
+    folder = shared_folder(spark)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("features"), F.col("label").alias("class"), (1 + F.col("vec_id") % 3).alias("weight"))
+    labelled = training.assemble(rows.where("class < 5"), rows.where("class >= 5"))
+    arrays.write_arrays(training.random_split(labelled, F.col("vec_id")), f"{folder}/arrays", limit=500)
+    got = arrays.read_arrays(spark, f"{folder}/arrays")
+    return got.select("split", "label", "weight", F.size("features").alias("n_values"), F.round(F.col("features")[0], 6).alias("first_value"), F.round(F.col("features")[63], 6).alias("last_value"))

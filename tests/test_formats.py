@@ -114,3 +114,49 @@ def test_a_rewritten_file_differs_by_its_tags_only(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     read = lambda name: "".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*")))
     assert read("made") == want and read("none") == HEADER
+
+
+@pytest.mark.parametrize("end", ["\n", ""])
+def test_indexed_references_read_wanted_contigs_only(spark, tmp_path, end):
+    from modcall.sources import fasta
+
+    rng, contigs = random.Random(3), {}
+    for i, n in enumerate([5000, 60, 61, 0, 1, 2049, 1024, 1032, 300_000, 17]):
+        contigs[f"c{i}"] = "".join(rng.choice("acgtN") for _ in range(n))
+    text = "".join(f">{name} some > words\n" + "".join(seq[k : k + 60] + "\n" for k in range(0, len(seq), 60)) for name, seq in contigs.items())
+    path = tmp_path / "r.fa"
+    path.write_text(text[:-1] + end)
+    fasta.write_index(spark, str(path), str(tmp_path / "index"), 7000)
+    listed = {r._c0: int(r._c1) for r in spark.read.csv(str(tmp_path / "index"), sep="\t").collect()}
+    assert listed == {k: len(v) for k, v in contigs.items()}
+    tiles = fasta.read_tiles(spark, str(path), str(tmp_path / "index"), 5000)
+    got = {(r.contig, r.tile): r.part for r in tiles.collect()}
+    assert got == {(k, t): v.upper()[t * 1024 : t * 1024 + 1032] for k, v in contigs.items() for t in range(-(-len(v) // 1024))}
+    some = tiles.where(F.col("contig").isin("c1", "c8") & (F.col("tile") < 2))
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "c8" not in plan and "Filter" in plan and "tile" in plan  # the source has taken the contigs, Spark filters the rest
+    assert sorted((r.contig, r.tile) for r in some.collect()) == [("c1", 0), ("c8", 0), ("c8", 1)]
+    one = tiles.where("contig = 'c0'")
+    path.write_text(text.replace(contigs["c8"][:100].replace("\n", ""), "x"))  # damage elsewhere is not even looked at
+    assert one.count() == 5
+    # an index of five columns, as other tools write it, and windows on the tiles
+    path.write_text(">a x\nACGTACGTAC\nGTACGTTTTT\nAC\n")
+    (tmp_path / "r.fa.fai").write_text("a\t22\t5\t10\t11\n")
+    from modcall.operators import readlevel
+
+    rows = spark.createDataFrame([("a", 0), ("a", 13), ("a", 14), ("b", 0)], "contig string, start int")
+    found = {r.start: r.reference_ninemer for r in readlevel.reference_ninemers(rows, fasta.read_tiles(spark, str(path))).collect()}
+    assert found == {0: "ACGTACGTA", 13: "CGTTTTTAC"}
+
+
+def test_pushed_filters_leave_other_contigs_out(tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In
+
+    from modcall.sources.fasta import FastaSource
+
+    (tmp_path / "x.fa").write_text(">a\nAC\n>b\nGT\n>c\nTT\n")
+    (tmp_path / "x.fa.fai").write_text("a\t2\t3\t2\t3\nb\t2\t9\t2\t3\nc\t2\t15\t2\t3\n")
+    reader = FastaSource({"path": str(tmp_path / "x.fa")}).reader(None)
+    rest = list(reader.pushFilters([In(("contig",), ("a", "b")), GreaterThan(("tile",), 0), EqualTo(("contig",), "b")]))
+    assert rest == [GreaterThan(("tile",), 0)]
+    assert [piece[1] for part in reader.partitions() for piece in part.pieces] == ["b"]

@@ -3,6 +3,10 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
+
+#: The most rows of a group that Spark limits before a shuffle.
+EARLY = "spark.sql.optimizer.windowGroupLimitThreshold"
 #: Signals kept per 9-mer at read level; skipped and kept at site level.
 READ_LIMIT, SITE_SKIP, SITE_LIMIT = 500, 500, 1500
 
@@ -33,15 +37,22 @@ def merge_events(events: DataFrame, read: list[str], line: str = "line_no") -> D
 
 
 def take(rows: DataFrame, per: list[str], order: list, limit: int, skip: int = 0) -> DataFrame:
-    """Rows skip + 1 to limit of each group in order; Spark limits the groups before the shuffle."""
+    """Rows skip + 1 to limit of each group in order; Spark limits the groups before the shuffle, in each task, which it
+    by itself does up to a thousand rows only."""
+    if limit > int(rows.sparkSession.conf.get(EARLY, "1000")):
+        rows.sparkSession.conf.set(EARLY, str(limit))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*per).orderBy(*order)))
     return ranked.where((F.col("rank") > skip) & (F.col("rank") <= limit))
 
 
 def within_quota(rows: DataFrame, quotas: DataFrame, order: list, key: str = "ninemer") -> DataFrame:
-    """The first rows of each listed 9-mer, as many as its quota says; the last quota listed counts."""
-    last = quotas.groupBy(key).agg(F.max_by("max_n", "line_no").alias("max_n"))
-    ranked = rows.join(last, key).withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    """The first rows of each listed 9-mer, as many as its quota says; the last quota listed counts.
+
+    A task passes on at most as many rows of a 9-mer as the largest quota, so a frequent 9-mer does not meet whole in
+    one task."""
+    last = materialize(quotas.groupBy(key).agg(F.max_by("max_n", "line_no").alias("max_n")))
+    largest = last.agg(F.max("max_n")).first()[0] or 0  # one number
+    ranked = take(rows.join(last, key), [key], order, largest)
     return ranked.where(F.col("rank") <= F.col("max_n"))
 
 

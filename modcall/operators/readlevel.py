@@ -45,6 +45,13 @@ def base_tag(q: Column, base: Column) -> Column:
     return F.coalesce(F.concat(q.cast("string"), F.lit("_"), base), F.lit("0_D"))
 
 
+def event_qualities(places: DataFrame, bases: DataFrame, keys: list[str]) -> DataFrame:
+    """places with the quality (0 where the read has no base) and the tag of the base that stands there; keys: read and
+    position, of which bases hold one row each. Other columns of the bases do not pass."""
+    found = places.join(bases.select(*keys, "q", "base"), keys, "left")
+    return found.withColumns({"q": F.coalesce("q", F.lit(0)), "tag": base_tag(F.col("q"), F.col("base"))}).drop("base")
+
+
 def quality_windows(bases: DataFrame, read: list[str], pos: str = "ref_pos") -> DataFrame:
     """A row per reference position with all nine around it: start and the struct array nine (pos, base, q).
     Windows without any quality are left out."""

@@ -106,7 +106,10 @@ CONDITIONS2, CONDITIONS3 = ["A", "R"], ["A", "N", "R"]
 @query(f"""WITH {sp_sql()} SELECT contig, position, site, condition, string_agg(rep, ',' ORDER BY rep) AS reps, string_agg(CAST(coverage AS VARCHAR), ',' ORDER BY rep) AS coverage,
 string_agg(CAST(CAST(round(coalesce(stoichiometry, 0) * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY rep) AS stoichiometry FROM sp GROUP BY ALL""")
 def diff_pivot(spark, sf_dir):
-    got = diff.pivot_replicates(site_preds(spark, sf_dir))
+    return pivot_columns(diff.pivot_replicates(site_preds(spark, sf_dir)))
+
+
+def pivot_columns(got):
     ppm = F.transform("stoichiometry", lambda s: F.round(F.coalesce(s, F.lit(0.0)) * 1000000).cast("long").cast("string"))
     return got.select(*diff.KEYS, "condition", F.array_join("rep", ",").alias("reps"), F.array_join(F.col("coverage").cast("array<string>"), ",").alias("coverage"), F.array_join(ppm, ",").alias("stoichiometry"))
 

@@ -73,8 +73,8 @@ SELECT e.read_id, e.ref_pos, coalesce(q, 0) AS q, coalesce(q || '_' || base, '0_
 def event_quality_join(spark, sf_dir):
     reads = event_rows(spark, sf_dir).select("read_id").distinct()
     places = reads.select("read_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(39).cast("long"))).alias("ref_pos"))
-    got = places.join(_bases(spark, sf_dir).withColumn("ref_pos", F.col("ref_pos").cast("long")), ["read_id", "ref_pos"], "left")
-    return got.select("read_id", "ref_pos", F.coalesce("q", F.lit(0)).alias("q"), readlevel.base_tag(F.col("q"), F.col("base")).alias("tag"))
+    bases = _bases(spark, sf_dir).withColumn("ref_pos", F.col("ref_pos").cast("long"))
+    return readlevel.event_qualities(places, bases, ["read_id", "ref_pos"])
 
 
 @query("SELECT vec_id, CAST(6 + vec_id % 9 AS INT) AS n, round(list_sum(list_transform(embedding[CAST(vec_id % 20 + 1 AS INT) : CAST(vec_id % 20 + 6 + vec_id % 9 AS INT)], lambda v: CAST(v AS DOUBLE))), 6) AS total, round(CAST(embedding[CAST(vec_id % 20 + 6 + vec_id % 9 AS INT)] AS DOUBLE), 6) AS first_sample FROM embeddings")

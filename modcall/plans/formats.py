@@ -1,13 +1,15 @@
 """Queries that write the driver's tables in the formats of the domain and read them back, with the tables' own SQL."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import modtags, readlevel, training
+from ..operators import diff, modtags, readlevel, training
 from ..operators.ranking import placed
 from ..scratch import shared_folder
-from ..sources import arrays, bam, fasta, sequences
-from .adapters import RC, read_calls, table, unique_calls
-from .catalogue import query
+from ..sources import arrays, bam, fasta, sequences, site_tables
+from .adapters import RC, read_calls, site_preds, table, unique_calls
+from .catalogue import ORACLE_SQL, pivot_columns, query
 from .coverage import _CONTIGS, _TAGS, _reference
 
 _SEQ = "translate(lpad(conv(o_orderkey * 7919 % 262144, 10, 4), 9, '0'), '0123', 'ACGT')"
@@ -79,3 +81,12 @@ def training_arrays(spark, sf_dir):
     arrays.write_arrays(training.random_split(labelled, F.col("vec_id")), f"{folder}/arrays", limit=500)
     got = arrays.read_arrays(spark, f"{folder}/arrays")
     return got.select("split", "label", "weight", F.size("features").alias("n_values"), F.round(F.col("features")[0], 6).alias("first_value"), F.round(F.col("features")[63], 6).alias("last_value"))
+
+
+@query(ORACLE_SQL["diff_pivot"])
+def diff_pivot_bucketed(spark, sf_dir):
+    """diff_pivot of site tables that are kept in buckets by site, one replicate and condition after another."""
+    sites, name, path = site_preds(spark, sf_dir), f"sites_{uuid.uuid4().hex}", f"{shared_folder(spark)}/sites"
+    for rep in "FO":
+        site_tables.add_bucketed(sites.where(F.col("rep") == rep), name, int(spark.conf.get("spark.sql.shuffle.partitions")), path)
+    return pivot_columns(diff.pivot_replicates(site_tables.merged(spark, name)))

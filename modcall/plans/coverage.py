@@ -308,3 +308,33 @@ def stream_fan_in(spark, sf_dir):
     for name, part in (("a", calls.where("pos % 2 = 0")), ("b", calls.where("pos % 2 = 1"))):
         part.write.parquet(f"{folder}/chunks/writer-{name}")
     return chunks.drain(chunks.site_counts(chunks.chunk_stream(spark, f"{folder}/chunks/writer-*", calls.schema, 2, delete=True), ["pos"]), f"{folder}/run")
+
+
+# --- read level from end to end ------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {KM}, {_CONTIGS}, s AS (SELECT vec_id AS read_id, concat('P', vec_id % 50) AS contig, 24 + vec_id % 8 AS hi, embedding FROM embeddings),
+w AS (SELECT s.*, hi - 20 + r AS start, substr(seq, hi - 19 + r, 9) AS ninemer FROM s JOIN rf USING (contig) CROSS JOIN (SELECT range AS r FROM range(16)) WHERE hi - 11 + r <= length(seq) AND substr(seq, hi - 15 + r, 1) = 'A'),
+x AS (SELECT w.*, o, ((CAST(floor(CAST(embedding[CAST(hi - start - o AS INT)] AS DOUBLE) * 1000) AS INT) + CAST(10 AS DOUBLE)) * (CAST(1400 AS DOUBLE) / 8191) - CAST(1.5 AS DOUBLE)) / CAST(2 AS DOUBLE) AS v FROM w CROSS JOIN (SELECT range AS o FROM range(5))),
+d AS (SELECT x.*, b, mean FROM x CROSS JOIN (SELECT unnest(['A', 'C', 'G', 'T']) AS b) LEFT JOIN km ON km.kmer = substr(ninemer[1:4] || b || ninemer[6:9], CAST(o + 1 AS INT), 5)),
+e AS (SELECT read_id, start, ninemer, sum(36 * v) FILTER (WHERE b = 'A') AS current_sum, coalesce(sum(36 * (mean - v)), 0) AS distance_sum FROM d GROUP BY ALL),
+q AS (SELECT read_id, start, ninemer, i, CASE WHEN (read_id + start + i) % 5 < 2 THEN 0 ELSE (read_id * 7 + start + i) % 41 END AS q, substr('ACGT', CAST((read_id + (start + i) * 3) % 4 + 1 AS INT), 1) AS base FROM w CROSS JOIN (SELECT range AS i FROM range(9))),
+a AS (SELECT *, CASE WHEN q = 0 THEN 0 WHEN base = substr(ninemer, CAST(i + 1 AS INT), 1) THEN q ELSE -10 * log10(1 - pow(CAST(10 AS DOUBLE), -q / CAST(10 AS DOUBLE))) END AS adjusted FROM q),
+f AS (SELECT read_id, start, max(q || '_' || base) FILTER (WHERE i = 4) AS tag, sum(adjusted) + count(*) FILTER (WHERE adjusted = 0) * avg(adjusted) FILTER (WHERE adjusted <> 0) AS quality FROM a GROUP BY read_id, start HAVING max(q) > 0)
+SELECT read_id, start, ninemer, tag, 180 AS n_rows, round(current_sum, 3) AS current_sum, round(distance_sum, 3) AS distance_sum, 540.0 AS dwell_sum, round(20 * quality, 4) AS quality_sum FROM e JOIN f USING (read_id, start)""")
+def aligned_features(spark, sf_dir):
+    """Alignments, raw signals, qualities and the reference to the 180 x 7 features of 9-mers with an A in the centre."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("hi", F.expr("cast(24 + vec_id % 8 as int)"))
+    names = ["vec_id AS read_id", "concat('P', vec_id % 50) AS contig"]
+    reads = rows.selectExpr(*names, "concat_ws(',', 0, 60, hi - 20, hi) AS si", "repeat('3,', 20) AS ss", "2.0d AS sc", "1.5d AS sh")
+    raw = F.flatten(F.transform(F.slice("embedding", 1, 20), lambda v: F.array_repeat(F.floor(v.cast("double") * 1000).cast("int"), 3)))
+    signals = rows.select(F.col("vec_id").alias("read_id"), raw.alias("raw"), F.lit(10.0).alias("offset"), F.lit(1400.0).alias("range"), F.lit(8191.0).alias("digitisation"))
+    places = rows.selectExpr(*names, "explode(sequence(hi - 20, hi + 3)) AS ref_pos")
+    bases = places.selectExpr("*", "cast(CASE WHEN (read_id + ref_pos) % 5 < 2 THEN 0 ELSE (read_id * 7 + ref_pos) % 41 END AS int) AS q", "substr('ACGT', cast((read_id + ref_pos * 3) % 4 + 1 as int), 1) AS base")
+    got = readlevel.aligned_features(reads, signals, bases, _reference(spark, sf_dir), kmer_model(spark, sf_dir), "A")
+
+    def column_sum(*columns):
+        return F.aggregate("features", F.lit(0.0), lambda acc, row: acc + sum((F.coalesce(F.get(row, F.lit(c)), F.lit(0.0)) for c in columns), F.lit(0.0)))
+
+    sums = {"current_sum": (column_sum(0), 3), "distance_sum": (column_sum(1, 2, 3, 4), 3), "dwell_sum": (column_sum(5), 3), "quality_sum": (column_sum(6), 4)}
+    return got.select("read_id", "start", "ninemer", "tag", F.size("features").alias("n_rows"), *[F.round(c, n).alias(k) for k, (c, n) in sums.items()])

@@ -30,11 +30,6 @@ def substitutions(ninemer: Column) -> Column:
     return F.array(*[F.overlay(ninemer, F.lit(b), F.lit(5), F.lit(1)) for b in BASES])
 
 
-def fivemers(ninemer: Column) -> Column:
-    """The five 5-mers of a 9-mer."""
-    return F.array(*[F.substring(ninemer, i, 5) for i in range(1, 6)])
-
-
 def base_index(base: Column) -> Column:
     """0 to 3 for A, C, G, T and 4 for anything else."""
     return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, BASES)), base), F.lit(0)) - 1, F.lit(4)).cast("int")

@@ -33,6 +33,25 @@ def assemble(positive: DataFrame, negative: DataFrame) -> DataFrame:
     return positive.withColumn("label", F.lit(1)).unionByName(negative.withColumn("label", F.lit(0)))
 
 
+def vectors(rows: DataFrame, size: int, features: str = "features") -> DataFrame:
+    """rows with one vector of `size` numbers each, and its number (vector) in the row: an array of any depth is laid out
+    flat and cut. An array that does not divide is an error; null gives no vector."""
+    flat, kind = F.col(features), rows.schema[features].dataType
+    while kind.elementType.typeName() == "array":
+        flat, kind = F.flatten(flat), kind.elementType
+    whole = F.when(F.size(flat) % size == 0, flat).otherwise(F.raise_error(F.concat(F.lit(f"not a whole number of vectors of {size}: "), F.size(flat).cast("string"))))
+    count = F.floor(F.size(flat) / size).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(whole, i * size + 1, size))
+    some = rows.where(F.size(features) > 0)
+    others = [F.col(c) for c in rows.columns if c != features]
+    return some.select(*others, F.posexplode(parts).alias("vector", features))
+
+
+def test_table(rows: DataFrame, key: str, seed: int = 1) -> DataFrame:
+    """The rows of the test split in the order of a hash of a unique key, with their place in it."""
+    return shuffled(rows.where(F.col("split") == "test").drop("split"), key, seed)
+
+
 #: Plans that are tried for a set of reads before drawing gives up.
 TRIALS = 50
 

@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import diff, modtags, readlevel, training
+from ..operators import diff, modtags, readlevel, sites, training
 from ..operators.ranking import placed
 from ..scratch import shared_folder
 from ..sources import arrays, bam, fasta, sequences, site_tables
@@ -90,3 +90,35 @@ def diff_pivot_bucketed(spark, sf_dir):
     for rep in "FO":
         site_tables.add_bucketed(sites.where(F.col("rep") == rep), name, int(spark.conf.get("spark.sql.shuffle.partitions")), path)
     return pivot_columns(diff.pivot_replicates(site_tables.merged(spark, name)))
+
+
+_VECTORS = f"""{RC}, c AS (SELECT DISTINCT pos, condition FROM rc WHERE condition IN ('A', 'R')), h AS (SELECT pos, condition, least(CAST(floor(prob * 100) AS INT), 99) AS bin, count(*) AS n FROM rc WHERE condition IN ('A', 'R') GROUP BY ALL),
+v AS (SELECT pos, CASE WHEN condition = 'A' THEN 1 ELSE 0 END AS label, sum(n) AS reads, sum(n * bin * bin) AS moment FROM h GROUP BY pos, condition),
+s AS (SELECT *, concat(pos, ':', label) AS id, CAST('0x' || substr(md5(concat_ws(':', 1, pos, label)), 1, 8) AS BIGINT) % 100 AS u FROM v)"""
+
+
+def _site_vectors(spark, sf_dir):
+    """Dense histograms of sites in two conditions, two sites' in one row as files of batches hold them, labelled."""
+    def side(condition):
+        calls = read_calls(spark, sf_dir).where(F.col("condition") == condition)
+        full = sites.dense(sites.histogram(calls, ["pos"], sites.bin100(F.col("prob"))), ["pos"])
+        batch = F.array_sort(F.collect_list(F.struct("pos", "histogram")))
+        return full.groupBy(F.floor(F.col("pos") / 2).alias("batch")).agg(batch.alias("b")).select(F.col("b.pos").alias("sites"), F.col("b.histogram").alias("features"))
+
+    rows = training.vectors(training.assemble(side("A"), side("R")), 100)
+    rows = rows.select(F.get("sites", F.col("vector")).alias("pos"), "label", "features")
+    return rows.withColumn("id", F.concat_ws(":", "pos", "label"))
+
+
+@query(f"WITH {_VECTORS} SELECT pos, label, CASE WHEN u < 60 THEN 'train' WHEN u < 80 THEN 'validation' ELSE 'test' END AS split, reads, moment FROM s")
+def assemble_site_vectors(spark, sf_dir):
+    rows = training.random_split(_site_vectors(spark, sf_dir), F.col("id"))
+    reads = F.aggregate("features", F.lit(0).cast("long"), lambda a, v: a + v)
+    moment = F.aggregate(F.transform("features", lambda v, i: v * i * i), F.lit(0).cast("long"), lambda a, v: a + v)
+    return rows.select("pos", "label", "split", reads.alias("reads"), moment.alias("moment"))
+
+
+@query(f"WITH {_VECTORS} SELECT row_number() OVER (ORDER BY md5(concat_ws(':', 1, id)), id) AS place, pos, label FROM s WHERE u >= 80")
+def site_test_table(spark, sf_dir):
+    rows = training.random_split(_site_vectors(spark, sf_dir).select("pos", "label", "id"), F.col("id"))
+    return training.test_table(rows, "id").select("place", "pos", "label")

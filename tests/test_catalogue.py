@@ -160,3 +160,35 @@ def test_first_by_hash(spark):
     got = first_by_hash(spark.createDataFrame(rows, "g int, id string"), spark.createDataFrame(groups, "g int, need int, size int"), ["g"], F.lit(None).cast("string"), [F.col("id")], ["id"], "need", "size").collect()
     want = [x for g, need, _ in groups for x in sorted((hashlib.md5(i.encode()).hexdigest(), i) for h, i in rows if h == g)[:need]]
     assert sorted(r.id for r in got) == sorted(i for _, i in want)
+
+
+def test_vectors_are_cut_from_arrays_of_any_depth(spark):
+    from modcall.operators import training
+
+    rows = spark.createDataFrame([(1, [[1, 2], [3, 4], [5, 6]]), (2, [[7, 8]]), (3, None), (4, [])], "id int, features array<array<int>>")
+    got = training.vectors(rows, 2).collect()
+    assert sorted((r.id, r.vector, r.features) for r in got) == [(1, 0, [1, 2]), (1, 1, [3, 4]), (1, 2, [5, 6]), (2, 0, [7, 8])]
+    with pytest.raises(Exception, match="whole number of vectors"):
+        training.vectors(rows, 4).collect()
+
+
+def test_fallback_ranges_and_given_up_mixtures(spark):
+    """Too few reads for any plan: a set of 100 values in the ranges of its kind."""
+    from modcall.operators import training
+
+    few = [spark.createDataFrame([("AAAAACAAA", f"{s}{i}", 0.5, "A") for i in range(3)], "kmer string, id string, prob double, base string") for s in "mu"]
+    for kind, (low, others, first, second) in training.FALLBACK.items():
+        got = training.mixtures(*few, kind, 2, "C").collect()
+        assert len(got) == 200 and {(r.origin, r.base) for r in got} == {("fallback", "C")}
+        made = training.fallback(few[0], kind).collect()
+        assert sum(first[0] <= r.prob < first[1] for r in made if r.origin == "low") == low and sum(second[0] <= r.prob < second[1] for r in made if r.origin == "mid") == others
+
+
+def test_quotas_beyond_a_thousand_rows(spark):
+    from modcall.operators import events
+
+    rows = spark.range(5000).selectExpr("CASE WHEN id % 5 < 4 THEN 'hot' ELSE 'cold' END AS ninemer", "id")
+    quotas = spark.createDataFrame([("hot", 10, 0), ("hot", 1500, 1), ("cold", 3, 0), ("none", 5, 0)], "ninemer string, max_n int, line_no int")
+    got = {r.ninemer: r.n for r in events.within_quota(rows, quotas, ["id"]).groupBy("ninemer").agg(F.count("*").alias("n")).collect()}
+    assert got == {"hot": 1500, "cold": 3}
+    assert events.within_quota(rows, quotas.limit(0), ["id"]).count() == 0

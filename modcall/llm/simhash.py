@@ -161,7 +161,7 @@ ODD = 2048
 ALONG, SPREAD = 3, 4
 #: Members of a variant, or of a block of one, that a task compares at a time; pairs for each member that a
 #: variant gives at once: larger and denser variants wait until the first links are known.
-LARGEST, DENSE, THIN = 2048, 4, 32
+LARGEST, DENSE, THIN = 2048, 3.5, 32
 
 
 def _bands(bands: int, bits: int):
@@ -333,16 +333,30 @@ def _sets(shingle: int):
     return run
 
 
+def _possible(similarity: float):
+    """Of pairs (a, b, oa, ob): those that the odd sketches of their sets do not rule out."""
+    part = (1 - similarity) / (1 + similarity)
+
+    def run(batches):
+        for batch in batches:
+            (many, one), (more, two) = (_differ(batch.column(i).to_numpy(zero_copy_only=False)) for i in (2, 3)) if batch.num_rows else ((0, 0), (0, 0))
+            keep = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64) <= part * (many + more) + 1e-6 if batch.num_rows else []
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _verified(docs, classes, pairs, shingle: int, similarity: float, most: int):
     """Of candidate pairs (a, b) of class representatives: those whose shingle sets are similar, exactly.
 
-    Pairs whose whole fingerprints differ in more than `most` bits met by chance. The sets are made for
-    the texts of the others only.
+    Pairs whose whole fingerprints differ in more than `most` bits met by chance, and odd sketches rule others out
+    without loss. The sets are made for the texts of the rest only.
     """
     names = _names(WORDS)
-    left, right = (classes.select(F.col("rep").alias(x), *[F.col(c).alias(x + c) for c in names]) for x in "ab")
+    left, right = (classes.select(F.col("rep").alias(x), F.col("odd").alias("o" + x), *[F.col(c).alias(x + c) for c in names]) for x in "ab")
     away = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in names[1:]), F.bit_count(F.col("afp").bitwiseXOR(F.col("bfp"))))
-    pairs = materialize(pairs.join(left, "a").join(right, "b").where(away <= most).select("a", "b").distinct())
+    near = pairs.join(left, "a").join(right, "b").where(away <= most).select("a", "b", "oa", "ob")
+    pairs = materialize(near.mapInArrow(lean(_possible(similarity)), "a long, b long").distinct())
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(classes.select("rep", "rep_k"), "rep")
     wanted = materialize(wanted)
     few = F.broadcast(wanted) if wanted.count() <= 1 << 20 else wanted
@@ -371,12 +385,11 @@ def _search(docs, shingle: int, similarity: float, bands: int, bits: int, larges
     few, whole = _loose(64 * ALONG, share), _loose(64 * WORDS, share)
     met = materialize(found.repartition("v").sortWithinPartitions("v", "rep").mapInArrow(lean(_members(few, largest)), "v long, a long, b long"))
     group = components(_verified(docs, classes, met.where("v < 0").select("a", "b").distinct(), shingle, similarity, whole))
-    # variants with the same members hold the same pairs: one of them is enough
     waiting = met.where("v >= 0").select("v", F.col("a").alias("rep"))
-    sets = waiting.groupBy("v").agg(F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.count("*").alias("m"))
-    waiting = materialize(waiting.join(sets.groupBy("x", "y", "m").agg(F.min("v").alias("v")).select("v"), "v"))
-    members = waiting.join(group, F.col("rep") == F.col("node"), "left").select("v", "rep", F.coalesce("component", "rep").alias("c"))
-    split = members.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / largest).alias("n")).where("lo < hi").select("v", "n")
+    members = materialize(waiting.join(group, F.col("rep") == F.col("node"), "left").select("v", "rep", F.coalesce("component", "rep").alias("c")))
+    sets = members.groupBy("v").agg(F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    # variants with the same members hold the same pairs: one of them is enough; one component has no pair left
+    split = sets.where("lo < hi").groupBy("x", "y", "m").agg(F.min("v").alias("v")).select("v", F.ceil(F.col("m") / largest).alias("n"))
     members = materialize(members.join(split, "v"))
     if members.first() is not None:
         # each block of a variant meets each other block, and itself, in a group of its own

@@ -13,17 +13,23 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+_own: dict = {}
+
+
 def scratch(spark) -> str:
     """A new folder name below spark.checkpoint.dir, which driver and executors share.
 
-    Where that setting is absent a folder of this machine is made and set, which only a local master can do with.
+    Where that setting is absent a folder of this machine is made, which only a local master can do with.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="modcall-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        # the setting cannot be changed once a session runs, so the folder is kept here
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="modcall-")
+        root = _own[app]
     return f"{root.rstrip('/')}/modcall/{uuid.uuid4().hex}"
 
 

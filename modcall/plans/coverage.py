@@ -321,7 +321,7 @@ e AS (SELECT read_id, start, ninemer, sum(36 * v) FILTER (WHERE b = 'A') AS curr
 q AS (SELECT read_id, start, ninemer, i, CASE WHEN (read_id + start + i) % 5 < 2 THEN 0 ELSE (read_id * 7 + start + i) % 41 END AS q, substr('ACGT', CAST((read_id + (start + i) * 3) % 4 + 1 AS INT), 1) AS base FROM w CROSS JOIN (SELECT range AS i FROM range(9))),
 a AS (SELECT *, CASE WHEN q = 0 THEN 0 WHEN base = substr(ninemer, CAST(i + 1 AS INT), 1) THEN q ELSE -10 * log10(1 - pow(CAST(10 AS DOUBLE), -q / CAST(10 AS DOUBLE))) END AS adjusted FROM q),
 f AS (SELECT read_id, start, max(q || '_' || base) FILTER (WHERE i = 4) AS tag, sum(adjusted) + count(*) FILTER (WHERE adjusted = 0) * avg(adjusted) FILTER (WHERE adjusted <> 0) AS quality FROM a GROUP BY read_id, start HAVING max(q) > 0)
-SELECT read_id, start, ninemer, tag, 180 AS n_rows, round(current_sum, 3) AS current_sum, round(distance_sum, 3) AS distance_sum, 540.0 AS dwell_sum, round(20 * quality, 4) AS quality_sum FROM e JOIN f USING (read_id, start)""")
+SELECT read_id, start, ninemer, tag, 180 AS n_rows, round(current_sum, 3) AS current_sum, round(distance_sum, 3) AS distance_sum, CAST(540 AS DOUBLE) AS dwell_sum, round(20 * quality, 4) AS quality_sum FROM e JOIN f USING (read_id, start)""")
 def aligned_features(spark, sf_dir):
     """Alignments, raw signals, qualities and the reference to the 180 x 7 features of 9-mers with an A in the centre."""
     rows = table(spark, sf_dir, "embeddings").withColumn("hi", F.expr("cast(24 + vec_id % 8 as int)"))

@@ -71,7 +71,7 @@ def reference_ninemer_indexed(spark, sf_dir):
 _SPLIT = "CAST('0x' || substr(md5(concat_ws(':', 1, vec_id)), 1, 8) AS BIGINT) % 100"
 
 
-@query(f"""SELECT CASE WHEN {_SPLIT} < 60 THEN 'train' WHEN {_SPLIT} < 80 THEN 'validation' ELSE 'test' END AS split, CASE WHEN label < 5 THEN 1.0 ELSE 0.0 END AS label, CAST(1 + vec_id % 3 AS DOUBLE) AS weight,
+@query(f"""SELECT CASE WHEN {_SPLIT} < 60 THEN 'train' WHEN {_SPLIT} < 80 THEN 'validation' ELSE 'test' END AS split, CASE WHEN label < 5 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS label, CAST(1 + vec_id % 3 AS DOUBLE) AS weight,
   64 AS n_values, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value, round(CAST(embedding[64] AS DOUBLE), 6) AS last_value FROM embeddings""")
 def training_arrays(spark, sf_dir):
     """Labelled vectors, split at random, written as numpy arrays by split and read back."""

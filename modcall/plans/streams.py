@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..scratch import shared_folder
+from ..scratch import children, materialize, shared_folder
 from ..streaming import assembly, chunks
 from .adapters import RC, read_calls, unique_calls
 from .catalogue import ORACLE_SQL, query
@@ -12,14 +12,18 @@ from .catalogue import ORACLE_SQL, query
 def stream_read_tags(spark, sf_dir):
     """mm_tag of calls whose reads are split over three chunks, which come in three batches."""
     folder = shared_folder(spark)
-    calls = unique_calls(spark, sf_dir).select("read_id", "read_pos", "prob")
-    dealt = calls.withColumn("chunk", F.pmod(F.hash("read_id", "read_pos"), F.lit(3)))
+    calls = unique_calls(spark, sf_dir).select("read_id", F.col("read_pos").cast("int").alias("read_pos"), "prob")
+    dealt = materialize(calls.withColumn("chunk", F.pmod(F.hash("read_id", "read_pos"), F.lit(3))))
     schema = "read_id long, read_pos int, prob double, written timestamp"
+    files = 1
     for n in range(3):
-        part = dealt.where(F.col("chunk") == n).select("read_id", F.col("read_pos").cast("int").alias("read_pos"), "prob", F.timestamp_seconds(F.lit(1000 + n)).alias("written"))
-        part.write.parquet(f"{folder}/chunks/chunk={n}")
+        path = f"{folder}/chunks/chunk={n}"
+        part = dealt.where(F.col("chunk") == n).drop("chunk").withColumn("written", F.timestamp_seconds(F.lit(1000 + n)))
+        part.write.parquet(path)
+        files = max(files, sum(x.endswith(".parquet") for x in children(spark, path)))
     chunks.close_stream(spark, f"{folder}/chunks/chunk=3", schema, "written", 86400)
-    stream = assembly.stream_tags(chunks.chunk_stream(spark, f"{folder}/chunks/chunk=*", schema, 2))
+    # a chunk a batch, however many files it has: batches do not grow in number with the calls
+    stream = assembly.stream_tags(chunks.chunk_stream(spark, f"{folder}/chunks/chunk=*", schema, files))
     got = chunks.drain(stream, f"{folder}/run", "append")
     return got.select("read_id", "mm", F.array_join(F.col("ml").cast("array<string>"), ",").alias("ml"))
 

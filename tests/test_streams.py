@@ -33,6 +33,20 @@ def test_reads_are_put_together_over_chunks_and_a_restart(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == want and [w[0] for w in want] == ["a", "b", "c"]
 
 
+def test_reads_are_gathered_by_spark_itself(spark, tmp_path):
+    """No read goes through Python on its own, and batches keep to the number of chunks however many files these have."""
+    folder = f"file://{tmp_path}"
+    calls = spark.range(3000).selectExpr("cast(id % 1000 as string) AS read_id", "cast(id div 1000 as int) AS read_pos", "0.5d AS prob")
+    for n in range(3):
+        calls.where(f"read_pos = {n}").withColumn("written", F.timestamp_seconds(F.lit(1000 + n))).repartition(5).write.parquet(f"{folder}/chunks/chunk={n}")
+    chunks.close_stream(spark, f"{folder}/chunks/chunk=3", CALLS, "written", 86400)
+    stream = assembly.gather_reads(chunks.chunk_stream(spark, f"{folder}/chunks/chunk=*", CALLS, 5))
+    assert "TransformWithState" not in stream._jdf.queryExecution().toString()
+    got = chunks.drain(stream, f"{folder}/run", "append")
+    assert got.count() == 1000 and got.where("size(calls) <> 3 or read_id is null").count() == 0
+    assert len(written(spark, f"{folder}/run/out", "batch")) <= 5  # three chunks, the closing one, what it sets free
+
+
 def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
     calls = [spark.createDataFrame([(p, x) for p in range(4) for x in part], "pos int, prob double") for part in ([0.2, 0.9], [0.7], [None, float("nan")], [0.1, 0.5], [1.0])]
     table = chunks.SiteTable(spark, f"file://{tmp_path}/t", ["pos"], 3)

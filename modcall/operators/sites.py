@@ -75,10 +75,10 @@ def draws(calls: DataFrame, deep: DataFrame, keys: list[str], order: list[Column
 
 def linear_scorer(features: np.ndarray) -> np.ndarray:
     """The stand-in for trained weights: one minus the mean bin of a histogram, over the last bin. Like a
-    site model, it gives the probability of an unmodified site."""
-    weight = np.arange(features.shape[1]) / (features.shape[1] - 1)
-    total = features.sum(axis=1)
-    return 1 - np.divide(features @ weight, total, out=np.full(len(features), np.nan), where=total > 0)
+    site model, it gives the probability of an unmodified site. Counts are summed whole and divided once, so that a
+    site whose mean lies on a cutoff is not above it."""
+    total = features.sum(axis=1) * (features.shape[1] - 1)
+    return 1 - np.divide(features @ np.arange(features.shape[1]), total, out=np.full(len(features), np.nan), where=total > 0)
 
 
 def score(df: DataFrame, features: str, out: str, scorer: Callable[[np.ndarray], np.ndarray], batch: int = BATCH) -> DataFrame:
@@ -92,10 +92,11 @@ def score(df: DataFrame, features: str, out: str, scorer: Callable[[np.ndarray],
     return df.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out}` double")
 
 
-def site_probabilities(calls: DataFrame, keys: list[str], order: list[Column], scorer=linear_scorer, cutoff: float = -1.0, min_reads: int = MIN_READS) -> DataFrame:
+def site_probabilities(calls: DataFrame, keys: list[str], order: list[Column], scorer=linear_scorer, cutoff: float = -1.0, min_reads: int = MIN_READS, bootstrap: bool = True) -> DataFrame:
     """Sites with the probability of modification: the scorer's complement, averaged over bootstrap draws for
-    deep sites with enough stoichiometry."""
-    sites = coverage_stoichiometry(calls, keys, min_reads=min_reads).withColumn("__deep", (F.col("coverage") > DEEP) & (F.col("stoichiometry") > DEEP_STOICHIOMETRY))
+    deep sites with enough stoichiometry. bootstrap: False scores all reads of every site at once."""
+    deep = (F.col("coverage") > DEEP) & (F.col("stoichiometry") > DEEP_STOICHIOMETRY)
+    sites = coverage_stoichiometry(calls, keys, min_reads=min_reads).withColumn("__deep", deep if bootstrap else F.lit(False))
     sites = materialize(sites)
     calls = calls.select(*keys, "prob", *[o.alias(f"__o{i}") for i, o in enumerate(order)])
     order = [F.col(f"__o{i}") for i in range(len(order))]

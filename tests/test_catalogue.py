@@ -3,10 +3,12 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from modcall.functions import sequence, signal, stats
+from modcall.operators import sites
 from modcall.operators.ranking import step_up
 from modcall.plans import catalogue
 
@@ -41,6 +43,20 @@ def test_twin(spark, con, name):
     assert _normal(tuple(r) for r in df.select(*cols).collect()) == _normal(want)
 
 
+def test_sites_on_the_cutoff_and_deep_ones(spark, tmp_path):
+    """A mean of exactly one half is not above it, and sites of any depth count with all their reads."""
+    numbers = np.random.default_rng(5)
+    half = [tuple(numbers.integers(0, 99, 13)) for _ in range(400)]
+    counts = np.array([np.bincount([*b, *(99 - x for x in b)], minlength=100) for b in half], float)
+    assert not (1 - sites.linear_scorer(counts) > 0.5).any()
+    lines = f"SELECT i AS l_orderkey, i % 7 AS l_linenumber, i % 2 AS l_partkey, i % 11 AS l_suppkey, 'A' AS l_returnflag, 'F' AS l_linestatus FROM range(600) t(i) WHERE i % 2 = 0 OR i < 60"
+    duckdb.execute(f"COPY ({lines}) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    c = duckdb.connect()
+    c.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    got = catalogue.QUERIES["site_prob_cutoff"](spark, str(tmp_path)).select("pos", "coverage", "probability").collect()
+    assert got and _normal(got) == _normal(c.execute(f"select pos, coverage, probability from ({catalogue.ORACLE_SQL['site_prob_cutoff']})").fetchall())
+
+
 def test_keys(spark):
     rows = spark.createDataFrame([("ENST00000390289.2_53_TCCCTCTCC_3f1d-036e_326_28_T",), ("chr_1_7_ACGTACGTA_r1",), ("bad",)], "k string")
     got = rows.select(sequence.parse_key(F.col("k")).alias("p")).select("p.*").collect()

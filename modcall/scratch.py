@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 
 _own: dict = {}
@@ -29,6 +30,17 @@ def materialize(df):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def setting(spark, name: str, value: str):
+    """A setting of the session for what runs inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def children(spark, path: str) -> list[str]:
     """Names of what a folder holds, sorted; none if it is absent. Any file system that Spark can write will do."""
     jvm = spark.sparkContext._jvm

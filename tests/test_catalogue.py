@@ -57,6 +57,19 @@ def test_sites_on_the_cutoff_and_deep_ones(spark, tmp_path):
     assert got and _normal(got) == _normal(c.execute(f"select pos, coverage, probability from ({catalogue.ORACLE_SQL['site_prob_cutoff']})").fetchall())
 
 
+def test_draws_are_made_where_reads_meet(spark, monkeypatch):
+    """No read moves again for its draws; those of hot sites, drawn read by read, are the same."""
+    calls = spark.range(5000).selectExpr("id % 9 AS pos", "id", "cast(id * 7919 % 1001 AS double) / 1000 AS prob").where("pos < 7 or id < 900")
+    calls = calls.withColumn("prob", F.when(F.col("id") % 50 != 0, F.col("prob")))
+    rows = lambda: sorted((r.pos, r.coverage, round(r.probability, 12)) for r in sites.site_probabilities(calls, ["pos"], [F.col("id").cast("string")]).collect())
+    monkeypatch.setattr(sites, "HOT", 200)
+    want = rows()
+    assert len(want) == 9 and min(w[1] for w in want) <= 150
+    monkeypatch.setattr(sites, "HOT", 1 << 20)
+    monkeypatch.setattr(sites, "draws", None)
+    assert rows() == want
+
+
 def test_keys(spark):
     rows = spark.createDataFrame([("ENST00000390289.2_53_TCCCTCTCC_3f1d-036e_326_28_T",), ("chr_1_7_ACGTACGTA_r1",), ("bad",)], "k string")
     got = rows.select(sequence.parse_key(F.col("k")).alias("p")).select("p.*").collect()

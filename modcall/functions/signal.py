@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 POINTS = 36
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value made once: Spark puts an expression that is named once in the place of its name, and
+    inside a lambda makes it anew for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def to_picoampere(raw: Column, offset: Column, range_: Column, digitisation: Column) -> Column:
     return F.transform(raw, lambda x: (x + offset) * (range_ / digitisation))
 
@@ -70,5 +76,10 @@ def phred_adjust(q: Column, called: Column, reference: Column) -> Column:
 
 def fill_zeros(q: Column) -> Column:
     """Zeros replaced by the mean of the others; null if there are none."""
-    some = F.filter(q, lambda x: x != 0)
-    return F.when(F.size(some) > 0, F.transform(q, lambda x: F.when(x == 0, mean(some)).otherwise(x)))
+
+    def filled(x):
+        some = F.filter(x, lambda v: v != 0)
+        full = let(let(some, mean), lambda m: F.transform(x, lambda v: F.when(v == 0, m).otherwise(v)))
+        return F.when(F.exists(x, lambda v: v != 0), full)
+
+    return let(q, filled)

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import BASES
-from ..functions.signal import POINTS, resample
+from ..functions.signal import POINTS, let, resample
 
 
 def expected(windows: DataFrame, model: DataFrame) -> DataFrame:
@@ -27,17 +27,20 @@ def tensor(windows: DataFrame) -> DataFrame:
 
     Filter by 9-mer before this: a row of 1260 floats is made here and should go straight to a scorer.
     """
-    current = F.transform("five", lambda e: resample(e["samples"]))
-    dwell = F.transform("five", lambda e: F.size(e["samples"]).cast("double"))
+    n, none = 5 * POINTS, F.lit(None).cast("double")
+    quality = F.flatten(F.transform("quality", lambda q: F.array_repeat(q, 20)))
 
-    def row(r):
-        i, j = F.floor(r / POINTS).cast("int"), (r % POINTS).cast("int")
-        now, mu = F.get(F.get(F.col("__cur"), i), j), F.get(F.col("expected"), i)
-        far = [F.get(mu, F.lit(b)) - now for b in range(4)]
-        return F.array(now, *far, F.get(F.col("__dwell"), i), F.get(F.col("quality"), F.floor(r / 20).cast("int")))
+    def event(i):
+        e, mu = F.get("five", F.lit(i))["samples"], F.get("expected", F.lit(i))
+        made = F.struct(F.coalesce(resample(e), F.array_repeat(none, POINTS)).alias("current"), *[F.get(mu, F.lit(b)).alias(f"m{b}") for b in range(4)], F.size(e).cast("double").alias("dwell"), F.slice("__quality", i * POINTS + 1, POINTS).alias("quality"))
 
-    made = windows.withColumns({"__cur": current, "__dwell": dwell})
-    return made.withColumn("features", F.transform(F.sequence(F.lit(0), F.lit(5 * POINTS - 1)), row)).drop("__cur", "__dwell")
+        def rows(x):
+            return F.zip_with(x["current"], x["quality"], lambda now, q: F.array(now, *[x[f"m{b}"] - now for b in range(4)], x["dwell"], q))
+
+        return let(made, rows)
+
+    made = windows.withColumn("__quality", F.coalesce(quality, F.array_repeat(none, n)))
+    return made.withColumn("features", F.concat(*[event(i) for i in range(5)])).drop("__quality")
 
 
 def flat_tensor(features) -> "F.Column":

@@ -13,8 +13,9 @@ TILE = 1024
 
 def reference_tiles(reference: DataFrame) -> DataFrame:
     """Contigs cut into overlapping tiles (contig, tile, part), so that no row of a join carries a whole contig."""
-    tiles = reference.select("contig", "seq", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("seq") - 1) / TILE).cast("int")))).alias("tile"))
-    return tiles.select("contig", "tile", F.substr("seq", F.col("tile") * TILE + 1, F.lit(TILE + 8)).alias("part"))
+    pieces = reference.select("contig", F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{TILE}}}"), F.lit(0)).alias("p"))  # in one pass
+    tiles = pieces.select("contig", F.posexplode(F.transform("p", lambda x, i: F.struct(x.alias("own"), F.coalesce(F.get("p", i + 1), F.lit("")).alias("next")))).alias("tile", "piece"))
+    return tiles.select("contig", "tile", F.concat("piece.own", F.left("piece.next", F.lit(8))).alias("part"))
 
 
 def reference_ninemers(rows: DataFrame, reference: DataFrame, start: str = "start") -> DataFrame:

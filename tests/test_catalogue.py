@@ -1,6 +1,7 @@
 """Every registered domain query equals its DuckDB twin on the smallest tables, and golden values hold."""
 
 import math
+import re
 
 import duckdb
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from modcall.functions import sequence, signal, stats
-from modcall.operators import sites
+from modcall.operators import readlevel, sites
 from modcall.operators.ranking import step_up
 from modcall.plans import catalogue
 
@@ -70,6 +71,21 @@ def test_draws_are_made_where_reads_meet(spark, monkeypatch):
     assert rows() == want
 
 
+def test_feature_parts_are_made_once(spark):
+    """Tiles come from one pass over a contig, and qualities are adjusted once a window, not once a zero."""
+    seqs = ["ACGTN" * 500, "A" * 1024, "C" * 1025, "G" * 1033, "T", "AC" * 1020]
+    rows = spark.createDataFrame([(str(i), s) for i, s in enumerate(seqs)], "contig string, seq string")
+    tiles = readlevel.reference_tiles(rows)
+    want = {(str(i), t): s[t * 1024 : t * 1024 + 1032] for i, s in enumerate(seqs) for t in range(-(-len(s) // 1024))}
+    assert {(r.contig, r.tile): r.part for r in tiles.collect()} == want
+    assert not re.search(r"substr\w*\(seq", tiles._jdf.queryExecution().optimizedPlan().toString())
+    q = spark.createDataFrame([([0, 10, 20],), ([0, 0],)], "q array<int>")
+    full = q.select(signal.fill_zeros(F.transform("q", lambda x: signal.phred_adjust(x, F.lit("A"), F.lit("C")))).alias("f"))
+    assert full._jdf.queryExecution().optimizedPlan().toString().lower().count("log10") == 1
+    got = [r.f for r in full.collect()]
+    assert got[1] is None and got[0][0] == pytest.approx((got[0][1] + got[0][2]) / 2)
+
+
 def test_keys(spark):
     rows = spark.createDataFrame([("ENST00000390289.2_53_TCCCTCTCC_3f1d-036e_326_28_T",), ("chr_1_7_ACGTACGTA_r1",), ("bad",)], "k string")
     got = rows.select(sequence.parse_key(F.col("k")).alias("p")).select("p.*").collect()

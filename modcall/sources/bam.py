@@ -25,8 +25,9 @@ RUNS, BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
 NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 BLOCK_MAGIC, FILE_MAGIC = b"\x1f\x8b\x08\x04", b"BAM\x01"
 LAST_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
-#: Bytes of a block before compression, bytes of a task's range, records that must follow a guessed one.
-BLOCK, RANGE, SURE = 0xFF00, 32 << 20, 4
+#: Bytes of a block before compression, bytes of a task's range, records that must follow a guessed one, tasks above
+#: which shorter ranges grow up to RANGE.
+BLOCK, RANGE, SURE, TASKS = 0xFF00, 32 << 20, 4, 64
 
 
 def _open(path: str):
@@ -308,8 +309,9 @@ class _Reader(DataSourceReader):
         self.path, self.range = options["path"], int(options.get("rangebytes", RANGE))
 
     def partitions(self):
-        out = []
-        for path, size in files_of(self.path, ".bam"):
+        out, files = [], files_of(self.path, ".bam")
+        step = max(self.range, min(RANGE, -(-sum(size for _, size in files) // TASKS)))
+        for path, size in files:
             fs, name = _open(path)
             with fs.open_input_file(name) as file:
                 blocks = Blocks(file, path, 0, size)
@@ -318,7 +320,7 @@ class _Reader(DataSourceReader):
                     first, inside = blocks.place(), blocks.at - next(o for o, p in reversed(blocks.starts) if o <= blocks.at)
                 else:
                     first, inside = size, 0
-            begins = [first, *range((first // self.range + 1) * self.range, size, self.range)]
+            begins = [first, *range((first // step + 1) * step, size, step)]
             out += [_Range(path, size, b, e, inside if b == first else None, contigs) for b, e in zip(begins, [*begins[1:], size], strict=True) if b < e]
         return out or [_Range("", 0, 0, 0, 0, [])]
 
@@ -410,7 +412,7 @@ class _Writer(DataSourceWriter):
 
 
 class BamSource(DataSource):
-    """Format "modcall_bam". Options: path (a file, or a folder of .bam files), rangeBytes of a task; for writing, header:
+    """Format "modcall_bam". Options: path (a file, or a folder of .bam files), rangeBytes of a task at least; for writing, header:
     the SAM header's text, whose @SQ lines name the contigs."""
 
     @classmethod

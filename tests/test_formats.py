@@ -160,3 +160,14 @@ def test_pushed_filters_leave_other_contigs_out(tmp_path):
     rest = list(reader.pushFilters([In(("contig",), ("a", "b")), GreaterThan(("tile",), 0), EqualTo(("contig",), "b")]))
     assert rest == [GreaterThan(("tile",), 0)]
     assert [piece[1] for part in reader.partitions() for piece in part.pieces] == ["b"]
+
+
+def test_short_ranges_do_not_make_a_task_each(tmp_path):
+    header = bam.header_bytes("@SQ\tSN:c\tLN:9\n", [("c", 9)])
+    rows = [(f"r{i * 7919 % 100003}", 0, "c", i, 0, "4M", "*", -1, 0, "ACGT", "*", []) for i in range(20000)]
+    with open(tmp_path / "a.bam", "wb") as out:
+        bam.write_records(out, header, (bam.encode(r, {"c": 0}) for r in rows))
+    reader = bam._Reader({"path": str(tmp_path / "a.bam"), "rangebytes": "500"})
+    parts = reader.partitions()
+    assert 10 < len(parts) <= 66
+    assert [n for p in parts for b in reader.read(p) for n in b.column(0).to_pylist()] == [r[0] for r in rows]
